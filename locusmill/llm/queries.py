@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusmill.llm import bpe
+from locusmill.llm import bpe, chat, decontaminate, sharding, simhash
 from locusmill.llm.common import table
 
 
@@ -12,8 +12,32 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs="digest")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_snapshots(table(spark, sf_dir, "conversations"))
+
+
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_curve(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_chat": op4_chat,
+    "op5_hilbert": op5_hilbert,
+    "op6_decontaminate": op6_decontaminate,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat": chat.COLLAPSE_SQL,
+    "op6_decontaminate": decontaminate.CONTAMINATION_SQL,
+}
