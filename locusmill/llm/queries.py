@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusmill.llm import bpe, chat, decontaminate, sharding, simhash
+from locusmill.llm import bpe, chat, decontaminate, line_dedup, pivots, sharding, simhash, suffix_dedup
 from locusmill.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), outputs="digest")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), outputs="digest")
 
@@ -24,16 +28,27 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_bpe": op3_bpe,
     "op4_chat": op4_chat,
     "op5_hilbert": op5_hilbert,
     "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_pivots": op8_pivots,
     "op9_simhash": op9_simhash,
 }
 
