@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from locusmill.llm.common import saved
 
 #: Pivots (a bounded sample of the vectors, lowest hashes first) and how many of the nearest stand for a vector.
-PIVOTS, PREFIX = 128, 16
+PIVOTS, PREFIX = 256, 64
 #: Share of a shard's vectors, by footrule distance, that are ranked again by the exact measure; at least LEAST of them.
 SHARE, LEAST = 0.25, 512
 #: Vectors of a shard and queries of a block at most, about.
