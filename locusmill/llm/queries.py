@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusmill.llm import bpe, chat, decontaminate, line_dedup, pivots, sharding, simhash, suffix_dedup, toxicity
+from locusmill.llm import bpe, chat, decontaminate, html_main, line_dedup, pivots, sharding, simhash, suffix_dedup, toxicity
 from locusmill.llm.common import table
 
 
@@ -48,6 +48,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_main.extract(pages, html_main.train(pages))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -58,6 +63,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_pivots": op8_pivots,
     "op9_simhash": op9_simhash,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {
