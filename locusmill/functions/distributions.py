@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -31,7 +31,7 @@ def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - out, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|) of Student's t; null for null input."""
     tt, d = t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)
@@ -41,7 +41,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).astype(object).where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) of the standard normal; null for null input."""
     return pd.Series([None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)) for v in z.astype(object)], dtype=object)

@@ -93,7 +93,8 @@ def transposed(df: DataFrame, row: str, column: str, rows: DataFrame | None = No
     """A long matrix with rows and columns exchanged, cut to the given keys."""
     out = df if rows is None else df.join(rows.select(row), row, "left_semi")
     out = out if columns is None else out.join(columns.select(column), column, "left_semi")
-    return out.withColumnsRenamed({row: column, column: row})
+    names = {row: column, column: row}
+    return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns])
 
 
 def list_cell(df: DataFrame, by: list[str], value: str, separator: str = ",") -> DataFrame:

@@ -149,7 +149,7 @@ def guarded(df: DataFrame, by: list[str], fit: Callable[[pd.DataFrame], dict], f
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
     names = [x.split()[0] for x in fields.split(",")]
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         try:
             row = {**fit(group), "error": None}
         except Exception as e:  # noqa: BLE001  a failed model is a result here

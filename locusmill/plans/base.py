@@ -66,7 +66,7 @@ def with_standins(sql: str) -> str:
 
     for name in _used(sql):
         add(name)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    plain = lambda s: re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in STANDINS or m[1] in TABLES else m[0], s)
     sql = plain(sql).strip()
     if parts:
         head = ", ".join(f"{n} AS ({plain(t)})" for n, t in parts.items())

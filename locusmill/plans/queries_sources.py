@@ -1 +1,127 @@
-"""Queries."""
+"""Queries: sources and sinks (s1-s14, x8). What is written and read again are the driver's rows, in the shared folder."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from locusmill.operators import rows as R
+from locusmill.plans.base import Tables, query, r, rounded
+from locusmill.sources import tables as S
+
+
+def _folder(t: Tables) -> str:
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/locusmill-tables"
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+@query("s1_delimited_gz", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+@query("s4_delimited_gz_write", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s1(t):
+    path = _folder(t)
+    S.write_gz(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), path)
+    return S.read_table(t.spark, path, "s_suppkey bigint, s_name string, s_acctbal double", repartition=4)
+
+
+@query("s2_bed", "SELECT 'chr' || chrom AS chrom, start + 1 AS start, stop, id::VARCHAR AS id FROM {peaks}")
+def s2(t):
+    path = _folder(t)
+    t.peaks.select(F.concat(F.lit("chr"), "chrom"), "start", "stop", "id").write.csv(path, sep="\t")
+    return S.read_bed(t.spark, path, zero_based=True)
+
+
+@query("s3_file_per_entity", "SELECT p_brand AS entity, count(*) AS n, p_brand IS NULL AS missing FROM part WHERE p_brand <> 'Brand#3' GROUP BY p_brand UNION ALL SELECT 'Brand#3', 0, true")
+def s3(t):
+    path, rows = _folder(t), t.part.where("p_brand <> 'Brand#3'").select("p_partkey", "p_brand")
+    rows.write.partitionBy("p_brand").csv(path, sep="\t", header=True, nullValue="NA")
+    read = t.spark.read.csv(path, schema="p_partkey bigint, p_brand string", sep="\t", header=True)
+    missing = t.part.select("p_brand").distinct().join(read.select("p_brand").distinct(), "p_brand", "left_anti")
+    found = read.groupBy(F.col("p_brand").alias("entity")).agg(F.count("*").alias("n")).withColumn("missing", F.lit(False))
+    return found.union(missing.select("p_brand", F.lit(0).cast("long"), F.lit(True)))
+
+
+@query("s5_split_by_key", "SELECT chrom, count(*) AS n FROM {peaks} GROUP BY chrom")
+@query("s6_group_write", "SELECT chrom, count(*) AS n FROM {peaks} GROUP BY chrom")
+def s5(t):
+    path = _folder(t)
+    S.write_by_key(t.peaks, path, "chrom")
+    return t.spark.read.parquet(path).groupBy(F.col("chrom").cast("long").alias("chrom")).agg(F.count("*").alias("n"))
+
+
+_MODELS = ["lasso", "top1", "full"]
+
+
+def _store(t):
+    w = t.snp_weights.select("gene", "variant", F.col("weight").alias("lasso"), F.when(F.col("weight") > 0.3, F.col("weight")).alias("top1"), (F.col("weight") * 0).alias("full"))
+    p = t.part.groupBy(F.col("p_brand").alias("gene")).agg(F.avg("p_size").alias("lasso"), F.max("p_size").cast("double").alias("top1"), F.min("p_size").cast("double").alias("full"))
+    perf = R.tagged_union({"rsq": p, "pval": p.select("gene", *[(F.col(m) / 128).alias(m) for m in _MODELS])}, "measure")
+    return S.model_store(w, perf, ["variant"], _MODELS)
+
+
+@query("s7_model_store", """WITH w AS (SELECT gene, variant, 'lasso' AS model, weight FROM {snp_weights} WHERE weight <> 0 UNION ALL SELECT gene, variant, 'top1', weight FROM {snp_weights} WHERE weight > 3e-1),
+n AS (SELECT gene, model, count(*) AS n_snps FROM w GROUP BY ALL), p AS (SELECT p_brand AS gene, avg(p_size) AS lasso, max(p_size)::DOUBLE AS top1 FROM part GROUP BY p_brand)
+SELECT gene, model, round(CASE model WHEN 'lasso' THEN lasso ELSE top1 END, 9) AS r2, round(CASE model WHEN 'lasso' THEN lasso ELSE top1 END / 128, 9) AS pval, n_snps FROM n JOIN p USING (gene)""")
+def s7(t):
+    return rounded(_store(t)[1], "r2", "pval", digits=9)
+
+
+@query("s8_read_store", "SELECT gene, variant, round(weight, 6) + 0e0 AS weight FROM {snp_weights} WHERE weight > 3e-1")
+def s8(t):
+    path = _folder(t)
+    S.write_store(*_store(t), path)
+    return rounded(S.read_store(t.spark, path, "weights", "top1").select("gene", "variant", "weight"), "weight")
+
+
+@query("s9_nested_config", """WITH m AS (SELECT r_name AS tf, list(DISTINCT s_name ORDER BY s_name) AS motifs FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey < 20 GROUP BY r_name),
+f AS (SELECT r_name AS tf, n_name, list(DISTINCT s_name ORDER BY s_name) AS files FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey >= 20 GROUP BY r_name, n_name),
+p AS (SELECT tf, string_agg('"' || n_name || '":' || to_json(files)::VARCHAR, ',' ORDER BY n_name) AS j FROM f GROUP BY tf)
+SELECT tf, '{"motifFiles":' || to_json(motifs)::VARCHAR || ',"peakFiles":{' || j || '}}' AS config FROM m JOIN p USING (tf)""")
+def s9(t):
+    n = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.supplier.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    motifs = rows.where("s_suppkey < 20").select(F.col("r_name").alias("tf"), F.col("s_name").alias("motif"))
+    peaks = rows.where("s_suppkey >= 20").select(F.col("r_name").alias("tf"), F.col("n_name").alias("tissue"), F.col("s_name").alias("peak"))
+    return S.nested_config(motifs, peaks)
+
+
+@query("s10_catalog", "SELECT 1 AS ord, 'nation' AS name, 'Nations' AS header, count(*) AS n_rows, 3 AS n_cols FROM nation UNION ALL SELECT 2, 'supplier', 'Suppliers', count(*), 4 FROM supplier")
+def s10(t):
+    return S.catalog({"nation": ("Nations", t.nation), "supplier": ("Suppliers", t.supplier)}, _folder(t))
+
+
+@query("s11_bin_matrix", "SELECT bin, count(*) AS n, round(sum(x), 4) + 0e0 AS total FROM {bins} WHERE chrom = 3 AND bin >= 5 AND bin < 30 GROUP BY bin")
+def s11(t):
+    path = _folder(t)
+    S.write_bins(t.bins, path)
+    rows = S.read_bins(t.spark, path, 3, 5, 30)
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), r(F.sum("x"), 4).alias("total"))
+
+
+@query("s12_dosage_long", "SELECT variant, 's' || sample AS sample, dosage FROM {dosage} WHERE sample < 6")
+def s12(t):
+    names = [f"s{i}" for i in range(6)]
+    wide = t.dosage.where("sample < 6").groupBy("variant").pivot("sample", list(range(6))).agg(F.max("dosage"))
+    return S.dosage_long(wide.toDF("variant", *names), ["variant"], names)
+
+
+@query("s13_aligned_matrix", "SELECT a.vec_id AS id1, b.vec_id AS id2, round(a.x * b.x, 6) + 0e0 AS value FROM {x_long} a JOIN {x_long} b USING (feature) WHERE feature = 0 AND a.vec_id < 40 AND b.vec_id < 40 AND a.vec_id % 3 = 0 AND b.vec_id % 3 = 0")
+def s13(t):
+    one = t.x_long.where("feature = 0 and vec_id < 40")
+    a, b = one.select("feature", F.col("vec_id").alias("id1"), F.col("x").alias("a")), one.select("feature", F.col("vec_id").alias("id2"), F.col("x").alias("b"))
+    grm = a.join(b, "feature").select("id1", "id2", (F.col("a") * F.col("b")).alias("value"))
+    samples = t.embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"))
+    return rounded(S.aligned_matrix(grm, samples), "value")
+
+
+@query("s14_gathered", "SELECT batch, idx, iter, count(*) AS n FROM (SELECT l_linenumber AS batch, l_suppkey % 4 AS idx, dense_rank() OVER (ORDER BY l_linenumber, l_suppkey % 4) AS iter FROM lineitem) q GROUP BY ALL")
+def s14(t):
+    batches = t.lineitem.select(F.col("l_linenumber").alias("batch"), (F.col("l_suppkey") % 4).alias("idx"))
+    expected = t.spark.createDataFrame([(i,) for i in range(1, 8)], "batch int")
+    return S.gathered(batches, expected).groupBy("batch", "idx", F.col("iter").cast("long").alias("iter")).agg(F.count("*").alias("n"))
+
+
+@query("x8_fit_tables", """SELECT gene, stat, round(value, 6) AS value FROM (SELECT p_brand AS gene, avg(p_size) / 5e1 AS rsq, 1 / (1e0 + count(*)) AS pval FROM part GROUP BY p_brand) q UNPIVOT (value FOR stat IN (rsq, pval))""")
+def x8(t):
+    fits = t.part.groupBy(F.col("p_brand").alias("gene")).agg((F.avg("p_size") / 50).alias("rsq"), (1 / (1.0 + F.count("*"))).alias("pval"))
+    return rounded(fits.unpivot(["gene"], ["rsq", "pval"], "stat", "value"), "value")
