@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from locusmill.llm.suffix_dedup import NO_KEY, OPEN, REMOVED, ROWS, combined, rank_by_name
+from locusmill.llm.suffix_dedup import NO_KEY, REMOVED, ROWS, combined, rank_by_name
 
 #: A unit is a line, or in long lines whole sentences of this many words at least; a repeat that is cut holds that many.
 UNIT_WORDS, RUN_WORDS = 8, 25
@@ -57,13 +57,14 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for k, t in zip(batch.key.tolist(), batch.text.tolist(), strict=True):
                 crc = zlib.crc32(t.encode())
                 for i, (start, stop, words, unit) in enumerate(units(t)):
-                    rows.append((*np.frombuffer(xxhash.xxh3_128_digest(unit.encode()), np.int64).tolist(), k, crc, start, stop - start, OPEN, 0, i, words))
-            names = ["kh", "sh", "key", "crc", "start", "n", "state", "deal", "idx", "words"]
-            yield combined(pd.DataFrame(rows, columns=names), True)
+                    rows.append((*np.frombuffer(xxhash.xxh3_128_digest(unit.encode()), np.int64).tolist(), k, crc, start, stop - start, i, words))
+            names = ["kh", "sh", "key", "crc", "start", "n", "idx", "words"]
+            if rows:
+                yield combined(pd.DataFrame(rows, columns=names), True)[["kh", "sh", "key", "crc", "start", "ns", "idx", "words"]]
 
     docs = df.select(import_, F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = docs.mapInPandas(hashed, ROWS + ", idx int, words int")
-    again = rank_by_name(made, True, ("idx", "words")).where(F.col("state") == REMOVED).drop("state")
+    again = rank_by_name(made, True, ("idx", "words")).where(F.col("state") == REMOVED).drop("state", "kh")
     own = Window.partitionBy("key", "crc")
     runs = again.distinct().withColumn("run", F.col("idx") - F.row_number().over(own.orderBy("idx")))
     long_ = runs.withColumn("total", F.sum("words").over(Window.partitionBy("key", "crc", "run"))).where(F.col("total") >= RUN_WORDS)

@@ -28,7 +28,10 @@ LETTER = _random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + _random.i
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
-REMOVED, OPEN, KNOWN = 0, 1, 2
+#: A name in more segments than this is wide: its windows are dealt out one by one instead of meeting as segments.
+GROUP = 64
+
+REMOVED, OPEN, KNOWN, WIDE = 0, 1, 2, 3
 
 
 def _times(k: int) -> np.uint64:
@@ -133,85 +136,118 @@ def windows(texts: list[bytes], spans: list[np.ndarray], threshold: int) -> dict
     return {c: np.concatenate(x) if x else np.zeros(0, np.uint64 if c in ("kh", "sh") else np.int64) for c, x in out.items()}
 
 
+def segment_heads(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Where a new name, and where a new segment of a name, begins in sorted rows."""
+    kh, sh = rows.kh.to_numpy(), rows.sh.to_numpy()
+    new_kh = np.append(True, kh[1:] != kh[:-1])
+    return new_kh, new_kh | np.append(True, sh[1:] != sh[:-1])
+
+
+ORDER = ["kh", "sh", "key", "crc", "start"]
+
+
+def combined(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
+    """What a batch has to tell, ``ns`` holding n and the state: a bounded number of rows for each name.
+
+    A later copy within the batch is REMOVED and not sent to its name. A name in more than GROUP different segments of one batch is
+    wide: its first row is sent, as KNOWN, and the others are WIDE already. Rows that need no answer are dealt out by place.
+    """
+    rows = rows.sort_values(ORDER, kind="stable").reset_index(drop=True)
+    state, kh = np.full(len(rows), OPEN), rows.kh.to_numpy().copy()
+    if len(rows):
+        new_kh, new = segment_heads(rows)
+        moved = ~new
+        state[moved] = REMOVED
+        if not pairs:
+            group = np.cumsum(new_kh) - 1
+            wide = (np.bincount(group, new) > GROUP)[group]
+            state[wide & new] = WIDE
+            state[wide & new_kh] = KNOWN
+            moved |= wide & ~new_kh
+        kh[moved] = (rows.key.to_numpy() * 1_000_003 + rows.start.to_numpy())[moved]
+    return rows.assign(kh=kh, ns=(rows.n * 4 + state).astype(np.int32)).drop(columns="n").sort_values(["key", "crc", "start"], kind="stable")
+
+
 def ranked(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
-    """Sets ``state`` within rows that were dealt out by name: REMOVED if the same segment or window starts earlier
-    (document, start); OPEN if the name stands in different segments (``pairs``: never); rows that are settled drop out.
+    """Sets ``state`` of rows that were dealt out by name: REMOVED if the same segment or window starts earlier (document, start).
 
-    A row of state KNOWN says that its name stood in different segments before.
+    First occurrences of a name that stands in different segments stay OPEN, or WIDE if there are many; all others drop
+    out, and with ``pairs`` all first occurrences do.
     """
-    settled = rows[rows.state == REMOVED]
-    rows = rows[rows.state != REMOVED]
+    rows = rows.assign(n=rows.ns // 4, state=rows.ns % 4).drop(columns="ns")
+    done = rows.state.isin((REMOVED, WIDE))
+    settled, rows = rows[done], rows[~done]
     kh = rows.kh.to_numpy()
     order = np.argsort(kh, kind="stable")
-    same = np.zeros(len(rows), bool)
-    s = kh[order]
-    again = s[1:] == s[:-1]
+    again = kh[order][1:] == kh[order][:-1]
+    same = (rows.state == KNOWN).to_numpy()
     same[order[1:][again]] = True
     same[order[:-1][again]] = True
-    if not pairs:
-        same |= (rows.state == KNOWN).to_numpy()
-    rows = rows[same].sort_values(["kh", "sh", "key", "crc", "start"], kind="stable").reset_index(drop=True)
+    rows = rows[same].sort_values(ORDER, kind="stable").reset_index(drop=True)
     if len(rows):
-        kh, sh = rows.kh.to_numpy(), rows.sh.to_numpy()
-        new_kh = np.append(True, kh[1:] != kh[:-1])
-        new = new_kh | np.append(True, sh[1:] != sh[:-1])
-        known = rows.state.to_numpy() == KNOWN
-        rows["state"] = np.where(new, OPEN, REMOVED)
+        new_kh, new = segment_heads(rows)
         group = np.cumsum(new_kh) - 1
-        open_ = np.bincount(group, new) > 1
-        if not pairs:
-            open_ |= np.bincount(group, known) > 0
-            rows = rows[~new | open_[group]]
-        else:
-            rows = rows[~new]
+        known = np.bincount(group, rows.state.to_numpy() == KNOWN) > 0
+        different = np.bincount(group, new)
+        first = np.where(known | (different > GROUP), WIDE, OPEN)
+        rows["state"] = np.where(new, first[group], REMOVED)
+        rows = rows[~new | (not pairs) & (known | (different > 1))[group]]
     return pd.concat([settled, rows], ignore_index=True)
 
 
-def combined(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
-    """What a batch has to tell: at most a row of each name; those that it can settle itself are dealt out by place.
-
-    A later copy within the batch is REMOVED. Of a name in different segments the first is sent as KNOWN and the
-    others stay OPEN without being sent to it. So a name that many documents hold arrives once from each batch.
-    """
-    rows = rows.sort_values(["kh", "sh", "key", "crc", "start"], kind="stable").reset_index(drop=True)
-    if not len(rows):
-        return rows
-    kh, sh = rows.kh.to_numpy(), rows.sh.to_numpy()
-    new_kh = np.append(True, kh[1:] != kh[:-1])
-    new = new_kh | np.append(True, sh[1:] != sh[:-1])
-    state = np.where(new, OPEN, REMOVED)
-    deal = kh.copy()
-    moved = ~new
-    if not pairs:
-        group = np.cumsum(new_kh) - 1
-        state[new_kh & (np.bincount(group, new) > 1)[group]] = KNOWN
-        moved = ~new_kh
-        state[new & ~new_kh] = OPEN + 2  # open whatever others say
-    deal[moved] = (rows.key.fillna(-1).to_numpy().astype(np.int64) * 1_000_003 + rows.start.to_numpy())[moved]
-    return rows.assign(state=state.astype(np.int8), deal=deal)
+def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    own = [b for b in batches if len(b)]
+    return pd.concat(own, ignore_index=True) if own else None
 
 
 def rank_by_name(made: DataFrame, pairs: bool, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Deals the rows out by name and ranks them; (key, crc, start, n, state) of what isn't unique, and ``extra`` int columns."""
+    """Deals the rows out by name and ranks them; (kh, key, crc, start, n, state) of what isn't unique, and ``extra`` int columns."""
+    names_ = ["kh", "key", "crc", "start", "n", "state", *extra]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [b for b in batches if len(b)]
-        if own:
-            rows = pd.concat(own, ignore_index=True)
-            apart = rows.state == OPEN + 2
-            done = rows[apart].assign(state=OPEN)
-            yield pd.concat([done, ranked(rows[~apart].drop(columns="deal"), pairs)], ignore_index=True)[["key", "crc", "start", "n", "state", *extra]]
+        if (rows := _whole(batches)) is not None:
+            yield ranked(rows, pairs)[names_]
 
-    return made.repartition(spread(made), "deal").mapInPandas(run, "key bigint, crc bigint, start int, n int, state tinyint" + "".join(f", {c} int" for c in extra))
+    return made.repartition(spread(made), "kh").mapInPandas(run, "kh bigint, key bigint, crc bigint, start int, n int, state tinyint" + "".join(f", {c} int" for c in extra))
 
 
-ROWS = "kh bigint, sh bigint, key bigint, crc bigint, start int, n int, state tinyint, deal bigint"
+ROWS = "kh bigint, sh bigint, key bigint, crc bigint, start int, ns int"
 
 
 def _rows(found: dict[str, np.ndarray], key: np.ndarray, crc: np.ndarray, pairs: bool) -> pd.DataFrame:
     at = found["text"]
     rows = pd.DataFrame({"kh": found["kh"].view(np.int64), "sh": found["sh"].view(np.int64), "key": key[at], "crc": crc[at], "start": found["start"].astype(np.int32), "n": found["n"].astype(np.int32)})
-    return combined(rows, pairs) if len(rows) else rows.assign(state=np.zeros(0, np.int8), deal=np.zeros(0, np.int64))
+    return combined(rows, pairs)
+
+
+def repeated_windows(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """(key, crc, start, n) of the windows in segments (kh, key, crc, start, body) of which an equal one starts earlier.
+
+    Equal windows have one name, and all segments of a name are in ``rows``. Some names are taken at a time.
+    """
+    rows = rows.sort_values(["kh", "key", "crc", "start"], kind="stable").reset_index(drop=True)
+    new_kh = np.append(True, rows.kh.to_numpy()[1:] != rows.kh.to_numpy()[:-1])
+    size = np.cumsum(rows.body.str.len().to_numpy())
+    part = (size // (4 * BLOCK))[np.maximum.accumulate(np.where(new_kh, np.arange(len(rows)), 0))]
+    out, step = [], threshold - 2 * NAME
+    for _, own in rows.groupby(part, sort=False):
+        sizes = own.body.str.len().to_numpy()
+        _, long = names(np.frombuffer(b"".join(own.body), np.uint8))
+        ends = np.cumsum(sizes)
+        at = np.concatenate([np.arange(e - z, e - threshold + 1) for e, z in zip(ends, sizes, strict=True)])
+        seg = np.repeat(np.arange(len(own)), sizes - threshold + 1)
+        start = own.start.to_numpy()[seg] + at - (ends - sizes)[seg]
+        a, b = long[at], long[at + step]
+        doc = np.unique(own.key.to_numpy(), return_inverse=True)[1][seg]  # in order of the key
+        order = np.lexsort((start, own.crc.to_numpy()[seg], doc, b, a))
+        later = np.append(False, (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1]))
+        hit = np.sort(order[later])
+        if len(hit):
+            head = np.append(True, (np.diff(hit) != 1) | (np.diff(seg[hit]) != 0))
+            first = hit[head]
+            n = np.diff(np.append(np.flatnonzero(head), len(hit)))
+            out.append(pd.DataFrame({"key": own.key.to_numpy()[seg[first]], "crc": own.crc.to_numpy()[seg[first]], "start": start[first], "n": n}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("key", "crc", "start", "n")})
 
 
 #: Stands for a null key: such a document comes before all others.
@@ -232,16 +268,43 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     def level2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t.encode() for t in batch.text.tolist()]
-            spans = [np.array([(x["start"], x["n"]) for x in s], np.int64) for s in batch.spans]
-            yield _rows(windows(texts, spans, threshold), batch.key.to_numpy(), batch.crc.to_numpy(), True)
+            texts = [unpacked(t) for t in batch.packed.tolist()]
+            key, crc = batch.key.to_numpy(), batch.crc.to_numpy()
+            wide = [np.array([(x["start"], x["n"]) for x in s if x["state"] != OPEN], np.int64).reshape(-1, 2) for s in batch.spans]
+            yield _rows(windows(texts, wide, threshold), key, crc, True).assign(body=None)
+            own = [(x["kh"], 0, k, c, x["start"], 0, t[x["start"] : x["start"] + x["n"] - 1 + threshold]) for t, k, c, s in zip(texts, key, crc, batch.spans, strict=True) for x in s if x["state"] == OPEN]
+            if own:
+                yield pd.DataFrame(own, columns=["kh", "sh", "key", "crc", "start", "ns", "body"])
+
+    def settle2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if (rows := _whole(batches)) is not None:
+            with_body = rows.body.notna()
+            if with_body.any():
+                yield repeated_windows(rows[with_body], threshold)
+            yield ranked(rows[~with_body].drop(columns="body"), True)[["key", "crc", "start", "n"]]
 
     first = saved(rank_by_name(docs.mapInPandas(level1, ROWS), False))
-    per_doc = first.where(f"state <> {REMOVED}").groupBy("key", "crc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    marked = docs.withColumn("crc", F.crc32("text"))
-    second = rank_by_name(marked.join(per_doc, ["key", "crc"]).select("key", "crc", "text", "spans").mapInPandas(level2, ROWS), True)
-    removed = first.where(f"state = {REMOVED}").unionByName(second).select("key", "crc", "start", "n")
-    return marked, removed
+    per_doc = first.where(f"state <> {REMOVED}").groupBy("key", "crc").agg(F.collect_list(F.struct("start", "n", "state", "kh")).alias("spans"))
+    marked = docs.mapInPandas(_pack, "key bigint, crc bigint, packed binary")
+    made = marked.join(per_doc, ["key", "crc"]).mapInPandas(level2, ROWS + ", body binary")
+    second = made.repartition(spread(made), "kh").mapInPandas(settle2, "key bigint, crc bigint, start int, n int")
+    return marked, first.where(f"state = {REMOVED}").select("key", "crc", "start", "n").unionByName(second)
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as compressed bytes with their CRC: they are shuffled twice."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [t.encode() for t in batch.text.tolist()]
+        yield pd.DataFrame({"key": batch.key, "crc": [zlib.crc32(t) for t in texts], "packed": [squeeze(t) for t in texts]})
+
+
+def unpacked(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(packed)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 100, outputs: str = "text") -> DataFrame:
@@ -260,8 +323,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for t, s in zip(batch.text.tolist(), batch.spans, strict=True):
-                t = t.encode()
+            for t, s in zip(map(unpacked, batch.packed.tolist()), batch.spans, strict=True):
                 runs = merged(s, threshold)
                 kept, at = [], 0
                 for a, b in runs:
@@ -274,7 +336,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", thres
             yield pd.DataFrame({"key": batch.key.tolist(), **{c: [r[i] for r in rows] for i, c in enumerate(names_)}})
 
     schema = "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ("" if digest else ", kept binary, spans array<struct<start: int, stop: int>>")
-    out = marked.join(spans, ["key", "crc"], "left").select("key", "text", "spans").mapInPandas(cut, schema)
+    out = marked.join(spans, ["key", "crc"], "left").select("key", "packed", "spans").mapInPandas(cut, schema)
     return out.withColumn("key", F.nullif("key", F.lit(NO_KEY))).withColumnRenamed("key", key)
 
 
