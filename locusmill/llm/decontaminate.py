@@ -90,7 +90,8 @@ def remove_spans(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: s
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.distinct().withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     spans = runs.groupBy("key", "h", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).groupBy("key", "h").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans"))
-    joined = docs.withColumns({"__h": F.xxhash64(text)}).join(spans, docs[key].eqNullSafe(F.col("key")) & (F.col("__h") == F.col("h")), "left")
+    spans = spans.withColumnsRenamed({"key": "__key", "h": "__hit"})
+    joined = docs.withColumn("__h", F.xxhash64(text)).join(spans, docs[key].eqNullSafe(F.col("__key")) & (F.col("__h") == F.col("__hit")), "left")
     # pieces[i] is the i-th word with what stands before it; the last piece is what follows the last word
     pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|$)"), F.lit(0))
     hit = lambda i: F.exists("__spans", lambda s: (s.start <= i) & (i < s.stop))

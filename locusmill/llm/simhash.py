@@ -177,9 +177,10 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
-    """``df`` with one document of each group: the one of smallest key. Rows of null key stay if their whole group has none."""
+    """``df`` with one document of each group: the one of smallest key, with all its rows.
+
+    Rows of null key stay only if some group has no other key.
+    """
     named = near_groups(df, key, text, width, reach)
-    kept = named.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    alone = named.where(F.col("component_id").isNull()).limit(1)
-    out = df.join(kept, key, "left_semi")
-    return out.union(df.where(F.col(key).isNull()).join(alone.select(F.lit(1).alias("__one")), how="left_semi"))
+    kept = named.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
+    return df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")
