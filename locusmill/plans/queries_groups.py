@@ -118,9 +118,9 @@ def g21(t):
     return rows.groupBy("label").agg(F.count("*").alias("n"), r(F.sum(F.col("embedding")[0].cast("double")), 4).alias("first_sum"))
 
 
-@query("g22_against_reference", "SELECT tf, round(m, 6) AS m, round(ref, 6) AS reference, m > ref AS above FROM (SELECT tf, avg(abs(zscore)) AS m FROM {assoc} GROUP BY tf) a, (SELECT avg(abs(zscore)) AS ref FROM {assoc} WHERE tf = 'Brand#2') b")
+@query("g22_against_reference", "SELECT tf, round(m, 6) AS m, round(ref, 6) AS reference, m > ref AS above FROM (SELECT tf, round(avg(abs(zscore)), 9) AS m FROM {assoc} GROUP BY tf) a, (SELECT round(avg(abs(zscore)), 9) AS ref FROM {assoc} WHERE tf = 'Brand#2') b")
 def g22(t):
-    by = t.assoc.groupBy("tf").agg(F.avg(F.abs("zscore")).alias("m"))
+    by = t.assoc.groupBy("tf").agg(r(F.avg(F.abs("zscore")), 9).alias("m"))
     return rounded(G.against_reference(by, by.where("tf = 'Brand#2'"), "m"), "m", "reference")
 
 
