@@ -67,6 +67,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.REPEATS_SQL,
     "op4_chat": chat.COLLAPSE_SQL,
     "op6_decontaminate": decontaminate.CONTAMINATION_SQL,
 }

@@ -350,3 +350,20 @@ def merged(spans, threshold: int) -> list[tuple[int, int]]:
     new = np.append(True, pairs[1:, 0] > reach[:-1])
     ends = np.append(np.flatnonzero(new)[1:] - 1, len(pairs) - 1)
     return list(zip(pairs[new, 0].tolist(), reach[ends].tolist(), strict=True))
+
+
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, base, substring(h, 2 * base + 1, 1198) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99, 500)) AS base FROM d WHERE len(h) >= 200) q),
+w AS (SELECT doc_id, base + i AS p, md5(substring(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, base, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM c) q),
+f AS (SELECT k, min((doc_id, p)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT doc_id, p FROM w JOIN f USING (k) WHERE (doc_id, p) <> first),
+r AS (SELECT doc_id, p, coalesce(p > lag(p) OVER o + 100, true)::INTEGER AS new FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+u AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, run),
+v AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM u),
+x AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS stop, sum(b - a) AS n_removed, count(*) AS n_spans FROM v JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN stop IS NULL THEN h ELSE coalesce(head, '') || substring(h, 2 * stop + 1) END)) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
