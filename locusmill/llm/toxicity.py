@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from locusmill.llm.common import saved
+
 #: Labelled texts of each class that the classifier is fitted on at most (those of lowest hash).
 MAX_LABELLED = 4_000
 #: Hashed features; texts of the sample that must hold a feature; least z of its log odds; weights of the two penalties.
@@ -90,27 +92,21 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(weights[f] for f in held)), -500, 500))))
 
 
-def fit(sample: pd.DataFrame, rate: float) -> Toxicity:
-    """Fits on ``sample`` (y, feats, lost, gained: lists of lists for the swaps); ``rate``: the share of label 1 in all labels."""
+def fit(sample: pd.DataFrame, ids: np.ndarray, rate: float) -> Toxicity:
+    """Fits on ``sample`` (y, feats, lost, gained: lists, and lists of lists for the swaps, of features in ``ids``).
+
+    ``rate`` is the share of label 1 in all labels. Without labels of both classes the score is constant: 0.99, or 0.01 (also with none).
+    """
     y = sample.y.to_numpy(np.float64)
     none = np.zeros(0, np.int64)
     if len(y) == 0 or y.min() == y.max():
-        sure = 0.5 if len(y) == 0 else float(np.clip(y.mean(), 0.01, 0.99))
+        sure = 0.01 if len(y) == 0 else float(np.clip(y.mean(), 0.01, 0.99))
         return Toxicity(none, none.astype(float), float(np.log(sure / (1 - sure))))
-    flat = np.concatenate([np.asarray(f, np.int64) for f in sample.feats])
-    row = np.repeat(np.arange(len(y)), [len(f) for f in sample.feats])
-    ids, at = np.unique(flat, return_inverse=True)
-    with_, toxic = np.bincount(at), np.bincount(at, y[row])
-    clean = with_ - toxic
     p, n = y.sum(), len(y) - y.sum()
-    odds = np.log((toxic + 0.5) / (p - toxic + 0.5)) - np.log((clean + 0.5) / (n - clean + 0.5))
-    spread = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5) + 1 / (p - toxic + 0.5) + 1 / (n - clean + 0.5))
-    take = (with_ >= LEAST_TEXTS) & (np.abs(odds / spread) >= LEAST_Z)
-    place = np.cumsum(take) - 1
-    keep = take[at]
-    col, row, ids = place[at[keep]], row[keep], ids[take]
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []  # (features, +1 or -1) of each swap, as far as they are selected
     index = {f: i for i, f in enumerate(ids.tolist())}
+    row = np.repeat(np.arange(len(y)), [len(f) for f in sample.feats])
+    col = np.array([index[f] for own in sample.feats for f in own], np.int64)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []  # (features, +1 or -1) of each swap, as far as they are selected
     for lost, gained in zip(sample.lost, sample.gained, strict=True):
         for a, b in zip(lost, gained, strict=True):
             sign = [(index[f], -1.0) for f in a if f in index] + [(index[f], 1.0) for f in b if f in index]
@@ -155,10 +151,37 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             pairs = [swaps(w) for w in words]
             yield pd.DataFrame({"y": batch.y, "feats": [sorted(features(w)) for w in words], "lost": [[a for a, _ in p] for p in pairs], "gained": [[b for _, b in p] for p in pairs]})
 
-    sample = texts.mapInPandas(seen, "y int, feats array<int>, lost array<array<int>>, gained array<array<int>>").toPandas()
+    sample = saved(texts.mapInPandas(seen, SAMPLE))
+    ids = selected(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(ids.tolist()))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for batch in batches:
+            batch["feats"] = [[f for f in x if f in own] for x in batch.feats]
+            for side in ("lost", "gained"):
+                batch[side] = [[[f for f in swap if f in own] for swap in x] for x in batch[side]]
+            yield batch
+
     total = sum(counts.values())
     rate = float(np.clip(counts.get(1, 0) / total, 0.001, 0.999)) if total else 0.5
-    return fit(sample, rate)
+    return fit(sample.mapInPandas(cut, SAMPLE).toPandas(), ids, rate)
+
+
+SAMPLE = "y int, feats array<int>, lost array<array<int>>, gained array<array<int>>"
+
+
+def selected(sample: DataFrame) -> np.ndarray:
+    """The features whose log odds between the classes are LEAST_Z standard errors from 0, and that LEAST_TEXTS texts have."""
+    sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
+    p, n = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+    if not p or not n:
+        return np.zeros(0, np.int64)
+    by = sample.select("y", F.explode("feats").alias("f")).groupBy("f").agg(F.count("*").alias("all"), F.sum("y").alias("k")).where(F.col("all") >= LEAST_TEXTS)
+    k, c = F.col("k") + 0.5, F.col("all") - F.col("k") + 0.5
+    rest_k, rest_c = F.lit(p + 1) - k, F.lit(n + 1) - c
+    z = (F.log(k) - F.log(rest_k) - F.log(c) + F.log(rest_c)) / F.sqrt(1 / k + 1 / rest_k + 1 / c + 1 / rest_c)
+    return np.array(sorted(r.f for r in by.where(F.abs(z) >= LEAST_Z).select("f").collect()), np.int64)
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
