@@ -22,8 +22,8 @@ def probability(logit: Column) -> Column:
 
 
 def minus_log10(p: Column, floor: float = 1e-29) -> Column:
-    """-log10 of p, p being ``floor`` at least."""
-    return -F.log10(F.greatest(p, F.lit(float(floor))))
+    """-log10 of p, p being ``floor`` at least; null for null."""
+    return F.when(p.isNotNull(), -F.log10(F.greatest(p, F.lit(float(floor)))))
 
 
 def log_count(x: Column) -> Column:
@@ -69,10 +69,10 @@ def cut_bin(x: Column, width: float, n_bins: int) -> Column:
 def p_combined(p: Column) -> Column:
     """Aggregate: the Cauchy combination of p-values (equal weights).
 
-    Below 1e-16 the tangent is replaced by its limit 1/(p*pi); any p of 0 gives 0, and 1 is taken as 1 - 1e-15.
+    Below 1e-16 the tangent is replaced by its limit 1/(p*pi); any p of 0 gives 0, 1 is taken as 1 - 1e-15, and nulls don't count.
     """
     safe = F.least(p, F.lit(1 - 1e-15))
-    term = F.when(p == 0, None).when(p < 1e-16, 1 / (F.greatest(p, F.lit(5e-324)) * F.lit(PI))).otherwise(F.tan((F.lit(0.5) - safe) * F.lit(PI)))
+    term = F.when(p.isNull() | (p == 0), None).when(p < 1e-16, 1 / (F.greatest(p, F.lit(5e-324)) * F.lit(PI))).otherwise(F.tan((F.lit(0.5) - safe) * F.lit(PI)))
     mean = F.avg(term)
     tail = F.when(mean > 1e15, 1 / (mean * F.lit(PI))).otherwise(F.lit(0.5) - F.atan(mean) / F.lit(PI))
     return F.when(F.min(p) == 0, F.lit(0.0)).otherwise(tail)

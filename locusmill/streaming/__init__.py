@@ -1 +1 @@
-
+"""No operator of its own: the survey lists no streaming. Row-wise operators and keyed joins also take streaming DataFrames."""

@@ -32,6 +32,7 @@ def test_cauchy_combination(spark):
     assert math.isclose(acat(1e-300), 1e-300, rel_tol=1e-6)
     assert 0.5 < acat(1.0, 0.5) <= 1.0
     assert acat(None) is None
+    assert math.isclose(acat(0.2, None), 0.2, rel_tol=1e-9)
 
 
 def test_constant_groups_give_null(spark):
