@@ -48,6 +48,17 @@ def spread(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """Left join of ``rows`` to ``side``, which has a row for each key with the number of ``rows`` that have it.
+
+    Keys with more than a thousandth of all ``total`` rows are fewer than a thousand: they are broadcast and their rows stay where
+    they are. All other keys meet in a shuffled join, where none of them is large. Keys must not be null.
+    """
+    hot = F.broadcast(side.where(F.col(count) * 1000 > total))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(side.where(F.col(count) * 1000 <= total), on, "left")
+    return rows.join(hot, on).unionByName(cold)
+
+
 def ascii_lower(col):
     """A-Z to a-z and nothing else. ``lower`` does just that where every character is one byte."""
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(

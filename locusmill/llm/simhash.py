@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from locusmill.llm.common import saved
+from locusmill.llm.common import hot_join, saved
 from locusmill.llm.graph import components
 
 #: Distinct fingerprints that the tree is built on at most; rows of a leaf aimed at; pairs that one task compares at most.
@@ -167,13 +167,13 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     ``text`` are read, so other columns can't clash. An empty table gives an empty one.
     """
     rows = saved(fingerprints(df, key, text, width).withColumnRenamed(key, "key"))
-    points = saved(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    points = saved(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
     roots = saved(components(near_edges(points, reach)))
     linked = roots.join(points, roots.node == points.fp).select("node", "root", "least")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_point = linked.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
-    named = points.join(of_point, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    named = saved(points.join(of_point, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    return hot_join(rows, named, ["fp"], "n", rows.count()).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
