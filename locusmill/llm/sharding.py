@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from locusmill.llm.common import saved, spread
+from locusmill.llm.common import hot_join, saved, spread
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -65,8 +65,8 @@ def shard_by_curve(df: DataFrame, shards: int = 24, key: str = "doc_id", text: s
         F.struct(*[text_code(F.col(c).cast("string")).alias(n) for c, n in zip(dims, names, strict=True)]).alias("meta"),
     ))
     same = ["h", "crc", "size"]
-    copies = lite.groupBy(*same).agg(F.min("meta").alias("own"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = lite.join(copies, same, "left").select("key", *same, F.coalesce("own", "meta").alias("meta"))
+    copies = lite.groupBy(*same).agg(F.min("meta").alias("own"), F.count("*").alias("n")).where("n > 1")
+    rows = hot_join(lite, copies, same, "n", lite.count()).select("key", *same, F.coalesce("own", "meta").alias("meta"))
     rows = rows.select("key", *same, *[F.col(f"meta.{n}").alias(n) for n in names])
 
     axes = [*names, "size"]
