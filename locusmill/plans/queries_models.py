@@ -77,7 +77,7 @@ def _loci(t):
     return t.cells.select("locus", "feature", F.greatest("score", F.lit(0.0)).alias("score")).where("locus < 200")
 
 
-@query("x15_subsamples")
+@query("x15_subsamples", "SELECT iter, (SELECT floor(count(DISTINCT locus) * 8e-1 + 5e-1)::BIGINT FROM {cells} WHERE locus < 200) AS n FROM range(20) i(iter)")
 def x15(t):
     return counted(P.subsamples(_loci(t), "locus", 20), "iter")
 

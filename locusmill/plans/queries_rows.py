@@ -184,7 +184,7 @@ def st8(t):
     return G.list_cell(t.nation, ["n_regionkey"], "n_name")
 
 
-@query("st9_p_labels")
+@query("st9_p_labels", "SELECT l_orderkey, l_linenumber, CASE WHEN pvalue < 1e-2 THEN printf('p = %.1e', pvalue) ELSE printf('p = %.4f', pvalue) END AS label FROM {assoc}")
 def st9(t):
     return t.assoc.select("l_orderkey", "l_linenumber", C.p_label(F.col("pvalue")).alias("label"))
 
