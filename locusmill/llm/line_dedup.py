@@ -14,24 +14,44 @@ from locusmill.llm.suffix_dedup import NO_KEY, REMOVED, ROWS, combined, rank_by_
 
 #: A unit is a line, or in long lines whole sentences of this many words at least; a repeat that is cut holds that many.
 UNIT_WORDS, RUN_WORDS = 8, 25
+#: Longer sentences are cut at words that their own hash picks, about one in CUT_EVERY.
+LONG_SENTENCE, CUT_EVERY = 24, 3
+TOKEN = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
 
+def sentences(line: str) -> Iterator[tuple[int, list[str]]]:
+    """(end, words in lower case) of a line's sentences, long ones in parts."""
+    for m in SENTENCE.finditer(line):
+        words = m[0].lower().split()
+        if len(words) <= LONG_SENTENCE:
+            yield m.end(), words
+            continue
+        part: list[str] = []
+        for w in TOKEN.finditer(m[0]):
+            part.append(w[0].lower())
+            if len(part) >= UNIT_WORDS and zlib.crc32(part[-1].encode()) % CUT_EVERY == 0:
+                yield m.start() + w.end(), part
+                part = []
+        yield m.end(), part
+
+
 def units(text: str) -> Iterator[tuple[int, int, int, str]]:
     """(start, stop, words, normalised) of the text's units; lines of fewer than UNIT_WORDS words give none.
 
     Normalised: lower case, white space as one space. A line's short sentences go with the next ones until they
     have UNIT_WORDS words, and at its end with those before, so units fall in step again soon after any difference.
+    A sentence without an end in sight is cut after words that their hash picks, wherever it began.
     """
     at = 0
     for line in text.split("\n"):
         found: list[list] = []
         begin, own = at, []
-        for m in SENTENCE.finditer(line):
-            own += m[0].lower().split()
+        for end, words in sentences(line):
+            own += words
             if len(own) >= UNIT_WORDS:
-                found.append([begin, at + m.end(), own])
-                begin, own = at + m.end(), []
+                found.append([begin, at + end, own])
+                begin, own = at + end, []
         if own and found:
             found[-1][1] = at + len(line)
             found[-1][2] += own

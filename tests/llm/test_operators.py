@@ -173,11 +173,12 @@ def test_line_dedup_equals_brute_force(spark):
         assert cut[i] == left + text[at:]
 
 
-def test_planted_passage_inside_lines(spark):
+@pytest.mark.parametrize("ends", [0.1, 0.0])
+def test_planted_passage_inside_lines(spark, ends):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
-    prose = lambda n: " ".join(word() + ("." if rng.random() < 0.1 else "") for _ in range(n))
-    passage = prose(70)
+    prose = lambda n: " ".join(word() + ("." if rng.random() < ends else "") for _ in range(n))
+    passage = prose(56)
     rows = [(i, f"{prose(40)} {passage} {prose(40)}" if i % 3 == 0 else prose(120)) for i in range(30)]
     got = {r.doc_id: r.n_removed for r in line_dedup.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all((n > 0) == (i % 3 == 0 and i > 0) for i, n in got.items())
