@@ -21,6 +21,10 @@ from locusmill.llm.common import saved
 MAX_LABELLED = 4_000
 #: Hashed features; texts of the sample that must hold a feature; least z of its log odds; weights of the two penalties.
 SPACE, LEAST_TEXTS, LEAST_Z, RIDGE, SWAP_PENALTY = 1 << 22, 4, 2.0, 0.0002, 10.0
+#: Weight of label 1 in the loss, whatever its share of the labels.
+TOXIC_SHARE = 0.3
+#: Words that a worker remembers the features of.
+KEPT_WORDS = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Names of groups, a list for each kind; a swap stays within a list.
@@ -82,7 +86,7 @@ class Toxicity:
     def score(self, text: str | None) -> float:
         held: set[int] = set()
         known, weights = self.known, self.weights
-        if len(known) > 500_000:
+        if len(known) > KEPT_WORDS:
             known.clear()
         for w in set(WORD.findall((text or "").lower())):
             if (own := known.get(w)) is None:
@@ -92,10 +96,10 @@ class Toxicity:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(sorted(weights[f] for f in held)), -500, 500))))
 
 
-def fit(sample: pd.DataFrame, ids: np.ndarray, rate: float) -> Toxicity:
+def fit(sample: pd.DataFrame, ids: np.ndarray) -> Toxicity:
     """Fits on ``sample`` (y, feats, lost, gained: lists, and lists of lists for the swaps, of features in ``ids``).
 
-    ``rate`` is the share of label 1 in all labels. Without labels of both classes the score is constant: 0.99, or 0.01 (also with none).
+    Without labels of both classes the score is constant: 0.99, or 0.01 (also with none).
     """
     y = sample.y.to_numpy(np.float64)
     none = np.zeros(0, np.int64)
@@ -115,20 +119,19 @@ def fit(sample: pd.DataFrame, ids: np.ndarray, rate: float) -> Toxicity:
     prow = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
     pcol = np.concatenate([p[0] for p in pairs]) if pairs else none
     psign = np.concatenate([p[1] for p in pairs]) if pairs else none.astype(float)
-    w, bias = np.zeros(len(ids)), float(np.log(p / n))
+    share = np.where(y > 0, TOXIC_SHARE / p, (1 - TOXIC_SHARE) / n)  # else a rare class would be given up
+    w, bias = np.zeros(len(ids)), 0.0
     m, v, step = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1), 0.1
     for i in range(1, 301):  # Adam on all rows
-        miss = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], len(y)), -30, 30))) - y
-        grad = np.bincount(col, miss[row], len(ids)) / len(y) + RIDGE * w
+        miss = (1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], len(y)), -30, 30))) - y) * share
+        grad = np.bincount(col, miss[row], len(ids)) + RIDGE * w
         if len(pairs):
             change = np.bincount(prow, w[pcol] * psign, len(pairs))
             grad += 2 * SWAP_PENALTY * np.bincount(pcol, change[prow] * psign, len(ids)) / len(pairs)
-        g = np.append(grad, miss.mean())
+        g = np.append(grad, miss.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    here = p / (p + n)
-    bias += np.log(rate / (1 - rate)) - np.log(here / (1 - here))  # the sample has other shares than the table
     return Toxicity(ids, w, float(bias))
 
 
@@ -140,7 +143,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
     own = own.groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("y"))
-    counts = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
     parts = [own.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(max_labelled) for y in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # 2 * max_labelled rows at most
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("y", "text")
@@ -163,9 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 batch[side] = [[[f for f in swap if f in own] for swap in x] for x in batch[side]]
             yield batch
 
-    total = sum(counts.values())
-    rate = float(np.clip(counts.get(1, 0) / total, 0.001, 0.999)) if total else 0.5
-    return fit(sample.mapInPandas(cut, SAMPLE).toPandas(), ids, rate)
+    return fit(sample.mapInPandas(cut, SAMPLE).toPandas(), ids)
 
 
 SAMPLE = "y int, feats array<int>, lost array<array<int>>, gained array<array<int>>"
