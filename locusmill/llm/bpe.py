@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Distinct words and token pairs that a worker keeps, and characters of text for which one trie is built.
-KEPT_WORDS, KEPT_PAIRS, TRIE_CHARS = 300_000, 500_000, 3_000_000
+KEPT_WORDS, KEPT_PAIRS, TRIE_CHARS = 200_000, 250_000, 2_000_000
 NEVER = 1 << 60
 
 #: Texts of these characters only are split by SIMPLE_WORD: no character among them is changed by NFC,
