@@ -146,13 +146,24 @@ def segment_heads(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 ORDER = ["kh", "sh", "key", "crc", "start"]
 
 
+def told_twice(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Which sorted rows equal the row before: repeated rows of a document tell of one occurrence several times."""
+    out = np.full(len(rows), len(rows) > 0)
+    out[:1] = False
+    for c in columns:
+        x = rows[c].to_numpy()
+        out[1:] &= x[1:] == x[:-1]
+    return out
+
+
 def combined(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
     """What a batch has to tell, ``ns`` holding n and the state: a bounded number of rows for each name.
 
-    A later copy within the batch is REMOVED and not sent to its name. A name in more than GROUP different segments of one batch is
+    Of rows that tell of one occurrence one is left. A later copy within the batch is REMOVED and not sent to its name. A name in more than GROUP different segments of one batch is
     wide: its first row is sent, as KNOWN, and the others are WIDE already. Rows that need no answer are dealt out by place.
     """
-    rows = rows.sort_values(ORDER, kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(ORDER, kind="stable")
+    rows = rows[~told_twice(rows, ORDER)].reset_index(drop=True)
     state, kh = np.full(len(rows), OPEN), rows.kh.to_numpy().copy()
     if len(rows):
         new_kh, new = segment_heads(rows)
@@ -170,6 +181,7 @@ def combined(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
 
 def ranked(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
     """Sets ``state`` of rows that were dealt out by name: REMOVED if the same segment or window starts earlier (document, start).
+    Rows of one document and start are one occurrence, from however many repeated rows they come.
 
     First occurrences of a name that stands in different segments stay OPEN, or WIDE if there are many; all others drop
     out, and with ``pairs`` all first occurrences do.
@@ -191,7 +203,7 @@ def ranked(rows: pd.DataFrame, pairs: bool) -> pd.DataFrame:
         different = np.bincount(group, new)
         first = np.where(known | (different > GROUP), WIDE, OPEN)
         rows["state"] = np.where(new, first[group], REMOVED)
-        rows = rows[~new | (not pairs) & (known | (different > 1))[group]]
+        rows = rows[~told_twice(rows, ORDER) & (~new | (not pairs) & (known | (different > 1))[group])]
     return pd.concat([settled, rows], ignore_index=True)
 
 
@@ -225,7 +237,9 @@ def repeated_windows(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
 
     Equal windows have one name, and all segments of a name are in ``rows``. Some names are taken at a time.
     """
-    rows = rows.sort_values(["kh", "key", "crc", "start"], kind="stable").reset_index(drop=True)
+    order = ["kh", "key", "crc", "start"]
+    rows = rows.sort_values(order, kind="stable")
+    rows = rows[~told_twice(rows, order)].reset_index(drop=True)
     new_kh = np.append(True, rows.kh.to_numpy()[1:] != rows.kh.to_numpy()[:-1])
     size = np.cumsum(rows.body.str.len().to_numpy())
     part = (size // (4 * BLOCK))[np.maximum.accumulate(np.where(new_kh, np.arange(len(rows)), 0))]
