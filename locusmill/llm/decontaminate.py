@@ -55,6 +55,18 @@ def found_windows(docs: DataFrame, bench: DataFrame, key: str, text: str, item:
     )
 
 
+def _judged(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str, item_text: str, width: int) -> DataFrame:
+    """(dkey, dh, n_words, n_hit, items, contaminated) of each row of ``docs``; dh is the text's hash."""
+    hits = found_windows(docs, bench, key, text, item, item_text, width).groupBy("key", "h").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    base = docs.select(F.col(key).alias("dkey"), F.xxhash64(text).alias("dh"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    joined = base.join(hits, F.col("dkey").eqNullSafe(F.col("key")) & (F.col("dh") == F.col("h")), "left")
+    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    return joined.select("dkey", "dh", "n_words", n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
 def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
     """One row for each row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -63,24 +75,16 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     change nothing but the number of rows. Rows of one key and different texts are told apart by the text's hash.
     Only the named columns are read. Empty tables give no rows, or no hits.
     """
-    hits = found_windows(docs, bench, key, text, item, item_text, width).groupBy("key", "h").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    base = docs.select(F.col(key).alias("dkey"), F.xxhash64(text).alias("dh"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
-    joined = base.join(hits, F.col("dkey").eqNullSafe(F.col("key")) & (F.col("dh") == F.col("h")), "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(
-        F.col("dkey").alias(key), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    return _judged(docs, bench, key, text, item, item_text, width).select(
+        F.col("dkey").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
-    """``docs`` without the contaminated documents, all columns kept. Rows whose key is null are judged as one key."""
-    bad = contamination(docs, bench, key, text, item, item_text, width).where("contaminated").select(F.col(key).alias("__key")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["__key"]), "left_anti")
+    """``docs`` without the contaminated documents, all columns kept. Rows of one key, or of none, are each judged by their own text."""
+    bad = _judged(docs, bench, key, text, item, item_text, width).where("contaminated").select(F.col("dkey").alias("__key"), F.col("dh").alias("__hash")).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad["__key"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:

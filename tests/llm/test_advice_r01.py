@@ -1,6 +1,6 @@
 """Cases of the first review: each failed before its fix."""
 
-from locusmill.llm import line_dedup, suffix_dedup
+from locusmill.llm import decontaminate, line_dedup, suffix_dedup
 
 PASSAGE = " ".join(f"word{i} of a passage that nobody else holds," for i in range(12)) + " and so it ends."
 
@@ -26,3 +26,11 @@ def test_repeated_rows_of_wide_names(spark, monkeypatch):
     want = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), outputs="digest").collect()}
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(4), outputs="digest").collect()
     assert len(got) == 18 and all(r.n_removed == want[r.doc_id] for r in got)
+
+
+def test_decontamination_judges_each_text(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, item), (None, "clean without an id"), (None, None), (7, f"so {item} it is"), (7, "clean under the same id"), (8, "clean")]
+    got = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "clean without an id"), (7, "clean under the same id"), (8, "clean")]
