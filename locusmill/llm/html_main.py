@@ -17,14 +17,18 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Pages that training reads at most (lowest hashes), page layouts made of each, and the size of the boosted model.
 TRAIN_PAGES, LAYOUTS, TREES, DEPTH, BINS, RATE = 240, 2, 40, 5, 24, 0.3
+#: Longer pages take no part in training; the text of every page is extracted whole.
+TRAIN_CHARS = 100_000
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-truth)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: HTML's element kinds.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "head"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "annotation", "annotation-xml"}
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br object".split())
+#: Formulas are text of their paragraph.
+INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: What a start tag closes if it is open, as far as the element in the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -102,7 +106,7 @@ class Page:
             if name in VOID:
                 flush()
                 continue
-            if name in ("html", "body"):
+            if name in ("html", "head", "body"):  # a head may lack its end tag; its elements are RAW or VOID
                 continue
             flush()
             links = 0
@@ -353,6 +357,7 @@ def truth_of(page: Page, weak: bool) -> np.ndarray:
 def train(pages: DataFrame, source: str = "html", max_pages: int = TRAIN_PAGES) -> BoostedTrees:
     """Boosts on ``max_pages`` pages at most, those of lowest hash, and on layouts made around their texts.
 
+    Pages of more than TRAIN_CHARS characters are left out, not cut: a cut page would end in the midst of its elements.
     Features and labels are made on the executors; the bounded table of nodes comes to the driver. Without pages, or
     with one class only, layouts around a fixed sentence are used.
     """
@@ -372,7 +377,7 @@ def train(pages: DataFrame, source: str = "html", max_pages: int = TRAIN_PAGES)
             if len(batch):
                 yield rows_of(batch.s.tolist())
 
-    chosen = pages.where(F.col(source).isNotNull()).select(F.substring(source, 1, 100_000).alias("s")).orderBy(F.xxhash64("s"), "s").limit(max_pages)
+    chosen = pages.where(F.length(source) <= TRAIN_CHARS).select(F.col(source).alias("s")).orderBy(F.xxhash64("s"), "s").limit(max_pages)
     nodes = chosen.mapInPandas(run, ", ".join(f"{n} float" for n in names) + ", y double").toPandas()
     if nodes.y.nunique() < 2:
         nodes = rows_of(["<article>" + "<p>A plain sentence, of some words, stands here.</p>" * 5 + "</article>"] * 5)

@@ -1,6 +1,6 @@
 """Cases of the first review: each failed before its fix."""
 
-from locusmill.llm import decontaminate, line_dedup, suffix_dedup
+from locusmill.llm import decontaminate, html_main, line_dedup, suffix_dedup
 
 PASSAGE = " ".join(f"word{i} of a passage that nobody else holds," for i in range(12)) + " and so it ends."
 
@@ -34,3 +34,19 @@ def test_decontamination_judges_each_text(spark):
     rows = [(None, item), (None, "clean without an id"), (None, None), (7, f"so {item} it is"), (7, "clean under the same id"), (8, "clean")]
     got = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "clean without an id"), (7, "clean under the same id"), (8, "clean")]
+
+
+def test_html_head_without_end_and_formulas():
+    page = html_main.Page("<html><head><title>t</title><meta charset=utf-8><style>p {}</style><body><article><p>Area <math><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup><annotation>a=r^2</annotation></math> of it.<p><object data=x>See the plan.</object></article>")
+    assert [t for _, t, _ in page.blocks] == ["Area a=r2 of it.", "See the plan."]
+    page = html_main.Page("<head><title>t</title><script>x</script><article>Text</article>")
+    assert [t for _, t, _ in page.blocks] == ["Text"]
+
+
+def test_html_training_cuts_no_page(spark, monkeypatch):
+    monkeypatch.setattr(html_main, "TRAIN_CHARS", 400, raising=False)
+    page = "<article>" + "<p>A plain sentence, of some words, stands here.</p>" * 3 + "</article><nav>menu</nav>"
+    short = spark.createDataFrame([(page,)], "html string")
+    both = spark.createDataFrame([(page,), ("<nav>" + "menu and more " * 20_000,)], "html string")
+    a, b = html_main.train(short), html_main.train(both)
+    assert a.base == b.base and (a.leaf == b.leaf).all()
