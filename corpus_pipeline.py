@@ -20,7 +20,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stretches of text that an earlier document, or the same one, holds go; every document stays."""
-    return line_dedup.remove_repeated_units(docs)
+    return line_dedup.remove_repeated_units(docs, passages=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,12 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from locusmill.llm.suffix_dedup import NO_KEY, REMOVED, ROWS, combined, rank_by_name
+from locusmill.llm.suffix_dedup import BASE, MIX, NO_KEY, REMOVED, ROWS, combined, least_place, rank_by_name
 
 #: A unit is a line, or in long lines whole sentences of this many words at least; a repeat that is cut holds that many.
 UNIT_WORDS, RUN_WORDS = 8, 25
 #: Longer sentences are cut at words that their own hash picks, about one in CUT_EVERY.
 LONG_SENTENCE, CUT_EVERY = 24, 3
+#: Of so many consecutive stretches of RUN_WORDS words one is looked up, so that RUN_WORDS + PLACES - 1 equal words are always found.
+PLACES = 8
+#: Texts whose words are named at once.
+TEXTS = 512
 TOKEN = re.compile(r"\S+")
 SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
@@ -60,9 +64,42 @@ def units(text: str) -> Iterator[tuple[int, int, int, str]]:
         at += len(line) + 1
 
 
-def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def stretches(texts: list[str]) -> dict[str, np.ndarray]:
+    """The stretches of RUN_WORDS words to look up, across sentences and lines: kh, sh (names), text, start, n (characters), idx.
+
+    Of PLACES consecutive stretches of a text the one with the least name is taken. The choice hangs on nothing outside
+    those words, so equal passages give equal stretches wherever they begin and however they are punctuated or broken.
+    """
+    import xxhash
+
+    hashes, starts, stops = [], [], []
+    for t in texts:
+        own = [m.span() for m in TOKEN.finditer(t)]
+        hashes.append(np.array([xxhash.xxh64_intdigest(t[a:b].lower()) for a, b in own], np.uint64))
+        starts.append(np.array([a for a, _ in own], np.int64))
+        stops.append(np.array([b for _, b in own], np.int64))
+    text = np.repeat(np.arange(len(texts)), [len(x) for x in hashes])
+    n = max(0, len(text) - RUN_WORDS + 1)
+    first, start, stop = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*starts, []]).astype(np.int64), np.concatenate([*stops, []]).astype(np.int64)
+    second = (first ^ (first >> np.uint64(29))) * MIX
+    second ^= second >> np.uint64(32)
+    kh, sh = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for j in range(RUN_WORDS):
+        kh, sh = kh * np.uint64(BASE) + first[j : j + n], sh * np.uint64(BASE) + second[j : j + n]
+    valid = text[:n] == text[RUN_WORDS - 1 : RUN_WORDS - 1 + n]
+    # behind the last stretch of a text RUN_WORDS - 1 places are not valid, so no choice reaches into the next text
+    keys = np.where(valid, ((kh * MIX) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64), np.uint64(2**64 - 1))
+    least = least_place(np.append(keys, np.full(PLACES - 1, 2**64 - 1, np.uint64)), PLACES) if n else keys
+    at = np.unique((least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return {"kh": kh[at], "sh": sh[at], "text": text[at], "start": start[at], "n": stop[at + RUN_WORDS - 1] - start[at], "idx": -2 * np.arange(1, len(at) + 1)}
+
+
+def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
     """(key, crc, spans): the stretches of a document, as offsets in its characters, that earlier ones hold too.
 
+    With ``passages`` also stretches of RUN_WORDS equal words at any place count, across units and lines, and spans that
+    overlap or touch are one: every passage of RUN_WORDS + PLACES - 1 words and more is cut but for at most PLACES - 1 words at each end.
+
     A unit is a repeat if its normalised text stands at a smaller (key, offset). Repeats that follow one another in a
     document are one run, and runs of RUN_WORDS words and more count. A batch sends each digest once, so that a line
     that a third of all documents hold arrives once from each batch; its other copies there are settled at once.
@@ -79,8 +116,16 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 for i, (start, stop, words, unit) in enumerate(units(t)):
                     rows.append((*np.frombuffer(xxhash.xxh3_128_digest(unit.encode()), np.int64).tolist(), k, crc, start, stop - start, i, words))
             names = ["kh", "sh", "key", "crc", "start", "n", "idx", "words"]
-            if rows:
-                yield combined(pd.DataFrame(rows, columns=names), True)[["kh", "sh", "key", "crc", "start", "ns", "idx", "words"]]
+            made = [pd.DataFrame(rows, columns=names)] if rows else []
+            texts, keys = batch.text.tolist(), batch.key.to_numpy()
+            for at in range(0, len(texts) if passages else 0, TEXTS):
+                part = texts[at : at + TEXTS]
+                found = stretches(part)
+                crc = np.array([zlib.crc32(t.encode()) for t in part], np.int64)
+                if len(own := found["text"]):
+                    made.append(pd.DataFrame({"kh": found["kh"].view(np.int64), "sh": found["sh"].view(np.int64), "key": keys[at:][own], "crc": crc[own], "start": found["start"], "n": found["n"], "idx": found["idx"], "words": RUN_WORDS})[names])
+            if made:
+                yield combined(pd.concat(made, ignore_index=True), True)[["kh", "sh", "key", "crc", "start", "ns", "idx", "words"]]
 
     docs = df.select(import_, F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = docs.mapInPandas(hashed, ROWS + ", idx int, words int")
@@ -88,13 +133,18 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     own = Window.partitionBy("key", "crc")
     runs = again.distinct().withColumn("run", F.col("idx") - F.row_number().over(own.orderBy("idx")))
     long_ = runs.withColumn("total", F.sum("words").over(Window.partitionBy("key", "crc", "run"))).where(F.col("total") >= RUN_WORDS)
+    if passages:  # one span for those that overlap or touch
+        order = own.orderBy("start", "n")
+        reach = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        apart = long_.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+        long_ = apart.groupBy("key", "crc", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"))
     spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))))
     return long_.groupBy("key", "crc").agg(spans.alias("spans"))
 
 
-def _with_spans(df: DataFrame, key: str, text: str, *more) -> DataFrame:
+def _with_spans(df: DataFrame, key: str, text: str, *more, passages: bool = False) -> DataFrame:
     base = df.select(*more, F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("__key"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("__crc"))
-    found = repeated_units(df, key, text).withColumnsRenamed({"key": "__key", "crc": "__crc", "spans": "__spans"})
+    found = repeated_units(df, key, text, passages).withColumnsRenamed({"key": "__key", "crc": "__crc", "spans": "__spans"})
     return base.join(found, ["__key", "__crc"], "left")
 
 
@@ -111,11 +161,11 @@ def repeat_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return out.select(key, "n_chars", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
-def remove_repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
     """``df`` with the repeated stretches cut out of ``text``; all other columns and rows stay. Null texts stay null."""
     # kept: from each span's end, or the text's start, to the next span's start, or the text's end
     starts = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s.stop))
     ends = F.concat(F.transform("__spans", lambda s: s.start), F.array(F.length(text)))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.substring(F.col(text), s.a + 1, F.greatest(s.b - s.a, F.lit(0)))), "")
-    out = _with_spans(df, key, text, *df.columns)
+    out = _with_spans(df, key, text, *df.columns, passages=passages)
     return out.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)

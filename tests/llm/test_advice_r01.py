@@ -1,5 +1,8 @@
 """Cases of the first review: each failed before its fix."""
 
+import random
+
+import corpus_pipeline
 from locusmill.llm import decontaminate, html_main, line_dedup, suffix_dedup
 
 PASSAGE = " ".join(f"word{i} of a passage that nobody else holds," for i in range(12)) + " and so it ends."
@@ -50,3 +53,25 @@ def test_html_training_cuts_no_page(spark, monkeypatch):
     both = spark.createDataFrame([(page,), ("<nav>" + "menu and more " * 20_000,)], "html string")
     a, b = html_main.train(short), html_main.train(both)
     assert a.base == b.base and (a.leaf == b.leaf).all()
+
+
+def test_stage_cuts_every_passage_of_over_fifty_words(spark):
+    rows, passages = [], {}
+    for seed in range(60):
+        rng = random.Random(seed)
+        end = rng.choice(["! ", ". ", "\n", " ", ",\n\n"])
+        every = rng.choice([1, 3, 6, 11])
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))  # noqa: B023, E731
+        prose = lambda n: "".join(word() + (end if i % every == every - 1 else " ") for i in range(n))  # noqa: B023, E731
+        passage = prose(51).strip()
+        passages[seed] = passage.split()
+        rows += [(3 * seed + i, f"{prose(rng.randint(0, 40))} {passage} {prose(rng.randint(0, 40))}") for i in range(2)]
+        rows.append((3 * seed + 2, prose(80)))
+    source = dict(rows)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    for i, text in got.items():
+        if i % 3 == 1:
+            left = set(passages[i // 3]) & set(text.split())
+            assert len(left) <= 2 * (line_dedup.PLACES - 1), (i, len(left))
+        else:
+            assert text == source[i]
