@@ -3,34 +3,66 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-#: Where scratch tables go if the session names no shared folder (tests).
-LOCAL_CHECKPOINTS = "/tmp/locusmill-checkpoints"
+#: Scratch tables that are still there, in the order they were written: (session, path).
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
+
+    Only a local session, which has one machine, may leave it out; it gets a folder of its own. On a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-        found = spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        found = tempfile.mkdtemp(prefix="locusmill-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts the lineage and survives executors.
 
-    The table goes when the driver's Python ends.
+    The table goes with ``dropped`` or ``only``, at the latest when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/locusmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _tables:
+        atexit.register(_drop_all)
+    _tables.append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the table of a ``saved`` DataFrame that nothing reads any more."""
+    for entry in [t for t in _tables if t[1] == getattr(df, "_saved_at", None)]:
+        _tables.remove(entry)
+        _drop(*entry)
+
+
+def only(make: Callable[[], DataFrame]) -> DataFrame:
+    """``saved(make())`` without the scratch tables that were written for it."""
+    mark = len(_tables)
+    out = saved(make())
+    for entry in _tables[mark:-1]:
+        _drop(*entry)
+    del _tables[mark:-1]
+    return out
+
+
+def _drop_all() -> None:
+    while _tables:
+        _drop(*_tables.pop())
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -43,9 +75,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> int:
-    """Partitions for a shuffle of ``df``'s size: the session's own number."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def spread(df: DataFrame, rows: float = 0, task_rows: int = 500_000) -> int:
+    """Partitions for a shuffle: the session's own number, or more if ``rows`` would give a task more than ``task_rows``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // task_rows))
+
+
+def bytes_of(docs: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts: what sizes the shuffles of their parts."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 def hot_join(rows: DataFrame, side: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
@@ -59,6 +96,23 @@ def hot_join(rows: DataFrame, side: DataFrame, on: list[str], count: str, total:
     return rows.join(hot, on).unionByName(cold)
 
 
+def running(df: DataFrame, order: list[str], **weights: Column) -> DataFrame:
+    """``df`` with, under each name, the sum of that weight over all rows that come before in ``order``.
+
+    Rows are range-partitioned; the sums of whole partitions, a row each, are carried over. Rows that tie are in any order.
+    """
+    placed = saved(df.repartitionByRange(spread(df), *order).withColumn("__part", F.spark_partition_id()).withColumns(weights))
+    sums = sorted(placed.groupBy("__part").agg(*[F.sum(w).alias(w) for w in weights]).collect())  # a row for each partition
+    carry, total = [], [0] * len(weights)
+    for part, *own in sums:
+        carry.append((part, *total))
+        total = [a + b for a, b in zip(total, own, strict=True)]
+    begin = df.sparkSession.createDataFrame(carry or [(0, *total)], "__part int, " + ", ".join(f"__{w} long" for w in weights))
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = {w: F.col(f"__{w}") + F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights}
+    return placed.join(F.broadcast(begin), "__part").withColumns(added).drop("__part", *[f"__{w}" for w in weights])
+
+
 def ascii_lower(col):
     """A-Z to a-z and nothing else. ``lower`` does just that where every character is one byte."""
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(

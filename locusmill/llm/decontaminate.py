@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from locusmill.llm.common import ascii_lower
+from locusmill.llm.common import ascii_lower, saved
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark windows that are sent to all executors at most; with more, the join is shuffled.
+#: Benchmark windows, counted with their items, that are sent to all executors at once; more are taken in blocks, a scan of the texts for each.
 MAX_BROADCAST_WINDOWS = 2_000_000
 
 
@@ -36,35 +36,41 @@ def benchmark_windows(bench: DataFrame, item: str, text: str, width: int) -> Dat
 
 
 def found_windows(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str, item_text: str, width: int) -> DataFrame:
-    """(key, h, start, size, items): every occurrence of a benchmark window; start counts words from 0, h is the text's hash.
+    """(key, h, n_words, start, size, items): every occurrence of a benchmark window, and a row of null start for each row of ``docs``.
 
-    The texts' words are laid out in a row each and meet the anchors in a broadcast join; at the few places left, the
-    whole window is compared.
+    start counts words from 0, h is the text's hash. The texts' words are laid out in a row each, behind them the empty word, and
+    meet the anchors in a broadcast join; at the few places left, the whole window is compared. The empty word stands for the
+    row itself. Words are never shuffled: with very many windows the anchors come in blocks of MAX_BROADCAST_WINDOWS.
     """
-    windows = benchmark_windows(bench, item, item_text, width).persist()
-    small = windows.count() <= MAX_BROADCAST_WINDOWS
-    side = F.broadcast(windows) if small else windows
+    windows = saved(benchmark_windows(bench, item, item_text, width))
+    held = windows.agg(F.count("*") + F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    blocks = -(-held // MAX_BROADCAST_WINDOWS) or 1
     words = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), words_of(F.col(text)).alias("words"))
-    places = words.select("key", "h", "words", F.posexplode("words").alias("at", "anchor"))
+    row = windows.sparkSession.range(1).select(F.lit("").alias("anchor"), F.lit(0).alias("back"), F.lit(0).alias("size"), F.lit("").alias("phrase"), F.array().cast("array<string>").alias("items"))
     start = F.col("at") - F.col("back")
-    return (
-        places.join(side, "anchor")
-        .where((start >= 0) & (start + F.col("size") <= F.size("words")))
-        .where(F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ") == F.col("phrase"))
-        .select("key", "h", start.alias("start"), "size", "items")
-    )
+    out = None
+    for block in range(blocks):
+        anchors = windows.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == block).select("anchor", "back", "size", "phrase", "items")
+        if block == 0:
+            anchors = anchors.union(row)
+        places = words.select("key", "h", F.size("words").cast("long").alias("n_words"), "words", F.posexplode(F.array_append("words", F.lit(""))).alias("at", "anchor"))
+        inside = (start >= 0) & (start + F.col("size") <= F.size("words"))
+        equal = F.array_join(F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ") == F.col("phrase")
+        found = places.join(F.broadcast(anchors), "anchor").where((F.col("anchor") == "") | inside & equal)
+        found = found.select("key", "h", "n_words", F.when(F.col("size") > 0, start).alias("start"), "size", "items")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def _judged(docs: DataFrame, bench: DataFrame, key: str, text: str, item: str, item_text: str, width: int) -> DataFrame:
-    """(dkey, dh, n_words, n_hit, items, contaminated) of each row of ``docs``; dh is the text's hash."""
-    hits = found_windows(docs, bench, key, text, item, item_text, width).groupBy("key", "h").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))).cast("long").alias("n_hit"),
+    """(key, h, n_words, copies, n_hit, items, contaminated) of each key and text of ``docs``; h is the text's hash, copies its number of rows."""
+    place = F.when(F.col("start").isNotNull(), F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))
+    found = found_windows(docs, bench, key, text, item, item_text, width).groupBy("key", "h", "n_words").agg(
+        F.count_if(F.col("start").isNull()).alias("copies"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(place)))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    base = docs.select(F.col(key).alias("dkey"), F.xxhash64(text).alias("dh"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
-    joined = base.join(hits, F.col("dkey").eqNullSafe(F.col("key")) & (F.col("dh") == F.col("h")), "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("dkey", "dh", "n_words", n_hit.alias("n_hit"), items.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
@@ -75,21 +81,22 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     change nothing but the number of rows. Rows of one key and different texts are told apart by the text's hash.
     Only the named columns are read. Empty tables give no rows, or no hits.
     """
-    return _judged(docs, bench, key, text, item, item_text, width).select(
-        F.col("dkey").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    judged = _judged(docs, bench, key, text, item, item_text, width).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return judged.select(
+        F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
     """``docs`` without the contaminated documents, all columns kept. Rows of one key, or of none, are each judged by their own text."""
-    bad = _judged(docs, bench, key, text, item, item_text, width).where("contaminated").select(F.col("dkey").alias("__key"), F.col("dh").alias("__hash")).distinct()
+    bad = _judged(docs, bench, key, text, item, item_text, width).where("contaminated").select(F.col("key").alias("__key"), F.col("h").alias("__hash"))
     return docs.join(bad, docs[key].eqNullSafe(bad["__key"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = 13) -> DataFrame:
     """``docs`` with the words of every found window, and what stands between them, cut out of the text."""
-    hits = found_windows(docs, bench, key, text, item, item_text, width).select("key", "h", "start", (F.col("start") + F.col("size")).alias("stop"))
+    hits = found_windows(docs, bench, key, text, item, item_text, width).where("start is not null").select("key", "h", "start", (F.col("start") + F.col("size")).alias("stop"))
     order = Window.partitionBy("key", "h").orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.distinct().withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from locusmill.llm.common import saved
+from locusmill.llm.common import dropped, saved
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     the number of edges never grows and the rounds grow as the logarithm of the longest path. Loops,
     repeated edges and rows with a null end count for nothing; no edges give no rows. A node's smallest
     neighbour comes from a grouping that sums on the map side and is joined back, so that one node with
-    very many neighbours is never gathered in a task.
+    very many neighbours is never gathered in a task. The table of a round goes when the next one is written.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
@@ -30,11 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
         # now a > b in each edge: a hangs on b
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
+        before = edges
         edges = saved(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
             .where("a <> b").distinct()
         )
+        dropped(before)
         now = _mark(edges)
         if now == mark:
             break

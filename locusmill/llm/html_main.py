@@ -67,6 +67,7 @@ class Page:
 
     def _read(self, source: str) -> None:
         open_ = [0]  # open block elements
+        depths: dict[str, list[int]] = {}  # places of each kind in that list
         run: list[str] = []
         links = linked = at = 0
         raw = ""
@@ -79,6 +80,10 @@ class Page:
                 run.clear()
             linked = 0
 
+        def cut(depth: int) -> None:
+            while len(open_) > depth:
+                depths[self.tag[open_.pop()]].pop()
+
         for m in TAG.finditer(source):
             if not raw and m.start() > at:
                 piece = html.unescape(source[at : m.start()])
@@ -110,22 +115,17 @@ class Page:
                 continue
             flush()
             links = 0
-            tags = [self.tag[i] for i in open_]
             if m[1]:
-                if name in tags[1:]:
-                    del open_[len(tags) - 1 - tags[::-1].index(name) :]
+                if depths.get(name):
+                    cut(depths[name][-1])
                 continue
-            if "p" in tags[-1:]:
-                open_.pop()  # any block ends a paragraph
-                tags.pop()
+            if self.tag[open_[-1]] == "p":
+                cut(len(open_) - 1)  # any block ends a paragraph
             if name in CLOSES:
                 own, within = CLOSES[name]
-                for i in range(len(tags) - 1, 0, -1):
-                    if tags[i] in within:
-                        break
-                    if tags[i] in own:
-                        del open_[i:]
-                        break
+                last = max((depths[t][-1] for t in own if depths.get(t)), default=0)
+                if last > max((depths[t][-1] for t in within if depths.get(t)), default=0):
+                    cut(last)
             words, truth = [], None
             for key, *value in ATTRIBUTE.findall(m[3]) if "=" in m[3] else ():
                 value = "".join(value)
@@ -137,6 +137,7 @@ class Page:
             self.tag.append(name)
             self.kinds.append([k for w in words for k in KIND_OF.get(w, ())])
             self.truth.append(truth)
+            depths.setdefault(name, []).append(len(open_))
             open_.append(len(self.tag) - 1)
         if not raw and at < len(source):
             run.append(html.unescape(source[at:]))
@@ -359,7 +360,8 @@ def train(pages: DataFrame, source: str = "html", max_pages: int = TRAIN_PAGES)
 
     Pages of more than TRAIN_CHARS characters are left out, not cut: a cut page would end in the midst of its elements.
     Features and labels are made on the executors; the bounded table of nodes comes to the driver. Without pages, or
-    with one class only, layouts around a fixed sentence are used.
+    with one class only, layouts around a fixed sentence are used. Null pages count as empty; repeated pages count as often as they
+    stand; only ``source`` is read.
     """
     names = [f"f{i}" for i in range(16 + 2 * len(KINDS) + len(TAGS))]
 
@@ -377,7 +379,7 @@ def train(pages: DataFrame, source: str = "html", max_pages: int = TRAIN_PAGES)
             if len(batch):
                 yield rows_of(batch.s.tolist())
 
-    chosen = pages.where(F.length(source) <= TRAIN_CHARS).select(F.col(source).alias("s")).orderBy(F.xxhash64("s"), "s").limit(max_pages)
+    chosen = pages.where(F.coalesce(F.length(source), F.lit(0)) <= TRAIN_CHARS).select(F.col(source).alias("s")).orderBy(F.xxhash64("s"), "s").limit(max_pages)
     nodes = chosen.mapInPandas(run, ", ".join(f"{n} float" for n in names) + ", y double").toPandas()
     if nodes.y.nunique() < 2:
         nodes = rows_of(["<article>" + "<p>A plain sentence, of some words, stands here.</p>" * 5 + "</article>"] * 5)

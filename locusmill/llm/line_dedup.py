@@ -1,8 +1,7 @@
-"""Substring dedup by hashing units of lines: the earliest occurrence of a unit stays, later ones go."""
+"""Substring dedup by hashing lines, and stretches of words inside and across lines: the earliest stays, later ones go."""
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -10,162 +9,121 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from locusmill.llm.suffix_dedup import BASE, MIX, NO_KEY, REMOVED, ROWS, combined, least_place, rank_by_name
-
-#: A unit is a line, or in long lines whole sentences of this many words at least; a repeat that is cut holds that many.
-UNIT_WORDS, RUN_WORDS = 8, 25
-#: Longer sentences are cut at words that their own hash picks, about one in CUT_EVERY.
-LONG_SENTENCE, CUT_EVERY = 24, 3
-#: Of so many consecutive stretches of RUN_WORDS words one is looked up, so that RUN_WORDS + PLACES - 1 equal words are always found.
-PLACES = 8
-#: Texts whose words are named at once.
-TEXTS = 512
-TOKEN = re.compile(r"\S+")
-SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
-
-
-def sentences(line: str) -> Iterator[tuple[int, list[str]]]:
-    """(end, words in lower case) of a line's sentences, long ones in parts."""
-    for m in SENTENCE.finditer(line):
-        words = m[0].lower().split()
-        if len(words) <= LONG_SENTENCE:
-            yield m.end(), words
-            continue
-        part: list[str] = []
-        for w in TOKEN.finditer(m[0]):
-            part.append(w[0].lower())
-            if len(part) >= UNIT_WORDS and zlib.crc32(part[-1].encode()) % CUT_EVERY == 0:
-                yield m.start() + w.end(), part
-                part = []
-        yield m.end(), part
-
-
-def units(text: str) -> Iterator[tuple[int, int, int, str]]:
-    """(start, stop, words, normalised) of the text's units; lines of fewer than UNIT_WORDS words give none.
-
-    Normalised: lower case, white space as one space. A line's short sentences go with the next ones until they
-    have UNIT_WORDS words, and at its end with those before, so units fall in step again soon after any difference.
-    A sentence without an end in sight is cut after words that their hash picks, wherever it began.
-    """
-    at = 0
-    for line in text.split("\n"):
-        found: list[list] = []
-        begin, own = at, []
-        for end, words in sentences(line):
-            own += words
-            if len(own) >= UNIT_WORDS:
-                found.append([begin, at + end, own])
-                begin, own = at + end, []
-        if own and found:
-            found[-1][1] = at + len(line)
-            found[-1][2] += own
-        for start, stop, words in found:
-            yield start, stop, len(words), " ".join(words)
-        at += len(line) + 1
-
-
-def stretches(texts: list[str]) -> dict[str, np.ndarray]:
-    """The stretches of RUN_WORDS words to look up, across sentences and lines: kh, sh (names), text, start, n (characters), idx.
-
-    Of PLACES consecutive stretches of a text the one with the least name is taken. The choice hangs on nothing outside
-    those words, so equal passages give equal stretches wherever they begin and however they are punctuated or broken.
+from locusmill.llm.common import bytes_of, spread
+from locusmill.llm.shingles import mixed, run_names, stretches, words_of
+from locusmill.llm.suffix_dedup import NO_KEY, REMOVED, ROWS, combined, rank_by_name
+
+#: Words of the least repeat that goes; of so many consecutive stretches of that size one is looked up.
+RUN_WORDS, PLACES = 25, 8
+#: Characters of the texts that are hashed at once.
+CHARS = 2_000_000
+COLUMNS = ["kh", "sh", "key", "crc", "start", "n", "idx", "words"]
+
+
+def hashed_units(texts: list[str], unit_words: int, stretch_words: int) -> dict[str, np.ndarray]:
+    """Lines of ``unit_words`` words and more, and stretches of ``stretch_words`` words (none for 0).
+
+    kh, sh: names; text; start, n: characters; idx: the first word's number in its text; words: how many, negative for stretches.
     """
-    import xxhash
-
-    hashes, starts, stops = [], [], []
-    for t in texts:
-        own = [m.span() for m in TOKEN.finditer(t)]
-        hashes.append(np.array([xxhash.xxh64_intdigest(t[a:b].lower()) for a, b in own], np.uint64))
-        starts.append(np.array([a for a, _ in own], np.int64))
-        stops.append(np.array([b for _, b in own], np.int64))
-    text = np.repeat(np.arange(len(texts)), [len(x) for x in hashes])
-    n = max(0, len(text) - RUN_WORDS + 1)
-    first, start, stop = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*starts, []]).astype(np.int64), np.concatenate([*stops, []]).astype(np.int64)
-    second = (first ^ (first >> np.uint64(29))) * MIX
-    second ^= second >> np.uint64(32)
-    kh, sh = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(RUN_WORDS):
-        kh, sh = kh * np.uint64(BASE) + first[j : j + n], sh * np.uint64(BASE) + second[j : j + n]
-    valid = text[:n] == text[RUN_WORDS - 1 : RUN_WORDS - 1 + n]
-    # behind the last stretch of a text RUN_WORDS - 1 places are not valid, so no choice reaches into the next text
-    keys = np.where(valid, ((kh * MIX) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64), np.uint64(2**64 - 1))
-    least = least_place(np.append(keys, np.full(PLACES - 1, 2**64 - 1, np.uint64)), PLACES) if n else keys
-    at = np.unique((least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    return {"kh": kh[at], "sh": sh[at], "text": text[at], "start": start[at], "n": stop[at + RUN_WORDS - 1] - start[at], "idx": -2 * np.arange(1, len(at) + 1)}
-
-
-def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
-    """(key, crc, spans): the stretches of a document, as offsets in its characters, that earlier ones hold too.
-
-    With ``passages`` also stretches of RUN_WORDS equal words at any place count, across units and lines, and spans that
-    overlap or touch are one: every passage of RUN_WORDS + PLACES - 1 words and more is cut but for at most PLACES - 1 words at each end.
-
-    A unit is a repeat if its normalised text stands at a smaller (key, offset). Repeats that follow one another in a
-    document are one run, and runs of RUN_WORDS words and more count. A batch sends each digest once, so that a line
-    that a third of all documents hold arrives once from each batch; its other copies there are settled at once.
+    w = words_of(texts)
+    first = np.append(0, np.cumsum(np.bincount(w.text, minlength=len(texts))))  # word where each text begins
+    new = np.append(True, (w.text[1:] != w.text[:-1]) | (w.line[1:] != w.line[:-1])) if len(w.text) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(w.text)).astype(np.int64)[: len(begin)]
+    long_ = end - begin >= unit_words
+    begin, end = begin[long_], end[long_]
+    size = (end - begin).astype(np.uint64)
+    found = [(mixed(run_names(mixed(w.name, 29), begin, end) + size), mixed(run_names(mixed(w.name, 31), begin, end) + size), begin, end, end - begin)]
+    if stretch_words:
+        at, kh, sh = stretches(w, stretch_words, PLACES)
+        found.append((kh, sh, at, at + stretch_words, np.full(len(at), -stretch_words)))
+    kh, sh, begin, end, words = (np.concatenate(x) for x in zip(*found, strict=True))
+    text = w.text[begin]
+    return {"kh": kh, "sh": sh, "text": text, "start": w.start[begin], "n": w.stop[end - 1] - w.start[begin], "idx": begin - first[text], "words": words}
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of CHARS characters at most, or of one text."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > CHARS:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit_words: int = 1, run_words: int = RUN_WORDS, stretch_words: int = RUN_WORDS) -> DataFrame:
+    """(key, crc, spans, lines): what later documents repeat, as offsets in their characters.
+
+    Lines are compared without regard to case and white space; one is a repeat if an equal line stands at a smaller (key,
+    offset). ``lines`` (start, stop, words) lists every repeated line of ``unit_words`` words and more. ``spans`` (start, stop) is
+    what goes: repeated lines that follow one another and hold ``run_words`` words together, and stretches of
+    ``stretch_words`` equal words at any place, across sentences and lines (0: none), joined where they overlap or touch. So
+    every passage of stretch_words + PLACES - 1 words and more goes but for PLACES - 1 words at each end at most; with
+    ``run_words=1, stretch_words=0`` every repeated line goes and nothing else. A batch sends each name once: a line
+    that a third of all documents hold arrives once from each batch, and its other copies there are settled at once.
     """
     import_ = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for batch in batches:
-            rows = []
-            for k, t in zip(batch.key.tolist(), batch.text.tolist(), strict=True):
-                crc = zlib.crc32(t.encode())
-                for i, (start, stop, words, unit) in enumerate(units(t)):
-                    rows.append((*np.frombuffer(xxhash.xxh3_128_digest(unit.encode()), np.int64).tolist(), k, crc, start, stop - start, i, words))
-            names = ["kh", "sh", "key", "crc", "start", "n", "idx", "words"]
-            made = [pd.DataFrame(rows, columns=names)] if rows else []
             texts, keys = batch.text.tolist(), batch.key.to_numpy()
-            for at in range(0, len(texts) if passages else 0, TEXTS):
-                part = texts[at : at + TEXTS]
-                found = stretches(part)
-                crc = np.array([zlib.crc32(t.encode()) for t in part], np.int64)
-                if len(own := found["text"]):
-                    made.append(pd.DataFrame({"kh": found["kh"].view(np.int64), "sh": found["sh"].view(np.int64), "key": keys[at:][own], "crc": crc[own], "start": found["start"], "n": found["n"], "idx": found["idx"], "words": RUN_WORDS})[names])
-            if made:
-                yield combined(pd.concat(made, ignore_index=True), True)[["kh", "sh", "key", "crc", "start", "ns", "idx", "words"]]
+            for a, b in slices(texts):
+                found = hashed_units(texts[a:b], unit_words, stretch_words)
+                crc, own = np.array([zlib.crc32(t.encode()) for t in texts[a:b]], np.int64), found.pop("text")
+                if len(own):
+                    rows = pd.DataFrame({"key": keys[a:b][own], "crc": crc[own]} | {c: x.view(np.int64) if c in ("kh", "sh") else x.astype(np.int32) for c, x in found.items()})
+                    yield combined(rows[COLUMNS], True)[["kh", "sh", "key", "crc", "start", "ns", "idx", "words"]]
 
     docs = df.select(import_, F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = docs.mapInPandas(hashed, ROWS + ", idx int, words int")
-    again = rank_by_name(made, True, ("idx", "words")).where(F.col("state") == REMOVED).drop("state", "kh")
-    own = Window.partitionBy("key", "crc")
-    runs = again.distinct().withColumn("run", F.col("idx") - F.row_number().over(own.orderBy("idx")))
-    long_ = runs.withColumn("total", F.sum("words").over(Window.partitionBy("key", "crc", "run"))).where(F.col("total") >= RUN_WORDS)
-    if passages:  # one span for those that overlap or touch
-        order = own.orderBy("start", "n")
-        reach = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        apart = long_.withColumn("new", F.when(reach >= F.col("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-        long_ = apart.groupBy("key", "crc", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).alias("n"))
-    spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("stop"))))
-    return long_.groupBy("key", "crc").agg(spans.alias("spans"))
-
-
-def _with_spans(df: DataFrame, key: str, text: str, *more, passages: bool = False) -> DataFrame:
+    parts = spread(df, bytes_of(docs) / 20)  # about a row for 20 bytes
+    again = rank_by_name(made, True, ("idx", "words"), parts).where(F.col("state") == REMOVED).select("key", "crc", "start", "n", "idx", "words").distinct()
+    units = again.withColumns({"stop": F.col("start") + F.col("n"), "end": F.col("idx") + F.abs("words"), "line": F.col("words") > 0})
+
+    def runs(rows: DataFrame, own: list[str]) -> DataFrame:
+        """Rows whose words overlap or adjoin become one."""
+        order = Window.partitionBy(*own).orderBy("idx", "end")
+        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        apart = rows.withColumn("run", F.sum(F.when(reach >= F.col("idx"), 0).otherwise(1)).over(order))
+        return apart.groupBy(*own, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("idx").alias("idx"), F.max("end").alias("end"))
+
+    one_kind = runs(units, ["key", "crc", "line"]).where(~F.col("line") | (F.col("end") - F.col("idx") >= run_words))
+    kept = runs(one_kind, ["key", "crc"])
+    span, line = F.struct("start", "stop"), F.struct("start", "stop", "words")
+    parts_ = kept.select("key", "crc", span.alias("span"), F.lit(None).cast("struct<start:int,stop:int,words:int>").alias("line")).unionByName(
+        units.where("line").select("key", "crc", F.lit(None).cast("struct<start:int,stop:int>").alias("span"), line.alias("line"))
+    )
+    return parts_.groupBy("key", "crc").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.array_sort(F.collect_list("line")).alias("lines"))
+
+
+def _with_spans(df: DataFrame, key: str, text: str, *more, **how) -> DataFrame:
     base = df.select(*more, F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("__key"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("__crc"))
-    found = repeated_units(df, key, text, passages).withColumnsRenamed({"key": "__key", "crc": "__crc", "spans": "__spans"})
+    found = repeated_units(df, key, text, **how).withColumnsRenamed({"key": "__key", "crc": "__crc", "spans": "__spans", "lines": "__lines"})
     return base.join(found, ["__key", "__crc"], "left")
 
 
-def repeat_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row: key, n_chars, n_removed, n_spans, spans (start, stop in characters of the input).
+def repeat_report(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row for each row: key, n_chars, n_removed, n_spans, spans (start, stop in characters of the input), n_lines, lines.
 
-    Null texts count as empty, null keys rank before all others; of rows with one key the CRC of the text decides, and
-    a repeated row is the same document and gets the same spans. Only ``key`` and ``text`` are read. No rows, no result.
+    ``spans`` go, ``lines`` are all repeated lines; see ``repeated_units``, also for ``how``. Null texts count as empty, null keys
+    rank before all others; of rows with one key the CRC of the text decides, and a repeated row is the same document and
+    gets the same result. Only ``key`` and ``text`` are read. No rows, no result.
     """
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
     n_chars = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    out = _with_spans(df, key, text, F.col(key), n_chars.alias("n_chars")).withColumn("spans", F.coalesce("__spans", empty))
+    out = _with_spans(df, key, text, F.col(key), n_chars.alias("n_chars"), **how)
+    out = out.withColumns({"spans": F.coalesce("__spans", F.array().cast("array<struct<start:int,stop:int>>")), "lines": F.coalesce("__lines", F.array().cast("array<struct<start:int,stop:int,words:int>>"))})
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.stop - s.start)
-    return out.select(key, "n_chars", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans")
+    return out.select(key, "n_chars", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", F.size("lines").cast("long").alias("n_lines"), "lines")
 
 
-def remove_repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", passages: bool = False) -> DataFrame:
+def remove_repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``df`` with the repeated stretches cut out of ``text``; all other columns and rows stay. Null texts stay null."""
     # kept: from each span's end, or the text's start, to the next span's start, or the text's end
     starts = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s.stop))
     ends = F.concat(F.transform("__spans", lambda s: s.start), F.array(F.length(text)))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.substring(F.col(text), s.a + 1, F.greatest(s.b - s.a, F.lit(0)))), "")
-    out = _with_spans(df, key, text, *df.columns, passages=passages)
+    out = _with_spans(df, key, text, *df.columns, **how)
     return out.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(kept)).select(*df.columns)

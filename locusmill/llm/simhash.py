@@ -10,11 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from locusmill.llm.common import hot_join, saved
 from locusmill.llm.graph import components
+from locusmill.llm.line_dedup import slices
+from locusmill.llm.shingles import stretches, words_of
 
 #: Distinct fingerprints that the tree is built on at most; rows of a leaf aimed at; pairs that one task compares at most.
-SAMPLE, LEAF_ROWS, TASK_PAIRS = 32_768, 2_048, 400_000_000
+SAMPLE, LEAF_ROWS, TASK_PAIRS = 32_768, 16_384, 4_000_000_000
 #: Pairs compared at once.
 BLOCK = 2_000_000
+#: Sections of a text for ``near_dedup``: words, of how many consecutive ones one is chosen, and how many of the chosen ones (the least) stand for it.
+SECTION_WORDS, SECTION_PLACES, SECTIONS = 8, 12, 16
+#: Orders of fingerprints, of which a section takes one to choose the text that stands for it.
+ORDERS = 4
+#: Bits by which the fingerprints of texts that share a section may differ to be compared word by word; pairs that a copy of a text meets.
+LIKE_BITS, COPY_PAIRS = 20, 1_000
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -33,16 +41,32 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(key, fp): fp as a signed long with the same bits. Null and blank texts have fp 0."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, sections: bool = False) -> DataFrame:
+    """(key, th, fp), and sections if wanted: th is the text's hash, fp a signed long with the fingerprint's bits.
+
+    Null and blank texts have fp 0. ``sections`` are names of word stretches that texts with equal passages share.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = np.array([fingerprint(t, width) for t in batch.pop("__text").tolist()], np.uint64)
-            yield batch.assign(fp=made.view(np.int64))
+            texts = [t or "" for t in batch.pop("text").tolist()]
+            batch["fp"] = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+            if sections:
+                batch["sections"] = [x for a, b in slices(texts) for x in sections_of(texts[a:b])]
+            yield batch
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    return df.select(key, F.col(text).alias("__text")).mapInPandas(run, f"`{key}` {kind}, fp bigint")
+    body = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return body.mapInPandas(run, f"key {kind}, th bigint, fp bigint" + ", sections array<bigint>" * sections)
+
+
+def sections_of(texts: list[str]) -> list[np.ndarray]:
+    """The SECTIONS least names of each text's chosen stretches."""
+    words = words_of(texts)
+    at, name, _ = stretches(words, SECTION_WORDS, SECTION_PLACES)
+    text = words.text[at]
+    edge = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [np.unique(name[a:b])[:SECTIONS].view(np.int64) for a, b in zip(edge, edge[1:], strict=False)]
 
 
 class VantageTree:
@@ -114,26 +138,29 @@ def join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
+#: Roles of a row in a task: it is only met, only meets, or both.
+GUEST, HOME, BOTH = 0, 1, 2
+
+
 def leaf_edges(leaf: pd.DataFrame, reach: int) -> pd.DataFrame:
-    """A spanning forest of the near pairs in one leaf: at most an edge for each row."""
+    """A spanning forest of the near pairs in one task: at most an edge for each row."""
     points = leaf.fp.to_numpy().view(np.uint64)
-    owned = leaf.home.to_numpy()
+    role = leaf.role.to_numpy()
     values, at = np.unique(points, return_inverse=True)
     parent = np.arange(len(values))
-    home, guest = np.flatnonzero(owned), np.arange(len(points))
-    for h, g in near_pairs(points[home], points, reach):
+    home, guest = np.flatnonzero(role != GUEST), np.flatnonzero(role != HOME)
+    for h, g in near_pairs(points[home], points[guest], reach):
         join_roots(parent, at[home[h]], at[guest[g]])
     moved = np.flatnonzero(parent != np.arange(len(values)))
     return pd.DataFrame({"a": values[moved].view(np.int64), "b": values[parent[moved]].view(np.int64)})
 
 
-def near_edges(points: DataFrame, reach: int = 2) -> DataFrame:
-    """Edges (a, b) that connect all of the distinct ``points(fp)`` within ``reach`` bits, by a sharded vantage-point tree.
+def dealt(points: DataFrame, reach: int) -> DataFrame:
+    """(leaf, i, j, fp, role): the distinct ``points(fp)`` in the tasks that compare them, by a sharded vantage-point tree.
 
     The tree is built on a bounded sample (SAMPLE, lowest hashes) and has about a leaf for LEAF_ROWS points; every
-    point is put in its own leaf and sent as a guest to the leaves whose bounds it is near. A leaf of too many pairs
-    is dealt out: its points go to several tasks, each with a share of the guests. Pairs are exact; only the
-    forest that a leaf needs comes out, never all pairs of a group.
+    point is put in its own leaf and sent as a guest to the leaves whose bounds it is near. A leaf of more than TASK_PAIRS
+    pairs is dealt out as a grid: home rows in parts i, all its rows as guests in parts j, so that each pair meets in one task.
     """
     spark = points.sparkSession
     total = points.count()
@@ -151,12 +178,41 @@ def near_edges(points: DataFrame, reach: int = 2) -> DataFrame:
     routed = points.select("fp").mapInPandas(sent, "leaf bigint, fp bigint, home boolean")
     # one row a leaf, of which there are SAMPLE / 16 at most
     sizes = routed.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
-    shares = sizes.select("leaf", F.ceil(F.col("n") * F.col("h") / F.lit(TASK_PAIRS)).cast("int").alias("shares"))
-    salted = routed.join(F.broadcast(shares), "leaf").select(
-        "leaf", "fp", "home",
-        F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.greatest(F.col("shares") - 1, F.lit(0)))).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.greatest("shares", F.lit(1))).cast("int")))).alias("share"),
+    cells = F.ceil(F.col("n") * F.col("h") / F.lit(TASK_PAIRS))
+    rows = F.greatest(F.lit(1), F.least(cells, F.ceil(F.sqrt(cells * F.col("h") / F.col("n"))))).cast("int")
+    grid = sizes.withColumn("rows", rows).select("leaf", "rows", F.greatest(F.lit(1), F.ceil(cells / F.col("rows"))).cast("int").alias("cols"))
+    one = (F.col("rows") == 1) & (F.col("cols") == 1)
+    part = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    split = F.concat(
+        F.when(F.col("home"), F.transform(count("cols"), lambda j: place(part(F.col("rows")), j, HOME))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>")),
+        F.transform(count("rows"), lambda i: place(i, part(F.col("cols")), GUEST)),
     )
-    return salted.groupBy("leaf", "share").applyInPandas(lambda leaf: leaf_edges(leaf, reach), "a bigint, b bigint")
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("home"), BOTH).otherwise(GUEST).alias("role")))
+    return routed.join(F.broadcast(grid), "leaf").select("leaf", "fp", F.explode(F.when(one, whole).otherwise(split)).alias("x")).select("leaf", "x.i", "x.j", "fp", "x.role")
+
+
+def near_edges(points: DataFrame, reach: int = 2) -> DataFrame:
+    """Edges (a, b) that connect all of the distinct ``points(fp)`` within ``reach`` bits.
+
+    Pairs are exact; only the forest that a task needs comes out, never all pairs of a group.
+    """
+    return dealt(points, reach).groupBy("leaf", "i", "j").applyInPandas(lambda leaf: leaf_edges(leaf, reach), "a bigint, b bigint")
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """(fp, best, n): each fingerprint's row of smallest key (null keys last, ties by the text's hash) and its number of rows."""
+    return rows.groupBy("fp").agg(F.min(F.struct(F.isnull("key").alias("none"), "key", "th")).alias("best"), F.count("*").alias("n"))
+
+
+def _grouped(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, n, best): the best row of all that links reach from each fingerprint."""
+    roots = saved(components(edges))
+    linked = roots.join(points, roots.node == points.fp).select("node", "root", "best")
+    of_root = linked.groupBy("root").agg(F.min("best").alias("all"))
+    of_point = linked.join(of_root, "root").select(F.col("node").alias("fp"), "all")
+    return points.join(of_point, "fp", "left").select("fp", "n", F.coalesce("all", "best").alias("best"))
 
 
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
@@ -166,21 +222,66 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     Null keys take part but are never a component_id, which is null only if all of its keys are. Only ``key`` and
     ``text`` are read, so other columns can't clash. An empty table gives an empty one.
     """
-    rows = saved(fingerprints(df, key, text, width).withColumnRenamed(key, "key"))
-    points = saved(rows.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    roots = saved(components(near_edges(points, reach)))
-    linked = roots.join(points, roots.node == points.fp).select("node", "root", "least")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_point = linked.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
-    named = saved(points.join(of_point, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")))
+    rows = saved(fingerprints(df, key, text, width))
+    points = saved(_points(rows))
+    named = saved(_grouped(points, near_edges(points, reach)).select("fp", "n", F.col("best.key").alias("component_id")))
     return hot_join(rows, named, ["fp"], "n", rows.count()).select(F.col("key").alias(key), "fp", "component_id")
 
 
-def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, reach: int = 2) -> DataFrame:
-    """``df`` with one document of each group: the one of smallest key, with all its rows.
+def shingle_set(text: str | None, width: int) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(zip(*[words[i:] for i in range(width)], strict=False)) if len(words) >= width else frozenset([tuple(words)])
+
+
+def like_edges(docs: DataFrame, rows: DataFrame, points: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts that share a section and ``similarity`` of their ``width``-word shingles (Jaccard).
 
-    Rows of null key stay only if some group has no other key.
+    Of the texts that share a section one stands for it and meets the others, so a section that very many texts hold makes a
+    pair for each text and never all pairs. Which one hangs on the section too (ORDERS ways), so that texts that share several
+    sections meet several others. Pairs more than LIKE_BITS apart are left out, all others
+    are settled on the whole texts. A head that meets many texts is copied, for COPY_PAIRS of them each.
+    """
+    total = rows.count()
+    parts = rows.select("fp", F.explode("sections").alias("s"))
+    head = F.min_by("fp", F.xxhash64("fp", F.pmod("s", F.lit(ORDERS))))
+    heads = parts.groupBy("s").agg(head.alias("head"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("many")).where("a <> b").select("s", "head", "many")
+    met = hot_join(parts, heads, ["s"], "many", total * SECTIONS).where("head <> fp")
+    pairs = saved(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= LIKE_BITS).select("fp", "head").distinct())
+    n_pairs = pairs.count()
+    copies = saved(pairs.groupBy("head").agg(F.count("*").alias("met")))
+    salted = hot_join(pairs, copies, ["head"], "met", n_pairs).select("fp", "head", F.pmod(F.xxhash64("fp"), F.ceil(F.col("met") / COPY_PAIRS)).alias("copy"))
+    ends = pairs.select("fp").union(copies.select("head")).distinct().join(points, "fp").select("fp", "n", F.col("best.key").alias("own"), F.col("best.th").alias("th"))
+    texts = hot_join(docs.select("key", F.xxhash64("text").alias("th"), "text"), ends, ["th"], "n", total)
+    texts = saved(texts.where(F.col("fp").isNotNull() & F.col("key").eqNullSafe(F.col("own"))).groupBy("fp").agg(F.first("text").alias("text")))
+    of_head = texts.join(copies, texts.fp == copies["head"]).select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("met") / COPY_PAIRS) - 1)).alias("copy"), F.col("text").alias("head_text"))
+
+    def like(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, own = None, frozenset()
+        for batch in batches:
+            keep = []
+            for head, b, a in zip(batch["head"].tolist(), batch.head_text.tolist(), batch.text.tolist(), strict=True):
+                if head != last:
+                    last, own = head, shingle_set(b, width)
+                other = shingle_set(a, width)
+                both = len(own & other)
+                keep.append(both >= similarity * (len(own) + len(other) - both))
+            yield batch[keep][["fp", "head"]].rename(columns={"fp": "a", "head": "b"})
+
+    return salted.join(texts, "fp").join(of_head, ["head", "copy"]).select("fp", "head", "text", "head_text").mapInPandas(like, "a bigint, b bigint")
+
+
+def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, reach: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``df`` with one document of each group: the one of smallest key, with all its rows; null keys come last.
+
+    Texts link if their fingerprints are within ``reach`` bits, found by the tree, or if their shingles of ``width`` words are alike
+    (Jaccard of ``similarity`` or more). A tree can't prune as far as like texts' fingerprints lie apart, so these are looked for
+    among texts that share a section: of SECTION_PLACES consecutive stretches of SECTION_WORDS words one is chosen, and the
+    SECTIONS least stand for a text. Like texts miss each other only if every such stretch was edited. Rows of one key and
+    different texts are told apart by the text's hash. Null and blank texts are one group. No rows, no result.
     """
-    named = near_groups(df, key, text, width, reach)
-    kept = named.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")
+    rows = saved(fingerprints(df, key, text, width, sections=True))
+    points = saved(_points(rows))
+    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    links = near_edges(points, reach).union(like_edges(docs, rows, points, width, similarity))
+    kept = _grouped(points, links).select(F.col("best.key").alias("__kept"), F.col("best.th").alias("__th")).distinct()
+    return df.join(kept, df[key].eqNullSafe(kept["__kept"]) & (F.xxhash64(df[text]) == kept["__th"]), "left_semi")

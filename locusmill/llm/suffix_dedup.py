@@ -6,6 +6,9 @@ takes part: each window of the threshold's length points to the least of its 32-
 to equal places, and only those places (about one byte in 35) are ranked first. Spark deals them out by name; a place whose
 name is unique drops out, equal surroundings are settled at once, and only the windows around the other places
 are named at full length, dealt out again and ordered by (document, start).
+
+Strings are compared by two 64-bit names of fixed seed, not byte by byte: that two different strings have both names in
+common is taken for impossible (about 2**-120 for a pair).
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from locusmill.llm.common import saved, spread
+from locusmill.llm.common import bytes_of, saved, spread
 
 #: Bytes of a first-level name; bytes that are named at once.
 NAME, BLOCK = 32, 1 << 18
@@ -212,15 +215,15 @@ def _whole(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
     return pd.concat(own, ignore_index=True) if own else None
 
 
-def rank_by_name(made: DataFrame, pairs: bool, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Deals the rows out by name and ranks them; (kh, key, crc, start, n, state) of what isn't unique, and ``extra`` int columns."""
+def rank_by_name(made: DataFrame, pairs: bool, extra: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """Deals the rows out by name into ``parts`` tasks and ranks them; (kh, key, crc, start, n, state) of what isn't unique, and ``extra`` int columns."""
     names_ = ["kh", "key", "crc", "start", "n", "state", *extra]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if (rows := _whole(batches)) is not None:
             yield ranked(rows, pairs)[names_]
 
-    return made.repartition(spread(made), "kh").mapInPandas(run, "kh bigint, key bigint, crc bigint, start int, n int, state tinyint" + "".join(f", {c} int" for c in extra))
+    return made.repartition(parts or spread(made), "kh").mapInPandas(run, "kh bigint, key bigint, crc bigint, start int, n int, state tinyint" + "".join(f", {c} int" for c in extra))
 
 
 ROWS = "kh bigint, sh bigint, key bigint, crc bigint, start int, ns int"
@@ -297,11 +300,13 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", thres
                 yield repeated_windows(rows[with_body], threshold)
             yield ranked(rows[~with_body].drop(columns="body"), True)[["key", "crc", "start", "n"]]
 
-    first = saved(rank_by_name(docs.mapInPandas(level1, ROWS), False))
+    size = bytes_of(docs)  # about a segment for 20 bytes; what is left for the second level is less
+    parts, parts2 = spread(docs, size / 20), spread(docs, size / 30)
+    first = saved(rank_by_name(docs.mapInPandas(level1, ROWS), False, parts=parts))
     per_doc = first.where(f"state <> {REMOVED}").groupBy("key", "crc").agg(F.collect_list(F.struct("start", "n", "state", "kh")).alias("spans"))
     marked = docs.mapInPandas(_pack, "key bigint, crc bigint, packed binary")
     made = marked.join(per_doc, ["key", "crc"]).mapInPandas(level2, ROWS + ", body binary")
-    second = made.repartition(spread(made), "kh").mapInPandas(settle2, "key bigint, crc bigint, start int, n int")
+    second = made.repartition(parts2, "kh").mapInPandas(settle2, "key bigint, crc bigint, start int, n int")
     return marked, first.where(f"state = {REMOVED}").select("key", "crc", "start", "n").unionByName(second)
 
 

@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over word features, kept from leaning on who is talked about.
 
 Besides the labelled texts it is trained on counterfactual ones: wherever a labelled text names a group, the name is
-swapped for another group's, and the change that this makes to the score is penalised. Neutral mentions of a
-group therefore add nothing, however often that group stands in toxic texts.
+swapped for another group's, and into a text that names none a mention of one is put; the change that this makes to the
+score is penalised. Neutral mentions of a group therefore add nothing, however often that group stands in toxic texts.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres", "chicas", "chicos"),
     ("cristianos", "musulmanes", "judíos", "hindúes", "ateos"),
 )
+ALL_TERMS = sorted({t for terms in IDENTITY_TERMS for t in terms})
 
 
 def word_features(word: str) -> list[int]:
@@ -63,9 +64,15 @@ def features(words: set[str]) -> set[int]:
 
 
 def swaps(words: set[str]) -> list[tuple[list[int], list[int]]]:
-    """(lost, gained) features for each way to swap one group's name in a text for another's."""
+    """(lost, gained) features for each way to swap one group's name in a text for another's.
+
+    A text that names no group gets a mention of one, which its words pick.
+    """
     own = features(words)
     out = []
+    if words.isdisjoint(ALL_TERMS):
+        term = ALL_TERMS[zlib.crc32(" ".join(sorted(words)).encode()) % len(ALL_TERMS)]
+        return [([], sorted(set(word_features(term)) - own))]
     for terms in IDENTITY_TERMS:
         for a in words.intersection(terms):
             rest = features(words - {a})
@@ -185,7 +192,11 @@ def selected(sample: DataFrame) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep..., score, predicted: one row for each row, from the whole text and nothing else. Null texts count as empty."""
+    """keep..., score, predicted: one row for each row, from the whole text and nothing else.
+
+    score: 0 to 1, higher where label 1 is likelier; predicted: 1 from 0.5. Null texts count as empty and get the score of a text
+    without words. Null keys, ties and repeated rows are rows like any other; only ``keep`` and the text are read. No rows, no result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
@@ -198,7 +209,7 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: tuple[str,
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic; every row is judged by its own text."""
+    """``docs`` without the rows predicted toxic; every row is judged by its own text, and all columns stay. Null and empty texts stay if texts without words do."""
     names = docs.columns
     rows = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(names)})
     kept = score(rows, train(docs, labels, key, text), f"c{names.index(text)}", tuple(rows.columns)).where("predicted = 0")

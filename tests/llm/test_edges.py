@@ -101,7 +101,7 @@ def test_vector_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (40, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (None, [3.0, 3.0]), (9, [])]
     df = spark.createDataFrame([(*r, 1, "s") for r in rows], "vec_id long, embedding array<float>, id int, score string")
     got = [tuple(r) for r in pivots.search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
     assert pivots.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
@@ -113,3 +113,22 @@ def test_page_edges(spark):
     assert len(got) == 7 and all(r.text is not None and r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got}[1] == ""
     assert html_main.extract(df.limit(0), model).count() == 0
+
+
+def test_pipeline_edges(spark):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[1:3] + corpus_pipeline.STAGES[4:]:
+        for empty in (False, True):
+            out = stage(spark, docs(spark, empty), "")
+            assert out.count() <= docs(spark, empty).count(), name
+            if name != "bpe":
+                assert out.columns == docs(spark).columns
+    near = corpus_pipeline.drop_near_copies(spark, docs(spark), "").collect()
+    assert sum(r.text is None or not r.text.split() for r in near) == 1  # documents without words are one group
+
+
+def test_chat_with_many_rows_of_null_conversation(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    got = chat.collapse_snapshots(df).collect()
+    assert len(got) == 1 and got[0].n_turns == 3000
