@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from locusmill.llm import bpe, decontaminate, line_dedup, simhash, toxicity
-from locusmill.llm.common import saved, table
+from locusmill.llm.common import dropped, only, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +14,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of smallest doc_id stays."""
+    """Of each group of near copies (0.8 of their five-word shingles, or fingerprints 2 bits apart) the document of smallest doc_id stays."""
     return simhash.near_dedup(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stretches of text that an earlier document, or the same one, holds go; every document stays."""
-    return line_dedup.remove_repeated_units(docs, passages=True)
+    return line_dedup.remove_repeated_units(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the documents that all stages kept, one row for each row.
+
+    The stages define what happens to null, empty, long, tied and repeated rows; none drops a row for these, except that
+    documents without words are near copies of each other. An empty table gives no rows. Only a stage's result is kept, its scratch tables and the
+    table before it go.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        before, docs = docs, only(lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
