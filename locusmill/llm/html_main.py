@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 #: Pages that training reads at most (lowest hashes), page layouts made of each, and the size of the boosted model.
-TRAIN_PAGES, LAYOUTS, TREES, DEPTH, BINS, RATE = 240, 2, 40, 5, 24, 0.3
+TRAIN_PAGES, LAYOUTS, TREES, DEPTH, BINS, RATE = 240, 4, 60, 5, 24, 0.3
 #: Longer pages take no part in training; the text of every page is extracted whole.
 TRAIN_CHARS = 100_000
 
@@ -303,27 +303,38 @@ def layouts(source: str | None, seed: int) -> Iterator[str]:
             inner = pick((esc(phrase(2, 25)), f"<p>{esc(phrase(2, 40))}</p>", f"<h3>{esc(phrase(1, 5))}</h3><p>{esc(phrase(3, 30))}</p>", f"&copy; {esc(phrase(2, 10))} &middot; {esc(phrase(1, 5))}"))
         return f'<{tag}{attr} data-truth="0">{inner}</{tag}>'
 
+    def listed() -> str:
+        kind = pick(("ul", "ol"))
+        return f"<{kind}>" + "".join(f"<li>{esc(phrase(3, 15))}</li>" for _ in range(int(rng.integers(2, 6)))) + f"</{kind}>"
+
     for _ in range(LAYOUTS):
-        wrap = pick(("article", "main", "div", "section", "div"))
+        wrap = pick(("article", "main", "div", "section", "div", "td"))
         token = pick(KINDS["main"].split())
-        attr = f' class="{pick((token, f"{token}-{pick(("area", "inner", "wrap", "text"))}", f"{pick(("post", "page", "entry"))}-{token}"))}"' if wrap in ("div", "section") or rng.random() < 0.4 else ""
+        attr = f' class="{pick((token, f"{token}-{pick(("area", "inner", "wrap", "text"))}", f"{pick(("post", "page", "entry"))}-{token}"))}"' if wrap in ("div", "section", "td") or rng.random() < 0.4 else ""
         start = int(rng.integers(len(main)))
-        own = (main[start:] + main[:start])[: int(rng.integers(1, 25))] if rng.random() < 0.8 else [phrase(1, 6) for _ in range(int(rng.integers(1, 4)))]
-        body = [f"<h1>{esc(phrase(3, 12))}</h1>"] if rng.random() < 0.7 else []
+        many = int(rng.integers(1, 4)) if rng.random() < 0.5 else int(rng.integers(1, 25))
+        own = (main[start:] + main[:start])[:many] if rng.random() < 0.6 else [phrase(4, 30) for _ in range(many)]
+        title = f"<h1>{esc(phrase(3, 12))}</h1>" if rng.random() < 0.7 else ""
+        body = [f"<header>{title}</header>" if title and rng.random() < 0.25 else title]
+        close = rng.random() < 0.8
         for text in own:
-            tag = pick(("p", "p", "p", "p", "blockquote", "div", "h2"))
-            body.append(f"<{tag}>{esc(text if tag != 'h2' else phrase(2, 8))}</{tag}>")
+            tag = pick(("p", "p", "p", "p", "p", "blockquote", "div", "h2"))
+            body.append(f"<{tag}>{esc(text if tag != 'h2' else phrase(2, 8))}" + (f"</{tag}>" if close or tag != "p" else ""))
             if rng.random() < 0.06:
                 body.append(boiler(pick(("ad", "side", "share", "form", "notice"))))
-            if rng.random() < 0.04:
-                body.append("<ul>" + "".join(f"<li>{esc(phrase(3, 15))}</li>" for _ in range(3)) + "</ul>")
+            if rng.random() < 0.12:
+                body.append(listed())
         if rng.random() < 0.3:
-            body.append(boiler("comment"))
-        article = f'<{wrap}{attr} data-truth="1">{"".join(body)}</{wrap}>'
-        ahead = "".join(boiler(k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.5)
-        after = "".join(boiler(k) for k in ("comment", "side", "ad", "notice", "form", "share", "footer", "nav") if rng.random() < 0.4)
-        middle = pick((article, f"<div class=\"{pick(('container', 'wrapper', 'row', 'page', 'layout'))}\">{article}{boiler('side') if rng.random() < 0.5 else ''}</div>", f"<div>{boiler('side')}{article}</div>"))
-        yield f"<html><body>{ahead}{middle}{after}</body></html>"
+            body.append(boiler(pick(("comment", "share", "footer"))))
+        article = f'<{wrap}{attr} data-truth="1">{"".join(body)}' + (f"</{wrap}>" if close else "")
+        ahead, after = ("".join(boiler(k) for k in kinds if rng.random() < some) for kinds, some in ((("header", "nav", "notice", "ad", "form"), rng.random()), (("comment", "side", "ad", "notice", "form", "share", "footer", "nav"), 0.8 * rng.random())))
+        if wrap == "td":
+            cells = [f'<td class="{pick(KINDS["nav"].split())}" data-truth="0">' + "".join(f"<a href=/{i}>{esc(phrase(1, 3))}</a> " for i in range(4)) + "</td>", article]
+            article = "<table><tr>" + "".join(cells if rng.random() < 0.6 else cells[::-1] if rng.random() < 0.5 else cells[1:]) + "</tr></table>"
+        elif not close:
+            after = ""
+        middle = pick((article, f"<div class=\"{pick(('container', 'wrapper', 'row', 'page', 'layout'))}\">{article}{boiler('side') if close and rng.random() < 0.5 else ''}</div>", f"<div>{boiler('side')}{article}</div>")) if close else article
+        yield f"<html><body>{ahead}{'' if rng.random() < 0.06 else middle}{after}</body></html>"
 
 
 def weak_truth(page: Page) -> np.ndarray:
