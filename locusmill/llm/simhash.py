@@ -14,7 +14,7 @@ from locusmill.llm.line_dedup import slices
 from locusmill.llm.shingles import stretches, words_of
 
 #: Distinct fingerprints that the tree is built on at most; rows of a leaf aimed at; pairs that one task compares at most.
-SAMPLE, LEAF_ROWS, TASK_PAIRS = 32_768, 16_384, 4_000_000_000
+SAMPLE, LEAF_ROWS, TASK_PAIRS = 32_768, 8_192, 4_000_000_000
 #: Pairs compared at once.
 BLOCK = 2_000_000
 #: Sections of a text for ``near_dedup``: words, of how many consecutive ones one is chosen, and how many of the chosen ones (the least) stand for it.
@@ -22,7 +22,7 @@ SECTION_WORDS, SECTION_PLACES, SECTIONS = 8, 12, 16
 #: Orders of fingerprints, of which a section takes one to choose the text that stands for it.
 ORDERS = 4
 #: Bits by which the fingerprints of texts that share a section may differ to be compared word by word; pairs that a copy of a text meets.
-LIKE_BITS, COPY_PAIRS = 20, 1_000
+LIKE_BITS, COPY_PAIRS = 20, 200
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -282,6 +282,6 @@ def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     rows = saved(fingerprints(df, key, text, width, sections=True))
     points = saved(_points(rows))
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    links = near_edges(points, reach).union(like_edges(docs, rows, points, width, similarity))
+    links = saved(near_edges(points, reach)).union(saved(like_edges(docs, rows, points, width, similarity)))
     kept = _grouped(points, links).select(F.col("best.key").alias("__kept"), F.col("best.th").alias("__th")).distinct()
     return df.join(kept, df[key].eqNullSafe(kept["__kept"]) & (F.xxhash64(df[text]) == kept["__th"]), "left_semi")
