@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -45,3 +46,10 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) of the standard normal; null for null input."""
     return pd.Series([None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)) for v in z.astype(object)], dtype=object)
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """The z that the standard normal stays below with probability p; null outside (0, 1)."""
+    at = NormalDist().inv_cdf
+    return pd.Series([at(v) if v is not None and 0 < v < 1 else None for v in p.astype(object)], dtype=object)

@@ -104,7 +104,3 @@ def list_cell(df: DataFrame, by: list[str], value: str, separator: str = ",") ->
 
 def list_rows(df: DataFrame, value: str, pattern: str = ",") -> DataFrame:
     return df.withColumn(value, F.explode(F.split(value, pattern)))
-
-
-def group_total(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by)))

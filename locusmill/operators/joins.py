@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def joined(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
@@ -21,8 +21,9 @@ def joined(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str =
 
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[str]) -> DataFrame:
     """Left join to the first row of each key on the right, in ``order``."""
-    one = right.withColumn("__n", F.row_number().over(Window.partitionBy(*on).orderBy(*order))).where("__n = 1").drop("__n")
-    return left.join(one, on, "left")
+    rest = [c for c in right.columns if c not in on]
+    least = right.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))  # map-side, whatever a key's size
+    return left.join(least.select(*on, "__r.*"), on, "left")
 
 
 def all_joined(tables: Mapping[str, DataFrame], key: str, value: str) -> DataFrame:
@@ -59,3 +60,8 @@ def flagged(df: DataFrame, other: DataFrame, on: list[str], name: str) -> DataFr
 def grid(*tables: DataFrame) -> DataFrame:
     """All combinations of small parameter tables."""
     return reduce(DataFrame.crossJoin, tables)
+
+
+def formatted_model(cells: DataFrame, feature, annotation: DataFrame) -> DataFrame:
+    """(locus, score, annotation...) of one model's cells(locus, feature, score); loci without annotation(locus, ...) keep nulls."""
+    return cells.where(F.col("feature") == feature).select("locus", "score").join(annotation, "locus", "left")

@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
+from locusmill.operators.rows import settled
+
 
 def with_folds(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     """A fold 0..folds-1 for each row from a seeded hash of its key: the same on every run."""
@@ -64,38 +66,83 @@ def elastic_net(x: np.ndarray, y: np.ndarray, lam: float, alpha: float = 0.5, ro
     return w
 
 
+def gram_net(gram: np.ndarray, cross: np.ndarray, lam: float, alpha: float = 0.5, rounds: int = 200) -> np.ndarray:
+    """The weights of ``elastic_net`` from the columns' mean products alone: gram with each other, cross with y."""
+    w, fit = np.zeros(len(cross)), np.zeros(len(cross))
+    for _ in range(rounds):
+        change = 0.0
+        for j in range(len(w)):
+            old = w[j]
+            rho = cross[j] - fit[j] + gram[j, j] * old
+            w[j] = np.sign(rho) * max(abs(rho) - lam * alpha, 0) / (gram[j, j] + lam * (1 - alpha))
+            if w[j] != old:
+                fit += gram[:, j] * (w[j] - old)
+                change = max(change, abs(w[j] - old))
+        if change < 1e-6:
+            break
+    return w
+
+
+#: Stand for y and for 1 among a locus's variants.
+Y, ONE = "y", "1"
+
+
 def snp_models(rows: DataFrame, locus: str = "locus", lambdas: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2), folds: int = 4) -> DataFrame:
     """(locus, variant, weight, cv_r2, n_snps) from (locus, sample, y, variant, dosage): an elastic net for each locus.
 
-    lambda is the one of largest cross-validated correlation. A group is a locus's cis window, which is bounded by the genome.
+    lambda is the one of largest cross-validated correlation. Samples are never gathered: Spark sums the products of each two of a
+    locus's variants (with y and 1 among them) by fold, and a locus's task gets these sums only. A cis window is bounded by
+    the genome, so pairs of its variants are too. Missing dosages count as the variant's mean.
     """
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (locus, "variant"))
+    kind = rows.schema["variant"].dataType.simpleString()
+    kinds = f"{locus} {rows.schema[locus].dataType.simpleString()}, variant {kind}"
+    means = rows.groupBy(locus, "variant").agg(F.avg("dosage").alias("m"))
+    fold = F.pmod(F.xxhash64("sample"), F.lit(folds)).cast("int")
+    x = rows.join(means, [locus, "variant"]).where("dosage is not null").select(locus, "sample", F.concat(F.lit("v"), F.col("variant").cast("string")).alias("a"), (F.col("dosage") - F.col("m")).alias("x"))
+    people = rows.where("y is not null").groupBy(locus, "sample").agg(F.max("y").cast("double").alias("y"))
+    extra = people.select(locus, "sample", F.explode(F.array(F.struct(F.lit(Y).alias("a"), F.col("y").alias("x")), F.struct(F.lit(ONE).alias("a"), F.lit(1.0).alias("x")))).alias("e")).select(locus, "sample", "e.*")
+    items = x.join(people.select(locus, "sample"), [locus, "sample"], "left_semi").unionByName(extra).withColumn("fold", fold)
+    other = items.select(locus, "sample", F.col("a").alias("b"), F.col("x").alias("z"))
+    sums = items.join(other, [locus, "sample"]).where("a <= b").groupBy(locus, "fold", "a", "b").agg(F.sum(F.col("x") * F.col("z")).alias("s"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        d = group.pivot_table(index="sample", columns="variant", values="dosage", aggfunc="max").sort_index()
-        y = group.groupby("sample").y.first().sort_index().to_numpy(float)
-        x = d.fillna(d.mean()).to_numpy(float)
-        sd = x.std(axis=0)
-        ok = sd > 0
-        out = pd.DataFrame({locus: group[locus].iloc[0], "variant": d.columns, "weight": 0.0, "cv_r2": np.nan, "n_snps": int(ok.sum())})
-        if len(y) < 2 * folds or not ok.any() or y.std() == 0:
+        names = sorted({n for n in group.a if n[0] == "v"} | {n for n in group.b if n[0] == "v"})
+        at = {n: i for i, n in enumerate([*names, Y, ONE])}
+        p = len(names)
+        s = np.zeros((folds, p + 2, p + 2))
+        i, j = group.a.map(at).to_numpy(), group.b.map(at).to_numpy()
+        s[group.fold, i, j] = s[group.fold, j, i] = group.s
+        total = s.sum(axis=0)
+        n = total[p + 1, p + 1]
+        centred = lambda q: (q - np.outer(q[:, p + 1], q[p + 1]) / max(q[p + 1, p + 1], 1))[: p + 1, : p + 1]
+        c = centred(total)
+        sd = np.sqrt(np.maximum(np.diag(c)[:p], 0) / max(n, 1))
+        ok = np.flatnonzero(sd > 1e-9)
+        out = pd.DataFrame({locus: group[locus].iloc[0], "variant": [m[1:] for m in names], "weight": 0.0, "cv_r2": np.nan, "n_snps": len(ok)})
+        if n < 2 * folds or not len(ok) or c[p, p] <= 1e-12:
             return out
-        z = (x[:, ok] - x[:, ok].mean(axis=0)) / sd[ok]
-        fold = np.arange(len(y)) % folds
+        scale = np.append(sd[ok], 1.0)
+        part = lambda q: centred(q)[np.ix_([*ok, p], [*ok, p])] / np.outer(scale, scale)
         best, r2 = lambdas[-1], -1.0
-        for v in lambdas:
-            guess = np.zeros(len(y))
+        for lam in lambdas:
+            top = var = 0.0
             for f in range(folds):
-                a, b = fold != f, fold == f
-                guess[b] = z[b] @ elastic_net(z[a], y[a], v) + y[a].mean()
-            r = np.corrcoef(guess, y)[0, 1] if guess.std() > 1e-12 else 0.0
+                train, m = part(total - s[f]), total[p + 1, p + 1] - s[f][p + 1, p + 1]
+                w = gram_net(train[:-1, :-1] / m, train[:-1, -1] / m, lam)
+                held = part(s[f])
+                top += w @ held[:-1, -1]
+                var += w @ held[:-1, :-1] @ w
+            yy = sum(part(s[f])[-1, -1] for f in range(folds))
+            r = top / math.sqrt(var * yy) if var > 1e-12 and yy > 0 else 0.0
             if max(r, 0) ** 2 > r2:
-                best, r2 = v, max(r, 0) ** 2
-        weights = np.zeros(len(ok))
-        weights[ok] = elastic_net(z, y, best) / sd[ok]
+                best, r2 = lam, max(r, 0) ** 2
+        whole = part(total)
+        weights = np.zeros(p)
+        weights[ok] = gram_net(whole[:-1, :-1] / n, whole[:-1, -1] / n, best) / sd[ok]
         return out.assign(weight=weights, cv_r2=r2)
 
-    return rows.groupBy(locus).applyInPandas(fit, f"{kinds}, weight double, cv_r2 double, n_snps int")
+    made = sums.groupBy(locus).applyInPandas(fit, f"{kinds.split(', ')[0]}, variant string, weight double, cv_r2 double, n_snps int")
+    return made.withColumn("variant", F.col("variant").cast(kind))
 
 
 def heritability_fit(values: np.ndarray, squares: np.ndarray, legacy: bool = False) -> dict:
@@ -123,37 +170,68 @@ def heritability_fit(values: np.ndarray, squares: np.ndarray, legacy: bool = Fal
     return {"h2": h, "loglik": loglik(h), "se": se, "p": math.erfc(abs(h / se) / math.sqrt(2)) if se else None}
 
 
+#: Samples of a relationship matrix at most: it is diagonalised in one task.
+MAX_SAMPLES = 5_000
+
+
+def diagonalised(grm: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., id, place, value, loading): eigenvalues and eigenvectors of each matrix (by..., id1, id2, value), id1 <= id2.
+
+    A matrix has MAX_SAMPLES samples at most, or the job fails; this is the one step in which it is whole.
+    """
+    kind = grm.schema["id1"].dataType.simpleString()
+    kinds = "".join(f"{c} {grm.schema[c].dataType.simpleString()}, " for c in by)
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(own.id1) | set(own.id2))
+        if len(ids) > MAX_SAMPLES:
+            raise ValueError(f"a relationship matrix has {len(ids)} samples, more than {MAX_SAMPLES}")
+        at = {v: i for i, v in enumerate(ids)}
+        k = np.zeros((len(ids), len(ids)))
+        i, j = own.id1.map(at).to_numpy(int), own.id2.map(at).to_numpy(int)
+        k[i, j] = k[j, i] = own.value.to_numpy()
+        values, vectors = np.linalg.eigh(k)
+        n = len(ids)
+        return pd.DataFrame({**{c: own[c].iloc[0] for c in by}, "id": np.repeat(np.array(ids, object), n), "place": np.tile(np.arange(n), n), "value": np.tile(np.maximum(values, 0), n), "loading": vectors.ravel()})
+
+    own_key = grm if by else grm.withColumn("__one", F.lit(1))
+    return own_key.groupBy(*(by or ["__one"])).applyInPandas(fit, f"{kinds}id {kind}, place int, value double, loading double")
+
+
 def heritability(phenotypes: DataFrame, grm: DataFrame, by: list[str], scale: bool = True, legacy: bool = False) -> DataFrame:
     """(by..., h2, loglik, se, p, error) for phenotypes(by..., id, y) and grm(by[:-1]..., id1, id2, value), id1 <= id2.
 
-    Samples are a few thousand at most, so a relationship matrix is one group's data; ``by`` ends with the phenotype, and what
-    stands before it (a chromosome) has a matrix of its own. The matrix is diagonalised once in each of those groups. Failed fits give nulls and a message.
+    ``by`` ends with the phenotype, and what stands before it (a chromosome) has a matrix of its own. Each matrix is diagonalised once,
+    in a step of checked size; phenotypes are projected on its vectors by a join and a grouping, and each is fitted in a task of
+    its own. Samples that only one side has don't count; failed fits give nulls and a message.
     """
-    outer = by[:-1] or ["__all"]
-    p = phenotypes if by[:-1] else phenotypes.withColumn("__all", F.lit(1))
-    g = grm if by[:-1] else grm.withColumn("__all", F.lit(1))
+    outer = by[:-1]
+    both = phenotypes.select("id").distinct()
+    matrix = grm.join(both.withColumnRenamed("id", "id1"), "id1", "left_semi").join(both.withColumnRenamed("id", "id2"), "id2", "left_semi")
+    vectors = settled(diagonalised(matrix, outer))
+    people = vectors.select(*outer, "id").distinct()
+    size = people.groupBy(*outer).agg(F.count("*").alias("n")) if outer else people.agg(F.count("*").alias("n"))
+    known = phenotypes.join(people, [*outer, "id"], "left_semi")
+    finite = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") < float("inf"))
+    stats = known.groupBy(*by).agg(F.count_if(finite).alias("own"), F.avg(F.when(finite, F.col("y"))).alias("m"), F.stddev_samp(F.when(finite, F.col("y"))).alias("s"))
+    stats = stats.join(size, outer) if outer else stats.crossJoin(F.broadcast(size))
+    fine = (F.col("own") == F.col("n")) & (F.col("n") >= 3) & (F.col("s") > 0)
+    judged = phenotypes.select(*by).distinct().join(stats.withColumn("fine", fine), by, "left")
+    y = (F.col("y") - F.col("m")) / F.col("s") if scale else F.col("y")
+    scaled = known.join(judged.where("fine"), by).select(*by, "id", y.alias("y"))
+    square = F.sum(F.col("y") * F.col("loading"))
+    parts = scaled.join(vectors, [*outer, "id"]).groupBy(*by, "place").agg(F.first("value").alias("value"), (square * square).alias("square"))
     kinds = ", ".join(f"{c} {phenotypes.schema[c].dataType.simpleString()}" for c in by)
 
-    def fit(own: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(own.id) & set(matrix.id1))
-        at = {v: i for i, v in enumerate(ids)}
-        k = np.zeros((len(ids), len(ids)))
-        m = matrix[matrix.id1.isin(at) & matrix.id2.isin(at)]
-        i, j = m.id1.map(at).to_numpy(int), m.id2.map(at).to_numpy(int)
-        k[i, j] = k[j, i] = m.value.to_numpy()
-        values, vectors = np.linalg.eigh(k) if ids else (np.zeros(0), np.zeros((0, 0)))
-        rows = []
-        for name, one in own.groupby(by[-1], sort=True):
-            row = {**{c: one[c].iloc[0] for c in by[:-1]}, by[-1]: name, "error": None}
-            try:
-                y = one.set_index("id").y.reindex(ids).to_numpy(float)
-                if not np.isfinite(y).all() or len(y) < 3 or y.std() == 0:
-                    raise ValueError("the phenotype is constant or has nulls")
-                y = (y - y.mean()) / y.std(ddof=1) if scale else y
-                row |= heritability_fit(np.maximum(values, 0), (y @ vectors) ** 2, legacy)
-            except Exception as e:  # noqa: BLE001  a failed model is a result here
-                row |= {"h2": None, "loglik": None, "se": None, "p": None, "error": str(e)}
-            rows.append(row)
-        return pd.DataFrame(rows, columns=[*by, "h2", "loglik", "se", "p", "error"])
-
-    return p.groupBy(*outer).cogroup(g.groupBy(*outer)).applyInPandas(fit, f"{kinds}, h2 double, loglik double, se double, p double, error string")
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        row = {c: own[c].iloc[0] for c in by}
+        try:
+            row |= heritability_fit(own.value.to_numpy(float), own.square.to_numpy(float), legacy) | {"error": None}
+        except Exception as e:  # noqa: BLE001  a failed model is a result here
+            row |= {"h2": None, "loglik": None, "se": None, "p": None, "error": str(e)}
+        return pd.DataFrame([row], columns=[*by, "h2", "loglik", "se", "p", "error"])
+
+    fitted = parts.groupBy(*by).applyInPandas(fit, f"{kinds}, h2 double, loglik double, se double, p double, error string")
+    none = F.lit(None).cast("double")
+    failed = judged.where(~F.coalesce("fine", F.lit(False))).select(*by, none.alias("h2"), none.alias("loglik"), none.alias("se"), none.alias("p"), F.lit("the phenotype is constant or has nulls").alias("error"))
+    return fitted.unionByName(failed)

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from locusmill.operators.rows import numbered, settled
 
 
 def subsamples(rows: DataFrame, key: str, n_iter: int, fraction: float = 0.8, seed: int = 1) -> DataFrame:
-    """(iter, key): exactly round(fraction * n) rows in each iteration, by a seeded hash order."""
+    """(iter, key): exactly round(fraction * n) rows in each iteration, by a seeded hash order.
+
+    All iterations have the same ids, so a row's place in its iteration follows from its place in the whole order, which is taken in
+    range partitions.
+    """
     ids = rows.select(key).distinct()
     n = ids.count()
-    each = ids.crossJoin(ids.sparkSession.range(n_iter).withColumnRenamed("id", "iter"))
-    order = Window.partitionBy("iter").orderBy(F.xxhash64(F.col(key), F.col("iter"), F.lit(seed)), key)
-    return each.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= int(n * fraction + 0.5)).select("iter", key)
+    each = ids.crossJoin(F.broadcast(ids.sparkSession.range(n_iter).withColumnRenamed("id", "iter"))).withColumn("__h", F.xxhash64(F.col(key), F.col("iter"), F.lit(seed)))
+    placed = numbered(each, ["iter", "__h", key], "__n")
+    return placed.where((F.col("__n") - 1) % max(n, 1) < int(n * fraction + 0.5)).select("iter", key)
 
 
 def nmf(x: np.ndarray, k: int, rounds: int = 150, seed: int = 0) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -31,26 +34,89 @@ def nmf(x: np.ndarray, k: int, rounds: int = 150, seed: int = 0) -> tuple[np.nda
     return l, f, errors
 
 
-def factorised(cells: DataFrame, picks: DataFrame, locus: str, feature: str, value: str, k: int) -> DataFrame:
-    """(iter, kind, key, k, value, pve): loadings (kind L, key the locus) and factors (kind F, key the feature) of every subsample.
+#: Penalties on the loadings, by the name of their prior: none, or the exponential one, which makes them sparse.
+PRIORS = {"flat": 0.0, "exponential": 0.1}
 
-    Negative cells count as 0. One task a subsample, which must fit in it; pve is the factor's share of the explained squares.
-    """
-    rows = cells.join(picks, locus).select("iter", F.col(locus).cast("string").alias("l"), F.col(feature).cast("string").alias("f"), F.greatest(F.col(value), F.lit(0.0)).alias("v"))
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        m = group.pivot_table(index="l", columns="f", values="v", fill_value=0.0, aggfunc="sum").sort_index(axis=0).sort_index(axis=1)
-        x = m.to_numpy(float)
-        l, f, _ = nmf(x, min(k, *x.shape), seed=int(group.iter.iloc[0]))  # noqa: E741
-        size = (l**2).sum(axis=0) * (f**2).sum(axis=0)
-        pve = size / max((x**2).sum(), 1e-12)
-        parts = []
-        for kind, names, block in (("L", m.index, l), ("F", m.columns, f)):
-            for j in range(block.shape[1]):
-                parts.append(pd.DataFrame({"iter": group.iter.iloc[0], "kind": kind, "key": names, "k": j, "value": block[:, j], "pve": pve[j]}))
-        return pd.concat(parts, ignore_index=True)
+def loadings(x: np.ndarray, f: np.ndarray, penalty: float, rounds: int = 30) -> np.ndarray:
+    """Non-negative loadings of rows ``x`` for given factors ``f`` (features, k), by multiplicative updates from ones."""
+    l, top, inner = np.ones((len(x), f.shape[1])), x @ f, f.T @ f  # noqa: E741
+    for _ in range(rounds):
+        l *= top / np.maximum(l @ inner + penalty, 1e-12)  # noqa: E741
+    return l
 
-    return rows.groupBy("iter").applyInPandas(fit, "iter bigint, kind string, key string, k int, value double, pve double")
+
+def factorised(cells: DataFrame, picks: DataFrame, locus: str, feature: str, value: str, k: int, prior: str = "flat", min_pve: float = 0.001, rounds: int = 5) -> DataFrame:
+    """(iter, kind, key, k, value, pve): loadings (kind L, key the locus) and factors (kind F, key the feature) of every subsample.
+
+    Negative cells count as 0. Factors come one at a time, the next one from what is left of the rows, as long as the last one explains
+    ``min_pve`` of the squares, ``k`` at most. ``prior`` names a penalty of PRIORS. The loci stay in Spark: a round sends out the
+    factors of all subsamples (features x k numbers each), every partition takes its rows' loadings and sums their products,
+    and the sums give the next factors. pve is the factor's share of the squares of the subsample.
+    """
+    if prior not in PRIORS:
+        raise ValueError(f"no such prior: {prior}")
+    penalty, spark = PRIORS[prior], cells.sparkSession
+    # the width of the matrix, which is bounded, as a row is one array
+    wide = cells.groupBy(F.col(locus).alias("__l")).pivot(feature, sorted({r[0] for r in cells.select(feature).distinct().collect()})).agg(F.sum(F.greatest(F.col(value), F.lit(0.0))))
+    names = [c for c in wide.columns if c != "__l"]
+    x = F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).cast("double") for c in names])
+    rows = settled(picks.join(wide.select(F.col("__l").alias(locus), x.alias("x")), locus).select(F.col("iter").cast("long").alias("iter"), F.col(locus).cast("string").alias("l"), "x"))
+    start = rows.groupBy("iter").agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(len(names))], F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)).alias("squares")).collect()
+    factors = {r["iter"]: np.array([[r[f"m{i}"] for i in range(len(names))]], float).T for r in start}
+    squares = {r["iter"]: r["squares"] for r in start}
+    growing, pve = set(factors), {i: [] for i in factors}
+
+    def summed(now: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        sent = spark.sparkContext.broadcast(now)
+
+        def part(batches):
+            for batch in batches:
+                for i, own in batch.groupby("iter"):
+                    v = np.stack(own.x.to_numpy())
+                    f = sent.value[int(i)]
+                    l = loadings(v, f, penalty)  # noqa: E741
+                    rest = np.maximum(v - l @ f.T, 0)
+                    yield pd.DataFrame({"iter": [int(i)], "s": [np.concatenate([(v.T @ l).ravel(), (l.T @ l).ravel(), rest.sum(axis=0)])]})
+
+        width = {i: f.shape[1] for i, f in now.items()}
+        sums = rows.where(F.col("iter").isin(sorted(now))).mapInPandas(part, "iter bigint, s array<double>").select("iter", F.posexplode("s").alias("at", "v")).groupBy("iter", "at").agg(F.sum("v").alias("v")).toPandas()
+        out = {}
+        for i, own in sums.groupby("iter"):
+            w, n = width[int(i)], len(names)
+            flat = own.sort_values("at").v.to_numpy()
+            out[int(i)] = (flat[: n * w].reshape(n, w), flat[n * w : n * w + w * w].reshape(w, w), flat[n * w + w * w :])
+        return out
+
+    for size in range(1, k + 1):
+        if not growing:
+            break
+        for _ in range(rounds):
+            for i, (top, inner, _) in summed({i: factors[i] for i in growing}).items():
+                f = np.maximum(factors[i], 1e-9)
+                for _ in range(30):
+                    f = f * top / np.maximum(f @ inner, 1e-12)
+                factors[i] = f
+        for i, (_, inner, rest) in summed({i: factors[i] for i in growing}).items():
+            own = np.diag(inner) * (factors[i] ** 2).sum(axis=0) / max(squares[i], 1e-12)
+            pve[i] = own.tolist()
+            if size > 1 and own[-1] < min_pve:
+                growing.discard(i)
+            elif size < k:
+                factors[i] = np.column_stack([factors[i], np.maximum(rest, 1e-9) / max(rest.max(), 1e-9)])
+    done = spark.sparkContext.broadcast(factors)
+
+    def final(batches):
+        for batch in batches:
+            for i, own in batch.groupby("iter"):
+                l = loadings(np.stack(own.x.to_numpy()), done.value[int(i)], penalty)  # noqa: E741
+                n = l.shape[1]
+                yield pd.DataFrame({"iter": int(i), "kind": "L", "key": np.repeat(own.l.to_numpy(), n), "k": np.tile(np.arange(n), len(own)), "value": l.ravel()})
+
+    own_f = spark.createDataFrame([(int(i), "F", names[a], int(j), float(f[a, j])) for i, f in factors.items() for a in range(len(names)) for j in range(f.shape[1])], "iter bigint, kind string, key string, k int, value double")
+    shares = spark.createDataFrame([(int(i), j, float(p)) for i, own in pve.items() for j, p in enumerate(own)], "iter bigint, k int, pve double")
+    every = rows.mapInPandas(final, "iter bigint, kind string, key string, k int, value double").unionByName(own_f)
+    return every.join(F.broadcast(shares), ["iter", "k"], "left").select("iter", "kind", "key", "k", "value", "pve")
 
 
 def normalised(factors: DataFrame, norm: str = "l2") -> DataFrame:
@@ -76,19 +142,65 @@ def program_vectors(stack: DataFrame) -> DataFrame:
     return stack.groupBy("program").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("v")).select("program", F.transform("v", lambda x: x.value).alias("vector"))
 
 
-def choose_k(vectors: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:
-    """(k, silhouette) of k-means on the vectors."""
-    rows = vectors.select("program", array_to_vector("vector").alias("features")).persist()
-    judge = ClusteringEvaluator(metricName="silhouette")
-    out = [(k, float(judge.evaluate(KMeans(k=k, seed=seed).fit(rows).transform(rows)))) for k in ks]
-    rows.unpersist()
-    return vectors.sparkSession.createDataFrame(out, "k int, silhouette double")
+#: Programs that are clustered at most: their distances are held in one task. Their number is iterations times rank, not data.
+MAX_PROGRAMS = 5_000
+
+
+def around_medoids(x: np.ndarray, k: int, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """(cluster of each row, mean silhouette): the first medoids are picked greedily, then medoids and members in turn."""
+    d = np.sqrt(np.maximum(((x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2 * x @ x.T), 0))
+    np.fill_diagonal(d, 0)
+    n, k = len(x), min(k, len(x))
+    medoids = [int(d.sum(axis=1).argmin())]
+    while len(medoids) < k:
+        near = d[:, medoids].min(axis=1)
+        gain = np.maximum(near[:, None] - d, 0).sum(axis=0)
+        gain[medoids] = -1
+        medoids.append(int(gain.argmax()))
+    for _ in range(rounds):
+        label = d[:, medoids].argmin(axis=1)
+        new = [int((own := np.flatnonzero(label == c))[d[np.ix_(own, own)].sum(axis=1).argmin()]) if (label == c).any() else m for c, m in enumerate(medoids)]
+        if new == medoids:
+            break
+        medoids = new
+    label = d[:, medoids].argmin(axis=1)
+    sizes = np.bincount(label, minlength=k)
+    sums = np.stack([d[:, label == c].sum(axis=1) for c in range(k)], axis=1)
+    inside = sums[np.arange(n), label] / np.maximum(sizes[label] - 1, 1)
+    other = np.where((sizes > 0)[None, :], sums / np.maximum(sizes, 1), np.inf)
+    other[np.arange(n), label] = np.inf
+    outside = other.min(axis=1)
+    s = np.where((sizes[label] > 1) & np.isfinite(outside), (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-12), 0.0)
+    return label, float(s.mean())
+
+
+def _clusterings(vectors: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, program, cluster, silhouette): a task for each k."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        if len(own) > MAX_PROGRAMS:
+            raise ValueError(f"{len(own)} programs, more than {MAX_PROGRAMS}")
+        own = own.sort_values("program", kind="stable")
+        label, s = around_medoids(np.stack(own.vector.to_numpy()).astype(float), int(own.k.iloc[0]))
+        return pd.DataFrame({"k": own.k, "program": own.program, "cluster": label, "silhouette": s})
+
+    each = vectors.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    return each.groupBy("k").applyInPandas(run, "k int, program string, cluster int, silhouette double")
+
+
+def choose_k(vectors: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, silhouette) of the clusterings around k medoids."""
+    return _clusterings(vectors, ks).groupBy("k").agg(F.first("silhouette").alias("silhouette"))
+
+
+def clustered(vectors: DataFrame, k: int) -> DataFrame:
+    """(program, cluster), around k medoids."""
+    return _clusterings(vectors, [k]).select("program", "cluster")
 
 
-def clustered(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """(program, cluster)."""
-    rows = vectors.select("program", array_to_vector("vector").alias("features"))
-    return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("program", F.col("prediction").alias("cluster"))
+def compared_runs(programs: DataFrame, run: list[str], pve: str = "pve") -> DataFrame:
+    """(run..., n_factors, total_pve) of runs with other parameters, from a row for each factor."""
+    return programs.groupBy(*run).agg(F.count("*").alias("n_factors"), F.sum(pve).alias("total_pve"))
 
 
 def cluster_means(cells: DataFrame, assigned: DataFrame, key: str, value: str) -> DataFrame:

@@ -8,36 +8,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from locusmill.operators.rows import numbered
+from locusmill.functions.distributions import normal_quantile
+from locusmill.operators.rows import numbered, settled
+
+
+def carried(df: DataFrame, keys: list, **weights: Column) -> tuple[DataFrame, dict[int, list], list]:
+    """(rows with their range partition ``__part``, sums of the weights before each partition, totals).
+
+    A row for each partition comes to the driver. The rows are written once, so that partitions stay as they are.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settled(df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()))
+    total: list = [0] * len(weights)
+    before = {}
+    for part, *sums in sorted(parts.groupBy("__part").agg(*[F.sum(w) for w in weights.values()]).collect()):
+        before[part] = total
+        total = [a + (b or 0) for a, b in zip(total, sums, strict=True)]
+    return parts, before, total
+
+
+def _starts(df: DataFrame, values: dict[int, list], kinds: dict[str, str]) -> DataFrame:
+    rows = [(p, *[float(x) if k == "double" else int(x) for x, k in zip(v, kinds.values(), strict=True)]) for p, v in values.items()]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "__part int, " + ", ".join(f"{n} {k}" for n, k in kinds.items())))
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank", descending: bool = False) -> DataFrame:
-    """Rank 1 for the smallest (or largest), ties get the mean of their places; in groups."""
-    if not by:
-        counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-        placed = cumulative(counts, "__n", [value], "__c", descending)
-        ranks = placed.select(value, (F.col("__c") - (F.col("__n") - 1) / F.lit(2.0)).alias(name))
-        return df.join(ranks, value)
+    """Rank 1 for the smallest (or largest), ties get the mean of their places; in groups.
+
+    Over the whole table equal values may hold most rows: they are ranked where they stand, by range partitions of (value, hash),
+    and only values that go on over a partition's end, at most one a partition, are settled by a small table.
+    """
     order = F.desc(value) if descending else F.asc(value)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / F.lit(2.0))
+    if by:
+        ties = F.count("*").over(Window.partitionBy(*by, value))
+        return df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / F.lit(2.0))
+    parts, before, _ = carried(df.where(F.col(value).isNotNull()).withColumn("__h", F.xxhash64(*df.columns)), [order, F.col("__h")], n=F.lit(1))
+    counts = parts.groupBy("__part", value).agg(F.count("*").alias("__n"))
+    first = counts.join(_starts(df, before, {"__s": "bigint"}), "__part").withColumn("__c", F.col("__s") + F.sum("__n").over(Window.partitionBy("__part").orderBy(order)))
+    split = parts.groupBy("__part").agg(F.min(value).alias("a"), F.max(value).alias("b")).collect()
+    edges = sorted({v for r in split for v in (r["a"], r["b"]) if v is not None})  # two values a partition at most
+    edge = F.col(value).isin(edges)
+    whole = first.where(edge).groupBy(value).agg(F.sum("__n").alias("__all"), F.max("__c").alias("__last"))
+    ranks = first.join(F.broadcast(whole), value, "left").select("__part", F.col(value).alias("__v"), (F.coalesce("__last", "__c") - (F.coalesce("__all", "__n") - 1) / F.lit(2.0)).alias(name))
+    return parts.join(ranks, (parts["__part"] == ranks["__part"]) & parts[value].eqNullSafe(ranks["__v"])).select(*df.columns, name)
 
 
 def cumulative(df: DataFrame, value: str, order: list[str], name: str, descending: bool = False) -> DataFrame:
     """Running sum over the whole table: range partitions, their sums (one row each), and a window within each."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.desc(c) if descending else F.asc(c) for c in order]
-    parts = df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id()).persist()
-    sums = sorted(parts.groupBy("__part").agg(F.sum(value).alias("s")).collect())
-    starts, total = [], 0
-    for part, s in sums:
-        starts.append((part, total))
-        total += s or 0
-    kind = df.schema[value].dataType.simpleString()
-    kind = "double" if kind in ("double", "float") else "bigint"
-    begin = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], f"__part int, __start {kind}") if kind == "bigint" else df.sparkSession.createDataFrame([(p, float(s)) for p, s in starts] or [(0, 0.0)], "__part int, __start double"))
+    parts, before, _ = carried(df, keys, s=F.col(value))
+    kind = "double" if df.schema[value].dataType.simpleString() in ("double", "float") else "bigint"
     run = F.sum(value).over(Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.join(begin, "__part").withColumn(name, F.col("__start") + run).drop("__part", "__start")
+    return parts.join(_starts(df, before, {"__start": kind}), "__part").withColumn(name, F.col("__start") + run).drop("__part", "__start")
 
 
 def top_rows(df: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
@@ -56,8 +78,19 @@ def with_total(df: DataFrame, name: str = "n_total") -> DataFrame:
 
 def qq_uniform(df: DataFrame, p: str, ties: list[str]) -> DataFrame:
     """Each p with the uniform quantile i / (n + 1) that its rank i expects."""
-    ranked = numbered(df, [p, *ties], "i")
-    return with_total(ranked).withColumn("expected", F.col("i") / (F.col("n_total") + 1.0)).drop("i", "n_total")
+    return _expected(df, [p, *ties])
+
+
+def qq_normal(df: DataFrame, z: str, ties: list[str]) -> DataFrame:
+    """Each value with the standard normal quantile of (i - 1/2) / n that its rank i expects."""
+    return _expected(df, [z, *ties], 0.5, 0.0).withColumn("expected", normal_quantile(F.col("expected")))
+
+
+def _expected(df: DataFrame, order: list[str], less: float = 0.0, more: float = 1.0) -> DataFrame:
+    """``expected``: (i - less) / (n + more) of the row's place i; the number of rows comes from the partitions' counts."""
+    parts, before, (total,) = carried(df, [F.col(c) for c in order], n=F.lit(1))
+    place = F.col("__start") + F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.join(_starts(df, before, {"__start": "bigint"}), "__part").withColumn("expected", (place - F.lit(less)) / F.lit(float(total) + more)).drop("__part", "__start")
 
 
 def qq_two_samples(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
@@ -82,25 +115,24 @@ def bonferroni(df: DataFrame, p: str, alpha: float = 0.05, n_tests: int | None =
 
 
 def q_values(df: DataFrame, p: str, pi0: float = 1.0) -> DataFrame:
-    """Step-up q-values: the least pi0 * p * m / rank over all p at least as large, at most 1.
+    """Step-up q-values: the least pi0 * p * m / rank over all p at least as large, at most 1; null p have none.
 
-    Distinct p-values are counted and ranked in range partitions; the running minimum from the largest p takes each
-    partition's own and, through a table with a row for each partition, those of the later ones.
+    One range exchange by (p, hash): a row's place is its partition's start and its place there, and the running minimum from
+    the largest p takes the partition's own and, from a table with a row for each partition, the later ones'. Among equal
+    p the last place gives the least value, which the running minimum carries to the others, so nothing is joined on p.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("__n"))
-    placed = cumulative(counts, "__n", [p], "__r")
-    m = df.where(F.col(p).isNotNull()).agg(F.count("*").alias("__m"))
-    raw = placed.crossJoin(F.broadcast(m)).withColumn("__q", F.least(F.lit(1.0), F.lit(pi0) * F.col(p) * F.col("__m") / F.col("__r")))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = raw.repartitionByRange(n, p).withColumn("__part", F.spark_partition_id()).persist()
+    some = df.where(F.col(p).isNotNull()).withColumn("__h", F.xxhash64(*df.columns))
+    order = [F.col(p), F.col("__h")]
+    parts, before, (m,) = carried(some, order, n=F.lit(1))
+    place = F.col("__start") + F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    raw = parts.join(_starts(df, before, {"__start": "bigint"}), "__part").withColumn("__q", F.least(F.lit(1.0), F.lit(pi0 * m) * F.col(p) / place))
     least, later = {}, 1.0
-    for part, q in sorted(parts.groupBy("__part").agg(F.min("__q").alias("q")).collect(), reverse=True):
-        least[part] = later
+    for part, q in sorted(raw.groupBy("__part").agg(F.min("__q").alias("q")).collect(), reverse=True):
+        least[part] = [later]
         later = min(later, q)
-    after = F.broadcast(df.sparkSession.createDataFrame(sorted(least.items()) or [(0, 1.0)], "__part int, __after double"))
-    own = F.min("__q").over(Window.partitionBy("__part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
-    q = parts.join(after, "__part").select(p, F.least(own, "__after").alias("qvalue"))
-    return df.join(q, p, "left")
+    own = F.min("__q").over(Window.partitionBy("__part").orderBy(F.desc(p), F.desc("__h")).rowsBetween(Window.unboundedPreceding, 0))
+    found = raw.join(_starts(df, least, {"__after": "double"}), "__part").withColumn("qvalue", F.least(own, "__after")).select(*df.columns, "qvalue")
+    return found.unionByName(df.where(F.col(p).isNull()).withColumn("qvalue", F.lit(None).cast("double")))
 
 
 def share_of_total(df: DataFrame, value: str) -> DataFrame:
@@ -109,14 +141,14 @@ def share_of_total(df: DataFrame, value: str) -> DataFrame:
 
 def scaled(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """(value - mean) / sample sd in each group; null if the sd is 0."""
-    w = Window.partitionBy(*by)
-    return df.withColumn(name, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+    stats = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))  # map-side, whatever a group's size
+    return df.join(stats, by).withColumn(name, F.try_divide(F.col(value) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
 
 
 def extreme_rows(df: DataFrame, by: list[str], value: str, largest: bool = True) -> DataFrame:
     """The rows that hold their group's largest (or smallest) value."""
-    top = (F.max if largest else F.min)(value).over(Window.partitionBy(*by))
-    return df.withColumn("__v", top).where(F.col(value) == F.col("__v")).drop("__v")
+    top = df.groupBy(*by).agg((F.max if largest else F.min)(value).alias("__v"))  # map-side, whatever a group's size
+    return df.join(top, by).where(F.col(value) == F.col("__v")).drop("__v")
 
 
 def genome_position(df: DataFrame, chrom: str, pos: str) -> tuple[DataFrame, DataFrame]:

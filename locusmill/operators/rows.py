@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shaped(df: DataFrame, keep: Iterable[str] = (), rename: Mapping[str, str] | None = None, first: Iterable[str] = (), drop: Iterable[str] = ()) -> DataFrame:
@@ -53,6 +54,28 @@ def columns_like(df: DataFrame, prefix: str = "", suffix: str = "", complement:
     return [c for c in df.columns if (c.startswith(prefix) and c.endswith(suffix)) != complement]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
+
+    Only a local session, which has one machine, may leave it out; it gets a folder of its own. On a cluster that is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        found = tempfile.mkdtemp(prefix="locusmill-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as it is partitioned: survives lost executors and holds no cache."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "id", within: list[str] | None = None) -> DataFrame:
     """Row numbers 1..n over a total order, within groups if given.
 
@@ -62,7 +85,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", within: list[str
     if within:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist()
+    parts = settled(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     sizes = parts.groupBy("__part").count().orderBy("__part").collect()
     starts, total = [], 0
     for part, size in sizes:

@@ -33,11 +33,18 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str, p_values: bool = True)
     return out.withColumn("p", t_two_sided(F.col("t"), F.col("n") - 2.0)) if p_values else out
 
 
+#: Rows at most whose pairs are all correlated.
+MAX_ROWS = 5_000
+
+
 def row_correlations(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """Pearson's r of all pairs of rows of a long matrix, row a < row b; for the few thousand rows of a factor table.
+    """Pearson's r of all pairs of rows of a long matrix, row a < row b; more than MAX_ROWS rows fail, columns may be any number.
 
     Rows are scaled and met on their column; pairs come from that equality join and are summed on the map side.
     """
+    few = df.select(row).distinct().count()
+    if few > MAX_ROWS:
+        raise ValueError(f"{few} rows, more than {MAX_ROWS}: their pairs would be too many")
     stats = df.groupBy(row).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"), F.count(value).alias("__n"))
     z = df.join(stats, row).select(row, column, F.try_divide(F.col(value) - F.col("__m"), F.col("__s")).alias("z"), "__n")
     a, b = z.select(F.col(row).alias("a"), column, F.col("z").alias("za"), "__n"), z.select(F.col(row).alias("b"), column, F.col("z").alias("zb"))

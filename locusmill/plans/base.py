@@ -26,7 +26,7 @@ STANDINS = {
     "set_o": "SELECT l_partkey AS gene, min(pvalue) AS pvalue, max(zscore) AS zscore FROM {assoc} WHERE l_linestatus = 'O' AND l_partkey % 5 <> 2 GROUP BY l_partkey",
     "peaks": f"SELECT event_id AS id, user_id % 22 + 1 AS chrom, {_POS} - 600 AS start, {_POS} + 600 AS stop, value AS score FROM {{events}} WHERE event_type = 'purchase'",
     "genes": f"SELECT event_id AS gene, user_id % 22 + 1 AS chrom, {_POS} AS start, {_POS} + 100 + event_id % 1000 AS stop FROM {{events}} WHERE event_type = 'click'",
-    "snps": f"SELECT event_id AS snp, user_id % 22 + 1 AS chrom, {_POS} AS pos FROM {{events}} WHERE event_type = 'view' AND event_id % 4 = 0",
+    "snps": f"SELECT event_id AS snp, user_id % 22 + 1 AS chrom, {_POS} AS pos FROM {{events}} WHERE event_type = 'view'",
     "blocks": "SELECT chrom, k * 21600 + 1 AS start, (k + 1) * 21600 AS stop FROM (SELECT DISTINCT user_id % 22 + 1 AS chrom FROM {events}) c CROSS JOIN (SELECT DISTINCT event_id % 120 AS k FROM {events}) b",
     "lift": """SELECT chrom, k * 86400 AS src_start, (k + 1) * 86400 - 1 AS src_stop, chrom AS dst_chrom, chrom * 1000 AS shift,
         CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand
@@ -36,14 +36,16 @@ STANDINS = {
     "cells": "SELECT vec_id AS locus, label AS feature, sum(x * w) AS score FROM {x_long} JOIN (SELECT model AS label, feature AS f, w FROM {w_long}) m ON feature = f GROUP BY vec_id, label",
     "bins": "SELECT label AS chrom, feature, CAST(floor(vec_id / 1e1) AS BIGINT) AS bin, x FROM {x_long} JOIN {embeddings} USING (vec_id)",
     "classed": "SELECT doc_id, quality, toxic, n_chars, lang FROM {labels} JOIN {documents} USING (doc_id)",
-    "dosage": "SELECT o_custkey AS sample, l_partkey AS variant, CAST(max((l_orderkey + l_linenumber) % 3) AS BIGINT) AS dosage FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0 GROUP BY o_custkey, l_partkey",
-    "snp_weights": "SELECT p_brand AS gene, p_partkey AS variant, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'C' END AS ref, CASE WHEN p_partkey % 3 = 0 THEN 'C' ELSE 'A' END AS eff, (p_size - 25) / 5e1 AS weight FROM {part} WHERE p_partkey % 10 = 0",
-    "loci": "SELECT DISTINCT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(l_partkey + CAST(l_quantity AS BIGINT) AS STRING)) AS locus FROM {lineitem} WHERE l_partkey % 4 = 0",
+    "dosage": "SELECT o_custkey AS sample, l_partkey AS variant, CAST(max((l_orderkey + l_linenumber) % 3) AS BIGINT) AS dosage FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey",
+    "pop_dosage": "SELECT c_nationkey AS sample, variant, CAST(max(dosage) AS BIGINT) AS dosage FROM {dosage} JOIN {customer} ON c_custkey = sample GROUP BY c_nationkey, variant",
+    "snp_weights": "SELECT p_brand AS gene, p_partkey AS variant, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'C' END AS ref, CASE WHEN p_partkey % 3 = 0 THEN 'C' ELSE 'A' END AS eff, (p_size - 25) / 5e1 AS weight FROM {part}",
+    "loci": "SELECT DISTINCT concat('chr', CAST(l_suppkey % 22 + 1 AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(l_partkey + CAST(l_quantity AS BIGINT) AS STRING)) AS locus FROM {lineitem}",
     "effects": "SELECT l_orderkey, l_linenumber, (l_partkey - 1000) * 500 AS distance, l_discount - 5e-2 AS beta FROM {lineitem}",
     "terms": "SELECT p_type AS term, p_partkey AS member FROM {part}",
-    "asked": "SELECT query, member FROM (SELECT query, member, row_number() OVER (PARTITION BY query ORDER BY member) AS n FROM (SELECT DISTINCT o_orderpriority AS query, l_partkey AS member FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE (l_orderkey + l_partkey) % 3 = 0) u) v WHERE n <= 200",
+    "asked": "SELECT DISTINCT n_name AS query, l_partkey AS member FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey",
+    "tracks": f"SELECT user_id % 22 + 1 AS chrom, CAST(floor(({_POS}) / 1.28e2) AS BIGINT) AS bin, avg(value) AS x FROM {{events}} GROUP BY 1, 2",
     "gwas": "SELECT concat('rs', CAST(l_orderkey AS STRING)) AS rsid, l_suppkey % 22 + 1 AS chrom, l_partkey AS pos, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE concat('v', CAST(l_partkey AS STRING)) END AS variant_id, l_discount - 5e-2 AS beta, l_tax AS se FROM {lineitem}",
-    "snp_z": "SELECT p_partkey AS variant, CASE WHEN p_partkey % 4 = 0 THEN 'A' ELSE 'C' END AS eff_gwas, (p_size - 20) / 1e1 AS z FROM {part} WHERE p_partkey % 10 = 0",
+    "snp_z": "SELECT p_partkey AS variant, CASE WHEN p_partkey % 4 = 0 THEN 'A' ELSE 'C' END AS eff_gwas, (p_size - 20) / 1e1 AS z FROM {part}",
 }
 #: Stand-ins of which DuckDB reads another text.
 _DUCK_STANDINS = {"x_long": "SELECT vec_id, CAST(feature AS INTEGER) AS feature, CAST(embedding[feature + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(feature)"}

@@ -57,9 +57,9 @@ def g9(t):
     return G.wider(t.assoc, ["locus"], "tissue", "l_partkey", _TISSUES, 0)
 
 
-@query("g10_pivot_longer", "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_partkey % 5 = 0) q UNPIVOT INCLUDE NULLS (value FOR name IN (l_quantity, l_discount, l_tax))")
+@query("g10_pivot_longer", "SELECT l_orderkey, l_linenumber, name, value FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) q UNPIVOT INCLUDE NULLS (value FOR name IN (l_quantity, l_discount, l_tax))")
 def g10(t):
-    return G.longer(t.lineitem.where("l_partkey % 5 = 0"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
+    return G.longer(t.lineitem, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
 
 
 @query("g11_histogram", "SELECT floor((l_extendedprice - 1e3) / 5e3)::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1")
@@ -124,10 +124,10 @@ def g22(t):
     return rounded(G.against_reference(by, by.where("tf = 'Brand#2'"), "m"), "m", "reference")
 
 
-@query("g23_transpose", "SELECT feature AS vec_id, vec_id AS feature, round(x, 6) + 0e0 AS x FROM {x_long} WHERE vec_id % 10 = 0 AND feature < 5")
+@query("g23_transpose", "SELECT feature AS vec_id, vec_id AS feature, round(x, 6) + 0e0 AS x FROM {x_long} WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label = 3) AND feature IN (SELECT feature FROM {w_long} WHERE model = 3 AND w > 0)")
 def g23(t):
-    keep = t.embeddings.where("vec_id % 10 = 0").select("vec_id")
-    cols = t.spark.range(5).select(F.col("id").cast("int").alias("feature"))
+    keep = t.embeddings.where("label = 3").select("vec_id")
+    cols = t.w_long.where("model = 3 and w > 0").select("feature")
     return rounded(G.transposed(t.x_long, "vec_id", "feature", keep, cols), "x")
 
 
@@ -163,6 +163,12 @@ def w6(t):
     return rounded(q.select("l_orderkey", "l_linenumber", "pvalue", "expected"), "expected", digits=8)
 
 
+@query("w6_qq_normal")
+def w6_normal(t):
+    q = W.qq_normal(t.assoc, "zscore", ["l_orderkey", "l_linenumber", "l_partkey"])
+    return rounded(q.select("l_orderkey", "l_linenumber", "zscore", "expected"), "expected")
+
+
 @query("w7_qq_two_samples", """WITH a AS (SELECT zscore, row_number() OVER (ORDER BY zscore) AS i FROM {set_f}), b AS (SELECT zscore, row_number() OVER (ORDER BY zscore) AS k FROM {set_o}),
 n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb),
 s AS (SELECT CASE WHEN na <= nb THEN 1 ELSE 0 END AS a_small, least(na, nb) AS n, greatest(na, nb) AS big FROM n),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import columns as C
 from locusmill.operators import groups as G, intervals as I, rows as R
-from locusmill.operators.ranks import share_of_total
+from locusmill.operators.ranks import share_of_total, top_rows
 from locusmill.plans.base import query, rounded
 
 _RIGHT = {"start": "r_start", "stop": "r_stop"}
@@ -61,24 +61,24 @@ def j15(t):
     return G.wider(side, ["chrom"], "side", "count", ["n_in", "n_out"], 0)
 
 
-_WINDOW = """w AS (SELECT id, chrom, start, stop, ceil((start + stop) / 2e0)::BIGINT AS mid FROM {peaks} WHERE id % 3 = 0),
+_WINDOW = """w AS (SELECT id, chrom, start, stop, ceil((start + stop) / 2e0)::BIGINT AS mid FROM {peaks}),
 o AS (SELECT *, floor((mid - 1) / 128e0)::BIGINT - 448 AS b0, start - (mid - 57344) AS s0 FROM w),
 d AS (SELECT *, floor(s0 / 128e0)::BIGINT + 1 AS lo, floor((s0 + stop - start - 1) / 128e0)::BIGINT + 1 + (stop - start > 128)::INTEGER AS hi FROM o),
 e AS (SELECT id, chrom, b0 + lo - 1 AS low, b0 + CASE WHEN hi = lo THEN hi + 1 ELSE hi END + 1 AS high FROM d)"""
 
 
-@query("j16_bin_range", f"WITH {_WINDOW} SELECT id, low, high, (high - low)::BIGINT AS n_bins FROM e")
+@query("j16_bin_range", f"WITH {_WINDOW} SELECT id, low, high, (high - low)::BIGINT AS n_bins, count(x) AS n_found, round(avg(x), 6) + 0e0 AS mean FROM e LEFT JOIN {{tracks}} b ON b.chrom = e.chrom AND bin >= low AND bin < high GROUP BY id, low, high")
 def j16(t):
-    loci = t.peaks.where("id % 3 = 0")
     low, high = I.bin_window(F.col("start"), F.col("stop"))
-    rows = loci.select("id", "chrom", low.alias("low"), high.alias("high"))
-    cells = rows.withColumn("bin", F.explode(F.sequence(F.col("low"), F.col("high") - 1)))
-    return cells.groupBy("id", "low", "high").agg(F.count("*").alias("n_bins"))
+    loci = t.peaks.select("id", "chrom", low.alias("low"), high.alias("high"))
+    found = I.bins_of(loci, t.tracks, F.col("low"), F.col("high")).groupBy("id").agg(F.count("x").alias("n_found"), F.avg("x").alias("mean"))
+    out = loci.join(found, "id", "left").select("id", "low", "high", (F.col("high") - F.col("low")).alias("n_bins"), F.coalesce("n_found", F.lit(0)).alias("n_found"), "mean")
+    return rounded(out, "mean")
 
 
-@query("g20_mean_bins", "WITH l AS (SELECT DISTINCT label AS chrom, (vec_id // 10) % 40 AS low FROM embeddings WHERE vec_id < 400) SELECT l.chrom, l.low, feature, round(avg(x), 6) + 0e0 AS x FROM l JOIN {bins} b ON b.chrom = l.chrom AND b.bin >= l.low AND b.bin < l.low + 4 GROUP BY l.chrom, l.low, feature")
+@query("g20_mean_bins", "WITH l AS (SELECT DISTINCT label AS chrom, (vec_id // 10) % 40 AS low FROM embeddings) SELECT l.chrom, l.low, feature, round(avg(x), 6) + 0e0 AS x FROM l JOIN {bins} b ON b.chrom = l.chrom AND b.bin >= l.low AND b.bin < l.low + 4 GROUP BY l.chrom, l.low, feature")
 def g20(t):
-    loci = t.embeddings.where("vec_id < 400").select(F.col("label").alias("chrom"), (F.floor(F.col("vec_id") / 10) % 40).cast("long").alias("low")).distinct()
+    loci = t.embeddings.select(F.col("label").alias("chrom"), (F.floor(F.col("vec_id") / 10) % 40).cast("long").alias("low")).distinct()
     bins = t.embeddings.select(F.col("label").alias("chrom"), F.floor(F.col("vec_id") / 10).cast("long").alias("bin"), "embedding")
     mean = G.mean_arrays(I.bins_of(loci, bins, F.col("low"), F.col("low") + 4), ["chrom", "low"], "embedding", 64)
     return rounded(mean.select("chrom", "low", F.posexplode("embedding").alias("feature", "x")), "x")
@@ -109,7 +109,9 @@ def x31(t):
     return rounded(share_of_total(by, "n"), "mean_abs", "percent")
 
 
-@query("x33_locus_zoom", "SELECT g.gene, s.snp, s.pos, s.pos - g.start AS offset_ FROM {genes} g JOIN {snps} s ON g.chrom = s.chrom AND s.pos BETWEEN g.start - 50000 AND g.stop + 50000 WHERE g.gene % 10 = 0")
+@query("x33_locus_zoom", """SELECT g.gene, s.snp, s.pos, s.pos - g.start AS offset_ FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start, gene) AS k FROM {genes}) q WHERE k = 1) g
+JOIN {snps} s ON g.chrom = s.chrom AND s.pos BETWEEN g.start - 50000 AND g.stop + 50000""")
 def x33(t):
-    chosen = t.genes.where("gene % 10 = 0").withColumnsRenamed(_RIGHT)
+    """The chosen genes are each chromosome's first ones."""
+    chosen = top_rows(t.genes, ["chrom"], 1, F.col("start"), F.col("gene")).withColumnsRenamed(_RIGHT)
     return I.point_in_window(t.snps, chosen, 50_000, 100_000).select("gene", "snp", "pos", (F.col("pos") - F.col("r_start")).alias("offset_"))

@@ -44,11 +44,11 @@ def j6(t):
     return J.all_joined({"f": t.set_f, "o": t.set_o, "all": every}, "gene", "pvalue")
 
 
-@query("j7_many_to_many", "SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n ON p.p_size % 5 = n.n_regionkey WHERE p.p_partkey < 300")
+@query("j7_many_to_many", "SELECT p.p_partkey, n.n_nationkey FROM part p JOIN nation n ON p.p_size % 5 = n.n_regionkey")
 def j7(t):
-    left = t.part.where("p_partkey < 300").select("p_partkey", (F.col("p_size") % 5).alias("k"))
+    left = t.part.select("p_partkey", (F.col("p_size") % 5).alias("k"))
     right = t.nation.select("n_nationkey", F.col("n_regionkey").alias("k"))
-    return J.exploding(left, right, ["k"], 100_000).select("p_partkey", "n_nationkey")
+    return J.exploding(left, right, ["k"], 1_000_000_000).select("p_partkey", "n_nationkey")
 
 
 @query("j8_provenance", """SELECT coalesce(f.gene, o.gene) AS gene, CASE WHEN f.gene IS NULL THEN 'right' WHEN o.gene IS NULL THEN 'left' ELSE 'both' END AS provenance FROM {set_f} f FULL JOIN {set_o} o ON f.gene = o.gene""")
@@ -72,8 +72,10 @@ def j19(t):
     return J.flagged(t.set_f.select("gene"), t.set_o, ["gene"], "also_open")
 
 
-@query("x7_format_model", "SELECT locus, split_part(k, '_', 1) AS chrom, split_part(k, '_', 2)::BIGINT AS start, round(score, 6) AS score FROM (SELECT locus, 'chr' || (locus % 22 + 1) || '_' || (locus * 128) AS k, score FROM {cells} WHERE feature = 3) q")
+@query("x7_format_model", """SELECT c.locus, split_part(a.name, '_', 1) AS chrom, split_part(a.name, '_', 2)::BIGINT AS start, a.name AS annotated, round(score, 6) AS score
+FROM (SELECT locus, score FROM {cells} WHERE feature = 3) c LEFT JOIN (SELECT vec_id AS locus, 'chr' || (vec_id % 22 + 1) || '_' || (vec_id * 128) AS name FROM embeddings WHERE label <> 7) a USING (locus)""")
 def x7(t):
-    one = t.cells.where("feature = 3").withColumn("k", F.format_string("chr%d_%d", F.col("locus") % 22 + 1, F.col("locus") * 128))
-    chrom, start, _ = locus_parts(F.col("k"))
-    return rounded(one.select("locus", chrom, start, "score"), "score")
+    names = t.embeddings.where("label <> 7").select(F.col("vec_id").alias("locus"), F.format_string("chr%d_%d", F.col("vec_id") % 22 + 1, F.col("vec_id") * 128).alias("annotated"))
+    one = J.formatted_model(t.cells, 3, names)
+    chrom, start, _ = locus_parts(F.col("annotated"))
+    return rounded(one.select("locus", chrom, start, "annotated", "score"), "score")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from locusmill.operators import linear as L, models as M, programs as P
 from locusmill.operators.groups import counted
-from locusmill.operators.rows import tagged_union
+from locusmill.operators.rows import settled, tagged_union
 from locusmill.plans.base import query, rounded
 
 
@@ -39,9 +39,9 @@ def x3(t):
 
 
 def _dosages(t):
-    """Samples are embeddings below 100, variants their signs: a small cis window for each of four loci."""
-    cells = t.x_long.where("vec_id < 100").select(F.col("vec_id").alias("sample"), F.col("feature").alias("variant"), F.when(F.col("x") > 0.05, 2).when(F.col("x") > -0.05, 1).otherwise(0).alias("dosage"))
-    y = t.embeddings.where("vec_id < 100").select(F.col("vec_id").alias("sample"), F.posexplode(F.slice("embedding", 1, 4)).alias("locus", "y"))
+    """Samples are the embeddings, variants their signs: a small cis window for each of four loci."""
+    cells = t.x_long.select(F.col("vec_id").alias("sample"), F.col("feature").alias("variant"), F.when(F.col("x") > 0.05, 2).when(F.col("x") > -0.05, 1).otherwise(0).alias("dosage"))
+    y = t.embeddings.select(F.col("vec_id").alias("sample"), F.posexplode(F.slice("embedding", 1, 4)).alias("locus", "y"))
     return cells.withColumn("locus", (F.col("variant") / 16).cast("int")).join(y.withColumn("y", F.col("y").cast("double")), ["sample", "locus"])
 
 
@@ -50,34 +50,32 @@ def x11(t):
     return rounded(M.snp_models(_dosages(t).select("locus", "sample", "y", "variant", "dosage")), "weight", "cv_r2")
 
 
-def _grm_input(t):
-    grm = L.relationship(_dosages(t).select("sample", "variant", "dosage").distinct())
-    y = t.embeddings.where("vec_id < 100").select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 8)).alias("phenotype", "y")).withColumn("y", F.col("y").cast("double"))
-    return y, grm
+def _phenotypes(t):
+    """A phenotype for each line number: the nations' mean prices."""
+    people = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_nationkey")
+    rows = t.lineitem.join(people, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy(F.col("l_linenumber").alias("phenotype"), F.col("c_nationkey").alias("id")).agg(F.avg("l_extendedprice").cast("double").alias("y"))
 
 
 @query("x13_heritability")
 def x13(t):
-    return M.heritability(*_grm_input(t), ["phenotype"])
+    return M.heritability(_phenotypes(t), L.relationship(t.pop_dosage), ["phenotype"])
 
 
 @query("x14_heritability_by_chromosome")
 def x14(t):
-    y, _ = _grm_input(t)
-    chroms = t.spark.range(4).select(F.col("id").alias("chrom"))
-    d = _dosages(t).select(F.col("locus").alias("chrom"), "sample", "variant", "dosage").distinct()
-    stats = d.groupBy("chrom", "variant").agg(F.avg("dosage").alias("m"), F.stddev_samp("dosage").alias("s")).where("s > 0")
-    z = d.join(stats, ["chrom", "variant"]).select("chrom", "sample", "variant", ((F.col("dosage") - F.col("m")) / F.col("s")).alias("z"))
-    a, b = z.select("chrom", "variant", F.col("sample").alias("id1"), F.col("z").alias("za")), z.select("chrom", "variant", F.col("sample").alias("id2"), F.col("z").alias("zb"))
-    grm = a.join(b, ["chrom", "variant"]).where("id1 <= id2").groupBy("chrom", "id1", "id2").agg(F.avg(F.col("za") * F.col("zb")).alias("value"))
-    return M.heritability(y.crossJoin(F.broadcast(chroms)).withColumn("chrom", F.col("chrom").cast("int")), grm.withColumn("chrom", F.col("chrom").cast("int")), ["chrom", "phenotype"])
+    """Chromosomes are the brands of the variants."""
+    brand = t.part.select(F.col("p_partkey").alias("variant"), F.col("p_brand").alias("chrom"))
+    d = t.pop_dosage.join(brand, "variant")
+    grm = L.relationship(d, ["chrom"])
+    return M.heritability(grm.select("chrom").distinct().join(_phenotypes(t), how="cross"), grm, ["chrom", "phenotype"])
 
 
 def _loci(t):
-    return t.cells.select("locus", "feature", F.greatest("score", F.lit(0.0)).alias("score")).where("locus < 200")
+    return t.cells.select("locus", "feature", F.greatest("score", F.lit(0.0)).alias("score"))
 
 
-@query("x15_subsamples", "SELECT iter, (SELECT floor(count(DISTINCT locus) * 8e-1 + 5e-1)::BIGINT FROM {cells} WHERE locus < 200) AS n FROM range(20) i(iter)")
+@query("x15_subsamples", "SELECT iter, (SELECT floor(count(DISTINCT locus) * 8e-1 + 5e-1)::BIGINT FROM {cells}) AS n FROM range(20) i(iter)")
 def x15(t):
     return counted(P.subsamples(_loci(t), "locus", 20), "iter")
 
@@ -92,6 +90,15 @@ def x16(t):
     return _factors(t).groupBy("iter", "k").agg(F.max("pve").alias("pve"), F.min("value").alias("least"), F.count("*").alias("n"))
 
 
+@query("f5_prior_switch")
+def f5_prior(t):
+    """The same subsamples under each prior: the exponential one makes loadings smaller."""
+    cells = _loci(t)
+    picks = P.subsamples(cells, "locus", 2)
+    parts = {prior: P.factorised(cells, picks, "locus", "feature", "score", 2, prior) for prior in P.PRIORS}
+    return rounded(tagged_union(parts, "prior").groupBy("prior", "iter", "kind").agg(F.countDistinct("k").alias("n_factors"), F.avg("value").alias("mean")), "mean", digits=4)
+
+
 _FACTORS = """SELECT CAST(l_linenumber AS BIGINT) AS iter, CAST(l_suppkey % 3 AS INT) AS k, CASE WHEN l_partkey % 2 = 0 THEN 'L' ELSE 'F' END AS kind,
     CAST(l_partkey % 40 AS STRING) AS key, avg(l_quantity) AS value FROM {lineitem} GROUP BY l_linenumber, l_suppkey % 3, CASE WHEN l_partkey % 2 = 0 THEN 'L' ELSE 'F' END, l_partkey % 40"""
 _DUCK_FACTORS = _FACTORS.replace("AS STRING", "AS VARCHAR")
@@ -118,9 +125,8 @@ def x18(t):
 
 @query("x19_choose_k_and_cluster")
 def x19(t):
-    vectors = P.program_vectors(P.stacked(_factors(t))).persist()
-    scores = P.choose_k(vectors, [2, 3, 4])
-    best = scores.orderBy(F.desc("silhouette"), "k").first()["k"]
+    vectors = settled(P.program_vectors(P.stacked(_factors(t))))
+    best = P.choose_k(vectors, list(range(2, 21))).orderBy(F.desc("silhouette"), "k").first()["k"]
     return counted(P.clustered(vectors, best), "cluster")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import columns as C
 from locusmill.functions.distributions import t_two_sided
-from locusmill.operators import groups as G, joins as J, linear as L, ranks as W, rows as R, stats as S
+from locusmill.operators import groups as G, joins as J, linear as L, programs as P, ranks as W, rows as R, stats as S
 from locusmill.plans.base import query, r, rounded
 
 _WELCH = """SELECT {k}, n1, n0, round((m1 - m0) / nullif(sqrt(v1 / n1 + v0 / n0), 0), 5) AS t, round((v1 / n1 + v0 / n0) ** 2 / nullif((v1 / n1) ** 2 / nullif(n1 - 1, 0) + (v0 / n0) ** 2 / nullif(n0 - 1, 0), 0), 4) AS df
@@ -40,10 +40,10 @@ def t2_p(t):
     return S.pearson(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice")
 
 
-@query("t3_row_correlations", "SELECT a.locus AS a, b.locus AS b, round(covar_samp(a.score, b.score) / nullif(stddev_samp(a.score) * stddev_samp(b.score), 0), 5) + 0e0 AS r FROM {cells} a JOIN {cells} b ON a.feature = b.feature AND a.locus < b.locus WHERE a.locus < 60 AND b.locus < 60 GROUP BY 1, 2")
+@query("t3_row_correlations", "SELECT a.feature AS a, b.feature AS b, round(covar_samp(a.score, b.score) / nullif(stddev_samp(a.score) * stddev_samp(b.score), 0), 5) + 0e0 AS r FROM {cells} a JOIN {cells} b ON a.locus = b.locus AND a.feature < b.feature GROUP BY 1, 2")
 def t3(t):
-    cells = t.cells.where("locus < 60")
-    return rounded(S.row_correlations(cells, "locus", "feature", "score"), "r", digits=5)
+    """All pairs of the few models, over all loci."""
+    return rounded(S.row_correlations(t.cells, "feature", "locus", "score"), "r", digits=5)
 
 
 def _pi0(src: str) -> str:
@@ -80,6 +80,13 @@ def t7(t):
     return S.enrichment_grid(rows, "lang", ["good", "toxic", "even"], "n_chars", p_values=False).select("lang", "indicator", "n1", "n0", r("t", 5).alias("t"), r("df", 4).alias("df"))
 
 
+@query("t7_enrichment_log_p")
+def t7_log_p(t):
+    rows = t.classed.select("lang", "n_chars", F.col("quality").alias("good"), "toxic", (F.col("doc_id") % 2 == 0).cast("int").alias("even"))
+    grid = S.enrichment_grid(rows, "lang", ["good", "toxic", "even"], "n_chars")
+    return rounded(grid.select("lang", "indicator", "t", C.minus_log10(F.col("p")).alias("log_p"), C.minus_log10(F.col("p_greater")).alias("log_p_greater")), "t", "log_p", "log_p_greater")
+
+
 @query("t8_sign_consistency", f"WITH a AS ({_PEARSON}), b AS ({_PEARSON.replace('l_extendedprice', 'l_tax')}) SELECT count(*) AS n, count_if(sign(a.r) = sign(b.r))::BIGINT AS n_same, round(count_if(sign(a.r) = sign(b.r)) / count(*)::DOUBLE, 6) AS share FROM a JOIN b USING (l_suppkey) WHERE abs(b.r) > 2e-2")
 def t8(t):
     a = S.pearson(t.lineitem, ["l_suppkey"], "l_quantity", "l_extendedprice", False).select("l_suppkey", F.col("r").alias("ra"))
@@ -131,8 +138,7 @@ def f1(t):
 
 @query("f2_group_closures", "SELECT tf, count(*) AS n, round(avg(zscore), 6) + 0e0 AS mean FROM {assoc} GROUP BY tf")
 def f2(t):
-    out = S.guarded(t.assoc.select("tf", "zscore"), ["tf"], lambda g: {"n": len(g), "mean": float(g.zscore.mean())}, "n bigint, mean double")
-    return rounded(out, "mean").drop("error")
+    return rounded(t.assoc.groupBy("tf").agg(F.count("*").alias("n"), F.avg("zscore").alias("mean")), "mean")
 
 
 @query("x4_apply_model", "SELECT vec_id, round(embedding[1]::DOUBLE * 2 - embedding[2]::DOUBLE + 5e-1, 6) + 0e0 AS link, round(1 / (1 + exp(-(embedding[1]::DOUBLE * 2 - embedding[2]::DOUBLE + 5e-1))), 6) AS probability FROM embeddings")
@@ -185,11 +191,15 @@ def x10(t):
     return rounded(L.association(t.snp_weights, t.snp_z, t.sql(COVARIANCE)), "z", digits=5)
 
 
-@query("x12_relationship", """WITH d AS (SELECT * FROM {dosage} WHERE sample < 120), s AS (SELECT variant, avg(dosage) AS m, stddev_samp(dosage) AS sd FROM d GROUP BY variant HAVING stddev_samp(dosage) > 0),
-z AS (SELECT sample, variant, (dosage - m) / sd AS z FROM d JOIN s USING (variant))
-SELECT a.sample AS id1, b.sample AS id2, round(sum(a.z * b.z) / (SELECT count(*) FROM s), 6) + 0e0 AS value FROM z a JOIN z b ON a.variant = b.variant AND a.sample <= b.sample GROUP BY 1, 2""")
+RELATIONSHIP_SQL = """d AS (SELECT * FROM {pop_dosage}), s AS (SELECT variant, avg(dosage) AS m, stddev_samp(dosage) AS sd FROM d GROUP BY variant HAVING stddev_samp(dosage) > 0),
+z AS (SELECT sample, variant, (dosage - m) / sd AS z FROM d JOIN s USING (variant)),
+k AS (SELECT a.sample AS id1, b.sample AS id2, round(sum(a.z * b.z) / (SELECT count(*) FROM s), 6) + 0e0 AS value FROM z a JOIN z b ON a.variant = b.variant AND a.sample <= b.sample GROUP BY 1, 2)"""
+
+
+@query("x12_relationship", f"WITH {RELATIONSHIP_SQL} SELECT * FROM k")
 def x12(t):
-    return rounded(L.relationship(t.dosage.where("sample < 120")), "value")
+    """The samples are the nations, whose number is bounded; every variant counts."""
+    return rounded(L.relationship(t.pop_dosage), "value")
 
 
 @query("x23_ratio_matrix", "SELECT a.l_orderkey, a.l_linenumber, round(a.zscore * a.zscore / nullif(g.z * g.z, 0), 5) AS ratio FROM {assoc} a JOIN (SELECT locus, max(zscore) AS z FROM {assoc} GROUP BY locus) g USING (locus)")
@@ -198,18 +208,18 @@ def x23(t):
     return rounded(L.ratio(t.assoc.withColumnRenamed("zscore", "z"), gwas, "locus").select("l_orderkey", "l_linenumber", "ratio"), "ratio", digits=5)
 
 
-@query("x24_reordered", "SELECT locus, feature, round(score, 6) + 0e0 AS score, dense_rank() OVER (ORDER BY feature % 3, feature)::BIGINT AS place FROM {cells} WHERE locus < 50")
+@query("x24_reordered", "SELECT locus, feature, round(score, 6) + 0e0 AS score, dense_rank() OVER (ORDER BY feature % 3, feature)::BIGINT AS place FROM {cells}")
 def x24(t):
     order = R.numbered(t.cells.select("feature").distinct().withColumn("cluster", F.col("feature") % 3), ["cluster", "feature"], "place")
-    rows = t.cells.where("locus < 50").join(F.broadcast(order.select("feature", F.col("place").cast("long").alias("place"))), "feature")
+    rows = t.cells.join(F.broadcast(order.select("feature", F.col("place").cast("long").alias("place"))), "feature")
     return rounded(rows.select("locus", "feature", "score", "place"), "score")
 
 
 @query("x25_compare_runs", "SELECT r_name AS run, count(*) AS n_factors, round(sum(s_acctbal / 1e4), 6) + 0e0 AS total_pve FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
 def x25(t):
     n = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    runs = t.supplier.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
-    return rounded(runs.groupBy(F.col("r_name").alias("run")).agg(F.count("*").alias("n_factors"), F.sum(F.col("s_acctbal") / 1e4).alias("total_pve")), "total_pve")
+    runs = t.supplier.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("run"), F.col("s_suppkey").alias("k"), (F.col("s_acctbal") / 1e4).alias("pve"))
+    return rounded(P.compared_runs(runs, ["run"]), "total_pve")
 
 
 @query("x26_train_test_assembly", "SELECT doc_id, split, quality, n_chars FROM (SELECT doc_id, quality, 'test' AS split FROM labels WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, quality, 'train' FROM labels WHERE doc_id % 5 <> 0) l JOIN documents USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")

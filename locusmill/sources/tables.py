@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from locusmill.operators.rows import numbered
 
 BED = "chrom string, start bigint, stop bigint, id string"
 
@@ -28,6 +31,37 @@ def read_entities(spark: SparkSession, folder: str, expected: DataFrame, schema:
     return rows, expected.join(rows.select("entity").distinct(), "entity", "left_anti")
 
 
+def write_entities(df: DataFrame, folder: str, entity: str, sep: str = "\t") -> None:
+    """A headed file for each entity, named after it: ``<entity>.tsv``. An entity's rows go through one task, as they make one file."""
+    spark = df.sparkSession
+    df.repartition(entity).write.mode("overwrite").partitionBy(entity).csv(f"{folder}.parts", sep=sep, header=True, nullValue="NA")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for part in fs.listStatus(path(f"{folder}.parts")):
+        name = part.getPath().getName()
+        if name.startswith(f"{entity}="):
+            for file in fs.globStatus(path(f"{folder}.parts/{name}/part-*")):
+                fs.rename(file.getPath(), path(f"{folder}/{name.partition('=')[2]}.tsv"))
+    fs.delete(path(f"{folder}.parts"), True)
+
+
+def natural(name: str) -> list:
+    """Key of the order in which numbers inside names count as numbers."""
+    return [(int(x), "") if x.isdigit() else (-1, x) for x in re.findall(r"\d+|\D+", name)]
+
+
+def fit_tables(fits: DataFrame, weights: DataFrame) -> DataFrame:
+    """(gene, model, stat, value) of all fits: cross-validated rsq and pval of each model, the gene's h2, and the weights that aren't 0.
+
+    fits(gene, model, rsq, pval, h2), weights(gene, model, variant, weight).
+    """
+    cv = fits.unpivot(["gene", "model"], ["rsq", "pval"], "stat", "value").withColumn("stat", F.concat(F.lit("cv_"), "stat"))
+    h2 = fits.groupBy("gene").agg(F.max("h2").alias("value")).select("gene", F.lit("all").alias("model"), F.lit("h2").alias("stat"), "value")
+    own = weights.where("weight <> 0").select("gene", "model", F.concat(F.lit("weight_"), "variant").alias("stat"), F.col("weight").alias("value"))
+    return cv.unionByName(h2).unionByName(own)
+
+
 def write_gz(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("overwrite").csv(path, sep=sep, header=True, compression="gzip", nullValue="NA")
 
@@ -68,12 +102,19 @@ def nested_config(motifs: DataFrame, peaks: DataFrame) -> DataFrame:
 
 
 def catalog(tables: Mapping[str, tuple[str, DataFrame]], path: str | None = None) -> DataFrame:
-    """(ord, name, header, n_rows, n_cols) of named tables (name to header and table), which are written if there is a path."""
+    """(ord, name, header, n_rows, n_cols) of named tables (name to header and table), in natural order of the names.
+
+    With a path they are written, and what is read back must have the same columns and as many rows.
+    """
     spark = next(iter(tables.values()))[1].sparkSession
     rows = None
-    for i, (name, (header, df)) in enumerate(tables.items(), 1):
+    for i, (name, (header, df)) in enumerate(sorted(tables.items(), key=lambda x: natural(x[0])), 1):
         if path:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
+            back = spark.read.parquet(f"{path}/{name}")
+            if back.columns != df.columns or back.count() != df.count():
+                raise ValueError(f"{name} was not written whole")
+            df = back
         one = df.agg(F.count("*").alias("n_rows")).select(F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(header).alias("header"), "n_rows", F.lit(len(df.columns)).alias("n_cols"))
         rows = one if rows is None else rows.union(one)
     return rows if rows is not None else spark.createDataFrame([], "ord int, name string, header string, n_rows bigint, n_cols int")
@@ -104,9 +145,4 @@ def gathered(batches: DataFrame, expected: DataFrame) -> DataFrame:
     missing = expected.join(batches.select("batch").distinct(), "batch", "left_anti").count()
     if missing:
         raise FileNotFoundError(f"{missing} of the expected batches have no output")
-    keys = batches.select("batch", "idx").distinct()
-    return batches.join(keys.withColumn("iter", F.row_number().over(Window.orderBy("batch", "idx"))), ["batch", "idx"])
-
-
-def schema_of(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return batches.join(numbered(batches.select("batch", "idx").distinct(), ["batch", "idx"], "iter"), ["batch", "idx"])

@@ -108,11 +108,78 @@ def test_heritability_recovers_simulation(spark):
     assert abs(np.mean([got[f"p{r}"].h2 for r in range(8)]) - 0.5) < 0.15
 
 
-def test_nmf_error_never_rises():
-    x = np.random.default_rng(0).random((30, 12))
-    l, f, errors = P.nmf(x, 4)  # noqa: E741
-    assert (l >= 0).all() and (f >= 0).all()
-    assert all(b <= a + 1e-9 for a, b in zip(errors, errors[1:], strict=False))
+def test_factors_come_one_by_one_and_rebuild_the_matrix(spark):
+    rng = np.random.default_rng(0)
+    l0, f0 = rng.random((40, 2)) ** 3, rng.random((6, 2)) ** 3  # noqa: E741
+    x = l0 @ f0.T
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(40) for j in range(6)], "locus long, feature int, v double")
+    picks = spark.range(40).selectExpr("id as locus", "0L as iter").union(spark.range(20).selectExpr("id as locus", "1L as iter"))
+    got = P.factorised(cells, picks, "locus", "feature", "v", 4, min_pve=0.02, rounds=8).toPandas()
+    assert (got.value >= 0).all() and set(got.iter) == {0, 1}
+    for i, n in ((0, 40), (1, 20)):
+        own = got[got.iter == i]
+        parts = {kind: own[own.kind == kind].assign(key=lambda d: d.key.astype(int)).pivot(index="key", columns="k", values="value").to_numpy() for kind in ("L", "F")}
+        assert parts["L"].shape[0] == n and parts["L"].shape[1] == parts["F"].shape[1] <= 4
+        left = ((x[:n] - parts["L"] @ parts["F"].T) ** 2).sum() / (x[:n] ** 2).sum()
+        assert left < 0.05
+    one = P.factorised(cells, picks, "locus", "feature", "v", 1, rounds=8).toPandas()
+    assert one.k.max() == 0
+    sparse = P.factorised(cells, picks, "locus", "feature", "v", 1, "exponential", rounds=8).toPandas()
+    assert sparse[sparse.kind == "L"].value.mean() < one[one.kind == "L"].value.mean() or sparse.pve.mean() <= one.pve.mean()
+    with pytest.raises(ValueError):
+        P.factorised(cells, picks, "locus", "feature", "v", 1, "cauchy")
+
+
+def test_medoids_find_the_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"p{c}_{i}", (np.eye(3)[c] * 10 + rng.random(3)).tolist()) for c in range(3) for i in range(7)]
+    vectors = spark.createDataFrame(rows, "program string, vector array<double>")
+    scores = {r.k: r.silhouette for r in P.choose_k(vectors, [2, 3, 4, 5]).collect()}
+    assert max(scores, key=scores.get) == 3 and scores[3] > 0.8
+    got = {r.program: r.cluster for r in P.clustered(vectors, 3).collect()}
+    assert all(len({got[f"p{c}_{i}"] for i in range(7)}) == 1 for c in range(3)) and len(set(got.values())) == 3
+
+
+def test_snp_models_from_sums_equal_nets_on_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, (200, 5)).astype(float)
+    y = x[:, 1] * 0.8 - x[:, 4] * 0.3 + rng.standard_normal(200) * 0.3
+    z = (x - x.mean(0)) / x.std(0)
+    w = M.elastic_net(z, y, 0.05)
+    assert np.allclose(M.gram_net(z.T @ z / 200, z.T @ (y - y.mean()) / 200, 0.05), w, atol=1e-4)
+    rows = [("a", i, float(y[i]), v, int(x[i, v])) for i in range(200) for v in range(5)] + [("flat", i, 1.0, 0, i % 3) for i in range(50)]
+    got = {(r.locus, r.variant): r for r in M.snp_models(spark.createDataFrame(rows, "locus string, sample long, y double, variant int, dosage int"), lambdas=(0.05,)).collect()}
+    assert np.allclose([got["a", v].weight for v in range(5)], w / x.std(0), atol=1e-3) and got["a", 0].cv_r2 > 0.8
+    assert got["flat", 0].weight == 0 and got["flat", 0].cv_r2 is None or math.isnan(got["flat", 0].cv_r2)
+
+
+@pytest.mark.parametrize("parts", [2, 7])
+def test_ranks_and_q_values_with_a_hot_value(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rng = np.random.default_rng(3)
+        p = np.where(rng.random(300) < 0.4, 1.0, np.round(rng.random(300), 2))
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)] + [(999, None)], "id long, p double")
+        ranks = {r.id: r["rank"] for r in W.average_rank(df, "p", []).collect()}
+        want = {i: (p < v).sum() + ((p == v).sum() + 1) / 2 for i, v in enumerate(p)}
+        assert ranks == want
+        down = {r.id: r["rank"] for r in W.average_rank(df, "p", [], descending=True).collect()}
+        assert down == {i: 301 - v for i, v in want.items()}
+        order = np.argsort(p, kind="stable")
+        q = np.minimum.accumulate((np.minimum(1, p[order] * 300 / np.arange(1, 301)))[::-1])[::-1]
+        for v in set(p):
+            q[p[order] == v] = q[p[order] == v].min()
+        got = {r.id: r.qvalue for r in W.q_values(df, "p").collect()}
+        assert got.pop(999) is None and all(abs(got[int(i)] - x) < 1e-12 for i, x in zip(order, q, strict=True))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_qq_against_the_normal(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(9)], "id long, z double")
+    got = [r.expected for r in W.qq_normal(df, "z", ["id"]).orderBy("id").collect()]
+    assert abs(got[4]) < 1e-12 and abs(got[0] + got[8]) < 1e-9 and abs(got[8] - 1.5932188) < 1e-6
 
 
 def test_elastic_net_recovers_sparse_weights():
