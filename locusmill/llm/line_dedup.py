@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from locusmill.llm.common import bytes_of, spread
+from locusmill.llm.common import bytes_of, saved, spread
 from locusmill.llm.shingles import mixed, run_names, stretches, words_of
 from locusmill.llm.suffix_dedup import NO_KEY, REMOVED, ROWS, combined, rank_by_name
 
@@ -80,8 +80,8 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit_
     docs = df.select(import_, F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = docs.mapInPandas(hashed, ROWS + ", idx int, words int")
     parts = spread(df, bytes_of(docs) / 20)  # about a row for 20 bytes
-    again = rank_by_name(made, True, ("idx", "words"), parts).where(F.col("state") == REMOVED).select("key", "crc", "start", "n", "idx", "words").distinct()
-    units = again.withColumns({"stop": F.col("start") + F.col("n"), "end": F.col("idx") + F.abs("words"), "line": F.col("words") > 0})
+    again = rank_by_name(made, True, ("idx", "words"), parts).where(F.col("state") == REMOVED).select("key", "crc", "start", "n", "idx", "words")
+    units = saved(again.distinct()).withColumns({"stop": F.col("start") + F.col("n"), "end": F.col("idx") + F.abs("words"), "line": F.col("words") > 0})
 
     def runs(rows: DataFrame, own: list[str]) -> DataFrame:
         """Rows whose words overlap or adjoin become one."""
