@@ -71,6 +71,18 @@ def _drop(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of an Arrow batch of texts: a worker and the JVM hold a batch as a whole.
+TEXT_ROWS = 2_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python in batches of TEXT_ROWS rows unless the session has a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":  # Spark's own number
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,14 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from locusmill.llm.common import bytes_of, saved, spread
+from locusmill.llm.common import bytes_of, saved, spread, text_batches
 from locusmill.llm.shingles import mixed, run_names, stretches, words_of
 from locusmill.llm.suffix_dedup import NO_KEY, REMOVED, ROWS, combined, rank_by_name
 
 #: Words of the least repeat that goes; of so many consecutive stretches of that size one is looked up.
 RUN_WORDS, PLACES = 25, 8
 #: Characters of the texts that are hashed at once.
-CHARS = 2_000_000
+CHARS = 500_000
 COLUMNS = ["kh", "sh", "key", "crc", "start", "n", "idx", "words"]
 
 
@@ -78,7 +78,7 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit_
                     yield combined(rows[COLUMNS], True)[["kh", "sh", "key", "crc", "start", "ns", "idx", "words"]]
 
     docs = df.select(import_, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = docs.mapInPandas(hashed, ROWS + ", idx int, words int")
+    made = text_batches(docs).mapInPandas(hashed, ROWS + ", idx int, words int")
     parts = spread(df, bytes_of(docs) / 20)  # about a row for 20 bytes
     again = rank_by_name(made, True, ("idx", "words"), parts).where(F.col("state") == REMOVED).select("key", "crc", "start", "n", "idx", "words")
     units = saved(again.distinct()).withColumns({"stop": F.col("start") + F.col("n"), "end": F.col("idx") + F.abs("words"), "line": F.col("words") > 0})

@@ -9,7 +9,7 @@ import numpy as np
 from locusmill.llm.suffix_dedup import BASE, MIX, least_place
 
 #: Characters that are named at once (a longer text is taken in pieces that end at white space).
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 _SPACES = np.array([chr(c).isspace() for c in range(0x3001)])
 _POWERS: list[np.ndarray] = []
 

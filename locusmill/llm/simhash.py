@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from locusmill.llm.common import hot_join, saved
+from locusmill.llm.common import hot_join, saved, text_batches
 from locusmill.llm.graph import components
 from locusmill.llm.line_dedup import slices
 from locusmill.llm.shingles import stretches, words_of
@@ -57,7 +57,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     kind = df.select(key).schema[0].dataType.simpleString()
     body = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return body.mapInPandas(run, f"key {kind}, th bigint, fp bigint" + ", sections array<bigint>" * sections)
+    return text_batches(body).mapInPandas(run, f"key {kind}, th bigint, fp bigint" + ", sections array<bigint>" * sections)
 
 
 def sections_of(texts: list[str]) -> list[np.ndarray]:
@@ -267,7 +267,7 @@ def like_edges(docs: DataFrame, rows: DataFrame, points: DataFrame, width: int,
                 keep.append(both >= similarity * (len(own) + len(other) - both))
             yield batch[keep][["fp", "head"]].rename(columns={"fp": "a", "head": "b"})
 
-    return salted.join(texts, "fp").join(of_head, ["head", "copy"]).select("fp", "head", "text", "head_text").mapInPandas(like, "a bigint, b bigint")
+    return text_batches(salted.join(texts, "fp").join(of_head, ["head", "copy"]).select("fp", "head", "text", "head_text")).mapInPandas(like, "a bigint, b bigint")
 
 
 def near_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, reach: int = 2, similarity: float = 0.8) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from locusmill.llm.common import saved
+from locusmill.llm.common import saved, text_batches
 
 #: Labelled texts of each class that the classifier is fitted on at most (those of lowest hash).
 MAX_LABELLED = 4_000
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: tuple[str,
         for batch in batches:
             yield batch.assign(score=[shared.value.score(t) for t in batch.pop("__text").tolist()])
 
-    scored = docs.select(*keep, F.col(text).alias("__text")).mapInPandas(run, f"{kinds}, score double")
+    scored = text_batches(docs.select(*keep, F.col(text).alias("__text"))).mapInPandas(run, f"{kinds}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
