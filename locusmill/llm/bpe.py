@@ -17,8 +17,10 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from locusmill.llm.common import text_batches
+
 #: Distinct words and token pairs that a worker keeps, and characters of text for which one trie is built.
-KEPT_WORDS, KEPT_PAIRS, TRIE_CHARS = 200_000, 250_000, 2_000_000
+KEPT_WORDS, KEPT_PAIRS, TRIE_CHARS = 100_000, 100_000, 2_000_000
 NEVER = 1 << 60
 
 #: Texts of these characters only are split by SIMPLE_WORD: no character among them is changed by NFC,
@@ -190,6 +192,11 @@ class TrieBpe:
         for word, piece in same:
             known[piece] = known[new[word]]
 
+    def forget(self) -> None:
+        """Drops the words and pairs seen so far; the vocabulary's tables stay."""
+        self.words.clear()
+        self.follows.clear()
+
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Each text's ids as little-endian unsigned 32-bit integers, and its decoded text."""
         start = 0
@@ -249,6 +256,7 @@ def encode_decode(df: DataFrame, text: str = "text", path: str | None = None, ke
                     rows.append((list(struct.unpack(f"<{len(ids) // 4}I", ids)), decoded))
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
             yield batch.assign(**{n: [r[i] for r in rows] for i, n in enumerate(names)})
+        bpe.forget()  # the worker lives on for other stages
 
     made = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return df.select(*kept, F.col(text).alias("__text")).mapInPandas(run, f"{kinds}, {made}")
+    return text_batches(df.select(*kept, F.col(text).alias("__text"))).mapInPandas(run, f"{kinds}, {made}")

@@ -203,6 +203,7 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(score=[shared.value.score(t) for t in batch.pop("__text").tolist()])
+        shared.value.known.clear()  # the worker lives on for other stages
 
     scored = text_batches(docs.select(*keep, F.col(text).alias("__text"))).mapInPandas(run, f"{kinds}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
