@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 TRAIN_PAGES, LAYOUTS, TREES, DEPTH, BINS, RATE = 240, 4, 60, 5, 24, 0.3
 #: Longer pages take no part in training; the text of every page is extracted whole.
 TRAIN_CHARS = 100_000
+#: Rows of a block of two-valued features, and pages that a training task reads.
+FLAG_ROWS, TASK_PAGES = 65_536, 15
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-truth)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -200,6 +202,17 @@ def node_features(page: Page) -> np.ndarray:
     return np.hstack([sums, kinds, above, tags]).astype(np.float32)
 
 
+def flag_sums(low: list[np.ndarray], node: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """For each of ``width`` tree nodes and each two-valued feature the weight of the rows on its low side, a block of rows at a time."""
+    out = np.zeros((width, low[0].shape[1]))
+    for i, block in enumerate(low):
+        rows = slice(i * FLAG_ROWS, i * FLAG_ROWS + len(block))
+        by_node = np.zeros((width, len(block)))
+        by_node[node[rows], np.arange(len(block))] = weight[rows]
+        out += by_node @ block
+    return out
+
+
 class BoostedTrees:
     """Binary logistic boosting with histogram splits; complete trees of equal depth."""
 
@@ -212,6 +225,8 @@ class BoostedTrees:
         self.cut = np.full((TREES, 2**DEPTH - 1), np.inf, np.float32)
         self.leaf = np.zeros((TREES, 2**DEPTH))
         logit = np.full(len(y), self.base)
+        flags = {f: k for k, f in enumerate(f for f, q in enumerate(cuts) if len(q) == 1)}
+        low = [(binned[list(flags), a : a + FLAG_ROWS] == 0).T.astype(float) for a in range(0, len(y), FLAG_ROWS)]
         for t in range(TREES):
             p = 1 / (1 + np.exp(-logit))
             g, h = p - y, p * (1 - p) + 1e-6
@@ -220,13 +235,17 @@ class BoostedTrees:
                 width = 2**level
                 best = np.zeros(width)
                 pick = np.full((width, 2), -1)
+                ga, ha = np.bincount(node, g, width)[:, None], np.bincount(node, h, width)[:, None]
+                low_g, low_h = flag_sums(low, node, g, width), flag_sums(low, node, h, width)
                 for f, (q, b) in enumerate(zip(cuts, binned, strict=True)):
                     if not len(q):
                         continue
-                    at = node * (len(q) + 1) + b
-                    gs = np.cumsum(np.bincount(at, g, width * (len(q) + 1)).reshape(width, -1), axis=1)
-                    hs = np.cumsum(np.bincount(at, h, width * (len(q) + 1)).reshape(width, -1), axis=1)
-                    gl, hl, ga, ha = gs[:, :-1], hs[:, :-1], gs[:, -1:], hs[:, -1:]
+                    if f in flags:
+                        gl, hl = low_g[:, [flags[f]]], low_h[:, [flags[f]]]
+                    else:
+                        at = node * (len(q) + 1) + b
+                        gl = np.cumsum(np.bincount(at, g, width * (len(q) + 1)).reshape(width, -1), axis=1)[:, :-1]
+                        hl = np.cumsum(np.bincount(at, h, width * (len(q) + 1)).reshape(width, -1), axis=1)[:, :-1]
                     gain = gl**2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga**2 / (ha + 1)
                     gain[(hl < 1e-3) | (ha - hl < 1e-3)] = -1
                     top = gain.argmax(axis=1)
@@ -391,7 +410,8 @@ def train(pages: DataFrame, source: str = "html", max_pages: int = TRAIN_PAGES)
                 yield rows_of(batch.s.tolist())
 
     chosen = pages.where(F.coalesce(F.length(source), F.lit(0)) <= TRAIN_CHARS).select(F.col(source).alias("s")).orderBy(F.xxhash64("s"), "s").limit(max_pages)
-    nodes = chosen.mapInPandas(run, ", ".join(f"{n} float" for n in names) + ", y double").toPandas()
+    dealt = chosen.repartition(max(1, -(-max_pages // TASK_PAGES)))
+    nodes = dealt.mapInPandas(run, ", ".join(f"{n} float" for n in names) + ", y double").toArrow().to_pandas()
     if nodes.y.nunique() < 2:
         nodes = rows_of(["<article>" + "<p>A plain sentence, of some words, stands here.</p>" * 5 + "</article>"] * 5)
     nodes = nodes.sort_values(nodes.columns.tolist(), kind="stable")
