@@ -144,10 +144,10 @@ def compared(a: DataFrame, b: DataFrame, key: str, z: str, p: str, alpha: float)
 
 
 def permuted(df: DataFrame, by: str, x: str, y: str, key: str, seed: int) -> DataFrame:
-    """A null data set: in each group, x paired with the y of another row by a seeded hash order."""
+    """A null data set: in each group, x paired with the y of another row by the order of seeded MD5 sums."""
     own = Window.partitionBy(by)
     a = df.select(by, x, F.row_number().over(own.orderBy(key)).alias("__i"))
-    b = df.select(by, y, F.row_number().over(own.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)).alias("__i"))
+    b = df.select(by, y, F.row_number().over(own.orderBy(F.md5(F.concat_ws("/", F.col(key), F.lit(seed))), key)).alias("__i"))
     return a.join(b, [by, "__i"]).drop("__i")
 
 

@@ -111,7 +111,10 @@ def t10(t):
     return rounded(S.compared(t.set_f, t.set_o, "gene", "zscore", "pvalue", 0.05), "z_a", "z_b")
 
 
-@query("t11_null_distribution")
+@query("t11_null_distribution", """WITH l AS (SELECT l_suppkey, l_quantity AS x, l_extendedprice AS y, concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS key FROM lineitem),
+i AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY key) AS a, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5(key || '/11'), key) AS b FROM l),
+c AS (SELECT 'observed' AS kind, corr(x, y) AS r FROM l GROUP BY l_suppkey UNION ALL SELECT 'null', corr(p.x, q.y) FROM i p JOIN i q ON p.l_suppkey = q.l_suppkey AND p.a = q.b GROUP BY p.l_suppkey)
+SELECT kind, floor(r / 5e-2)::BIGINT AS bin, count(*) AS n FROM c GROUP BY kind, bin""")
 def t11(t):
     rows = t.lineitem.withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
     null = S.permuted(rows, "l_suppkey", "l_quantity", "l_extendedprice", "key", 11)
