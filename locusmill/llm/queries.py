@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusmill.llm import bpe, chat, decontaminate, html_main, line_dedup, pivots, sharding, simhash, suffix_dedup, toxicity
+from locusmill.llm import bpe, chat, decontaminate, divergence, html_main, line_dedup, pivots, sharding, simhash, suffix_dedup, toxicity
 from locusmill.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(pages, html_main.train(pages))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -64,10 +68,12 @@ QUERIES = {
     "op8_pivots": op8_pivots,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.REPEATS_SQL,
     "op4_chat": chat.COLLAPSE_SQL,
     "op6_decontaminate": decontaminate.CONTAMINATION_SQL,
+    "op13_divergence": divergence.AUDIT_SQL,
 }
