@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusmill.llm import bpe, chat, decontaminate, divergence, html_main, line_dedup, pivots, sharding, simhash, suffix_dedup, toxicity
+from locusmill.llm import bpe, chat, decontaminate, divergence, html_main, line_dedup, packing, pivots, sharding, simhash, suffix_dedup, toxicity
 from locusmill.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(pages, html_main.train(pages))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), outputs="digest")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_pivots": op8_pivots,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
+    "op12_packing": op12_packing,
     "op13_divergence": op13_divergence,
 }
 
