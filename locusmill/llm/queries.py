@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from locusmill.llm import bpe, chat, decontaminate, divergence, html_main, line_dedup, packing, pivots, sharding, simhash, suffix_dedup, toxicity
+from locusmill.llm import bpe, chat, decontaminate, divergence, html_main, line_dedup, packing, pivots, prefix_trie, sharding, simhash, suffix_dedup, toxicity
 from locusmill.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(pages, html_main.train(pages))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), lend=(5, 9))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), outputs="digest")
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_pivots": op8_pivots,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
+    "op11_trie": op11_trie,
     "op12_packing": op12_packing,
     "op13_divergence": op13_divergence,
 }
@@ -80,5 +85,6 @@ ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.REPEATS_SQL,
     "op4_chat": chat.COLLAPSE_SQL,
     "op6_decontaminate": decontaminate.CONTAMINATION_SQL,
+    "op11_trie": prefix_trie.TRIE_SQL,
     "op13_divergence": divergence.AUDIT_SQL,
 }
