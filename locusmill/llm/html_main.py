@@ -22,12 +22,15 @@ TRAIN_CHARS = 100_000
 #: Rows of a block of two-valued features, and pages that a training task reads.
 FLAG_ROWS, TASK_PAGES = 65_536, 15
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
+#: A quote opens a value only behind an equals sign; nothing is tried twice (possessive), so broken tags cost no more.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|data-truth)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: HTML's element kinds.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "annotation", "annotation-xml"}
+#: Inside such an element nothing counts but its own end tag.
+RAW_END = {name: re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I) for name in RAW}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br object".split())
 #: Formulas are text of their paragraph.
 INLINE |= set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
@@ -72,7 +75,6 @@ class Page:
         depths: dict[str, list[int]] = {}  # places of each kind in that list
         run: list[str] = []
         links = linked = at = 0
-        raw = ""
 
         def flush() -> None:
             nonlocal linked
@@ -86,23 +88,20 @@ class Page:
             while len(open_) > depth:
                 depths[self.tag[open_.pop()]].pop()
 
-        for m in TAG.finditer(source):
-            if not raw and m.start() > at:
+        while m := TAG.search(source, at):
+            if m.start() > at:
                 piece = html.unescape(source[at : m.start()])
                 run.append(piece)
                 if links:
                     linked += len(piece.strip())
             at = m.end()
             name = (m[2] or "").lower()
-            if raw:
-                if name == raw and m[1]:
-                    raw = ""
-                continue
             if not name:
                 continue
             if name in RAW:
                 if not m[1] and not m[3].endswith("/"):
-                    raw = name
+                    end = RAW_END[name].search(source, at)
+                    at = end.end() if end else len(source)
                 continue
             if name in INLINE:
                 if name == "a":
@@ -141,7 +140,7 @@ class Page:
             self.truth.append(truth)
             depths.setdefault(name, []).append(len(open_))
             open_.append(len(self.tag) - 1)
-        if not raw and at < len(source):
+        if at < len(source):
             run.append(html.unescape(source[at:]))
         flush()
 

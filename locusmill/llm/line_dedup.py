@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from locusmill.llm.common import bytes_of, saved, spread, text_batches
 from locusmill.llm.shingles import mixed, run_names, stretches, words_of
-from locusmill.llm.suffix_dedup import NO_KEY, REMOVED, ROWS, combined, rank_by_name
+from locusmill.llm.suffix_dedup import REMOVED, ROWS, combined, document_key, rank_by_name, text_hashes
 
 #: Words of the least repeat that goes; of so many consecutive stretches of that size one is looked up.
 RUN_WORDS, PLACES = 25, 8
@@ -65,19 +64,19 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit_
     ``run_words=1, stretch_words=0`` every repeated line goes and nothing else. A batch sends each name once: a line
     that a third of all documents hold arrives once from each batch, and its other copies there are settled at once.
     """
-    import_ = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key")
+    body = F.coalesce(F.col(text), F.lit(""))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, keys = batch.text.tolist(), batch.key.to_numpy()
             for a, b in slices(texts):
                 found = hashed_units(texts[a:b], unit_words, stretch_words)
-                crc, own = np.array([zlib.crc32(t.encode()) for t in texts[a:b]], np.int64), found.pop("text")
+                crc, own = text_hashes([t.encode() for t in texts[a:b]]), found.pop("text")
                 if len(own):
                     rows = pd.DataFrame({"key": keys[a:b][own], "crc": crc[own]} | {c: x.view(np.int64) if c in ("kh", "sh") else x.astype(np.int32) for c, x in found.items()})
                     yield combined(rows[COLUMNS], True)[["kh", "sh", "key", "crc", "start", "ns", "idx", "words"]]
 
-    docs = df.select(import_, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.select(document_key(key, body).alias("key"), body.alias("text"))
     made = text_batches(docs).mapInPandas(hashed, ROWS + ", idx int, words int")
     parts = spread(df, bytes_of(docs) / 20)  # about a row for 20 bytes
     again = rank_by_name(made, True, ("idx", "words"), parts).where(F.col("state") == REMOVED).select("key", "crc", "start", "n", "idx", "words")
@@ -100,7 +99,8 @@ def repeated_units(df: DataFrame, key: str = "doc_id", text: str = "text", unit_
 
 
 def _with_spans(df: DataFrame, key: str, text: str, *more, **how) -> DataFrame:
-    base = df.select(*more, F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("__key"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("__crc"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    base = df.select(*more, document_key(key, body).alias("__key"), F.xxhash64(body).alias("__crc"))
     found = repeated_units(df, key, text, **how).withColumnsRenamed({"key": "__key", "crc": "__crc", "spans": "__spans", "lines": "__lines"})
     return base.join(found, ["__key", "__crc"], "left")
 
@@ -109,7 +109,7 @@ def repeat_report(df: DataFrame, key: str = "doc_id", text: str = "text", **how)
     """One row for each row: key, n_chars, n_removed, n_spans, spans (start, stop in characters of the input), n_lines, lines.
 
     ``spans`` go, ``lines`` are all repeated lines; see ``repeated_units``, also for ``how``. Null texts count as empty, null keys
-    rank before all others; of rows with one key the CRC of the text decides, and a repeated row is the same document and
+    rank before all others; of rows with one key a hash of the text decides, and a repeated row is the same document and
     gets the same result. Only ``key`` and ``text`` are read. No rows, no result.
     """
     n_chars = F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")

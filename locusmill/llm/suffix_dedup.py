@@ -14,12 +14,12 @@ common is taken for impossible (about 2**-120 for a pair).
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from locusmill.llm.common import bytes_of, saved, spread
 
@@ -267,21 +267,31 @@ def repeated_windows(rows: pd.DataFrame, threshold: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("key", "crc", "start", "n")})
 
 
-#: Stands for a null key: such a document comes before all others.
+#: Null keys stand from here on, 2**32 places, before all others. A document is told apart by its key and a 64-bit hash of its text
+#: (column ``crc``); documents of null key by 32 bits of the text's CRC more, in the key, as there may be very many of them.
 NO_KEY = -(2**63)
 
 
+def document_key(key: str, text: Column) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.crc32(text) + F.lit(NO_KEY))
+
+
+def text_hashes(texts: list[bytes]) -> np.ndarray:
+    """XXH64 of each text as Spark's ``xxhash64`` has it."""
+    return np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+
+
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 100) -> tuple[DataFrame, DataFrame]:
     """(documents with their key and crc, spans): the spans' windows also start earlier."""
     if threshold < 2 * NAME:
         raise ValueError(f"the threshold must be {2 * NAME} bytes at least")
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    docs = df.select(document_key(key, body).alias("key"), body.alias("text"))
 
     def level1(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t.encode() for t in batch.text.tolist()]
-            crc = np.array([zlib.crc32(t) for t in texts], np.int64)
-            yield _rows(places(texts, threshold), batch.key.to_numpy(), crc, False)
+            yield _rows(places(texts, threshold), batch.key.to_numpy(), text_hashes(texts), False)
 
     def level2(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -311,13 +321,13 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", thres
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as compressed bytes with their CRC: they are shuffled twice."""
+    """Texts as compressed bytes with their hash: they are shuffled twice."""
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         texts = [t.encode() for t in batch.text.tolist()]
-        yield pd.DataFrame({"key": batch.key, "crc": [zlib.crc32(t) for t in texts], "packed": [squeeze(t) for t in texts]})
+        yield pd.DataFrame({"key": batch.key, "crc": text_hashes(texts), "packed": [squeeze(t) for t in texts]})
 
 
 def unpacked(packed: bytes) -> bytes:
@@ -332,7 +342,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", thres
     Earlier: smaller key, or the same document and an earlier start; overlaps count; strings are judged on the input.
     ``outputs='digest'``: key, n_bytes, n_removed, n_spans, kept_sha256. ``outputs='text'``: also kept (binary, as a cut
     may split a character) and spans (array of start, stop in bytes of the input). Null texts count as empty, null keys come before
-    all others; rows of one key and different texts are ordered by their CRC; a repeated row is the same document
+    all others; rows of one key and different texts are ordered by a hash of the text; a repeated row is the same document
     and gets the same result. Texts shorter than the threshold stay whole. An empty table gives an empty one.
     """
     marked, removed = repeated_spans(df, key, text, threshold)
@@ -356,7 +366,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", thres
 
     schema = "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ("" if digest else ", kept binary, spans array<struct<start: int, stop: int>>")
     out = marked.join(spans, ["key", "crc"], "left").select("key", "packed", "spans").mapInPandas(cut, schema)
-    return out.withColumn("key", F.nullif("key", F.lit(NO_KEY))).withColumnRenamed("key", key)
+    return out.withColumn("key", F.when(F.col("key") >= NO_KEY + 2**32, F.col("key"))).withColumnRenamed("key", key)
 
 
 def merged(spans, threshold: int) -> list[tuple[int, int]]:
