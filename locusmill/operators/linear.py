@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from locusmill.operators.tiles import row_products
+
 
 def score_long(x: DataFrame, weights: DataFrame, row: str = "row", model: str = "model") -> DataFrame:
     """(row, model, score): x(row, feature, x) times weights(model, feature, w), summed over the features both have."""
@@ -92,27 +94,19 @@ def association(weights: DataFrame, gwas: DataFrame, covariance: DataFrame) -> D
     return top.join(var, "gene").select("gene", "n_snps", F.try_divide(F.col("num"), F.when(F.col("var") > 0, F.sqrt("var"))).alias("z"))
 
 
-#: Samples of a relationship matrix at most: pairs of them are summed.
-MAX_SAMPLES = 5_000
-
-
 def relationship(dosages: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., id1, id2, value), id1 <= id2: mean product of scaled genotypes over the variants that vary.
 
-    Pairs of samples meet on a variant by an equality join and are summed on the map side; more than MAX_SAMPLES samples fail. Missing
+    Tiles of samples are multiplied over blocks of variants (``row_products``), so any number of samples will do. Missing
     genotypes count as the mean. With ``by`` (a column of the variants, say) there is a matrix for each of its values.
     """
     by = by or []
-    few = dosages.select("sample").distinct().count()
-    if few > MAX_SAMPLES:
-        raise ValueError(f"{few} samples, more than {MAX_SAMPLES}")
     stats = dosages.groupBy(*by, "variant").agg(F.avg("dosage").alias("__m"), F.stddev_samp("dosage").alias("__s")).where("__s > 0")
     z = dosages.join(stats, [*by, "variant"]).select(*by, "sample", "variant", ((F.col("dosage") - F.col("__m")) / F.col("__s")).alias("z"))
-    a, b = z.select(*by, F.col("sample").alias("id1"), "variant", F.col("z").alias("za")), z.select(*by, F.col("sample").alias("id2"), "variant", F.col("z").alias("zb"))
-    sums = a.join(b, [*by, "variant"]).where("id1 <= id2").groupBy(*by, "id1", "id2").agg(F.sum(F.col("za") * F.col("zb")).alias("s"))
-    m = stats.groupBy(*by).agg(F.count("*").alias("__n")) if by else stats.agg(F.count("*").alias("__n"))
+    m = stats.groupBy(*by).agg(F.count("*").alias("__n"))
+    sums = row_products(z, "sample", "variant", "z", by)
     whole = sums.join(m, by) if by else sums.crossJoin(F.broadcast(m))
-    return whole.select(*by, "id1", "id2", (F.col("s") / F.col("__n")).alias("value"))
+    return whole.select(*by, F.col("a").alias("id1"), F.col("b").alias("id2"), (F.col("s") / F.col("__n")).alias("value"))
 
 
 def ratio(assoc: DataFrame, gwas: DataFrame, locus: str) -> DataFrame:

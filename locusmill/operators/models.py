@@ -10,9 +10,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from locusmill.operators.rows import settled
+from locusmill.operators.sums import tree_sum
 
 
 def with_folds(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
@@ -66,82 +68,174 @@ def elastic_net(x: np.ndarray, y: np.ndarray, lam: float, alpha: float = 0.5, ro
     return w
 
 
-def gram_net(gram: np.ndarray, cross: np.ndarray, lam: float, alpha: float = 0.5, rounds: int = 200) -> np.ndarray:
-    """The weights of ``elastic_net`` from the columns' mean products alone: gram with each other, cross with y."""
-    w, fit = np.zeros(len(cross)), np.zeros(len(cross))
-    for _ in range(rounds):
+def gram_net(gram: np.ndarray, cross: np.ndarray, lam: float, alpha: float = 0.5, rounds: int = 200, start: np.ndarray | None = None) -> np.ndarray:
+    """The weights of ``elastic_net`` from the columns' mean products alone: gram with each other, cross with y; from ``start`` on.
+
+    After a round over all columns those with a weight are settled before all are looked at again.
+    """
+    w = np.zeros(len(cross)) if start is None else start.copy()
+    fit, diagonal, penalty = gram @ w, np.diag(gram).copy(), lam * (1 - alpha)
+
+    def sweep(columns: np.ndarray) -> float:
+        nonlocal fit
         change = 0.0
-        for j in range(len(w)):
+        for j in columns:
             old = w[j]
-            rho = cross[j] - fit[j] + gram[j, j] * old
-            w[j] = np.sign(rho) * max(abs(rho) - lam * alpha, 0) / (gram[j, j] + lam * (1 - alpha))
-            if w[j] != old:
-                fit += gram[:, j] * (w[j] - old)
-                change = max(change, abs(w[j] - old))
-        if change < 1e-6:
+            rho = cross[j] - fit[j] + diagonal[j] * old
+            new = math.copysign(max(abs(rho) - lam * alpha, 0.0), rho) / (diagonal[j] + penalty) if diagonal[j] + penalty > 0 else 0.0
+            if new != old:
+                fit += gram[:, j] * (new - old)
+                w[j] = new
+                change = max(change, abs(new - old))
+        return change
+
+    for _ in range(rounds):
+        if sweep(np.arange(len(w))) < 1e-6:
             break
+        active = np.flatnonzero(w)
+        for _ in range(rounds):
+            if sweep(active) < 1e-6:
+                break
     return w
 
 
-#: Stand for y and for 1 among a locus's variants.
-Y, ONE = "y", "1"
+def lambda_path(cross: np.ndarray, n: int, least: float = 0.01, alpha: float = 0.5) -> np.ndarray:
+    """``n`` penalties from the smallest one under which every weight is 0 down to its ``least``-th part, in equal ratios."""
+    top = max(float(np.abs(cross).max(initial=0.0)) / alpha, 1e-12)
+    return top * np.power(least, np.arange(n) / max(n - 1, 1))
 
 
-def snp_models(rows: DataFrame, locus: str = "locus", lambdas: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2), folds: int = 4) -> DataFrame:
-    """(locus, variant, weight, cv_r2, n_snps) from (locus, sample, y, variant, dosage): an elastic net for each locus.
+class FoldSums:
+    """Products of (columns, y, 1) by fold, from which nets are fitted and judged on folds that they haven't seen."""
 
-    lambda is the one of largest cross-validated correlation. Samples are never gathered: Spark sums the products of each two of a
-    locus's variants (with y and 1 among them) by fold, and a locus's task gets these sums only. A cis window is bounded by
-    the genome, so pairs of its variants are too. Missing dosages count as the variant's mean.
+    def __init__(self, sums: np.ndarray, alpha: float) -> None:
+        """``sums``: (folds, p + 2, p + 2); columns without spread are left out, others scaled by their spread over all rows."""
+        self.sums, self.alpha, self.p = sums, alpha, sums.shape[1] - 2
+        c = self.centred(total := sums.sum(axis=0))
+        self.n = total[-1, -1]
+        sd = np.sqrt(np.maximum(np.diag(c)[: self.p], 0) / max(self.n, 1))
+        self.used = np.flatnonzero(sd > 1e-9)
+        self.sd, self.spread = sd[self.used], c[self.p, self.p]
+
+    @staticmethod
+    def centred(q: np.ndarray) -> np.ndarray:
+        return (q - np.outer(q[:, -1], q[-1]) / max(q[-1, -1], 1))[:-1, :-1]
+
+    def part(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """(gram, cross, square of y, rows) of the used columns in the rows that ``q`` sums."""
+        at, scale = [*self.used, self.p], np.append(self.sd, 1.0)
+        c = self.centred(q)[np.ix_(at, at)] / np.outer(scale, scale)
+        return c[:-1, :-1], c[:-1, -1], float(c[-1, -1]), float(q[-1, -1])
+
+    def nets(self, q: np.ndarray, lambdas: np.ndarray) -> list[np.ndarray]:
+        """Weights for each penalty, the largest first, each from the one before on."""
+        gram, cross, _, n = self.part(q)
+        out, w = [], None
+        for lam in lambdas:
+            w = gram_net(gram / n, cross / n, lam, self.alpha, start=w)
+            out.append(w)
+        return out
+
+    def correlation(self, w: np.ndarray, q: np.ndarray) -> float:
+        gram, cross, yy, _ = self.part(q)
+        var = float(w @ gram @ w)
+        return float(w @ cross) / math.sqrt(var * yy) if var > 1e-12 and yy > 1e-12 else 0.0
+
+    def chosen(self, folds: list[int], lambdas: np.ndarray) -> tuple[int, float]:
+        """(place of the penalty, r2): the largest correlation of y with the predictions on the left-out fold, over all ``folds`` together."""
+        total = self.sums[folds].sum(axis=0)
+        top, var, yy = np.zeros(len(lambdas)), np.zeros(len(lambdas)), 0.0
+        for f in folds:
+            gram, cross, own, _ = self.part(self.sums[f])
+            yy += own
+            for i, w in enumerate(self.nets(total - self.sums[f], lambdas)):
+                top[i] += w @ cross
+                var[i] += w @ gram @ w
+        r = np.where((var > 1e-12) & (yy > 0), top / np.sqrt(np.maximum(var * yy, 1e-300)), 0.0)
+        r2 = np.maximum(r, 0) ** 2
+        return int(r2.argmax()), float(r2.max())
+
+
+#: Numbers of the products that a worker holds before it hands them on.
+HELD_SUMS = 8_000_000
+
+
+def snp_models(rows: DataFrame, locus: str = "locus", lambdas: tuple[float, ...] | None = None, folds: int = 5, n_lambdas: int = 20, alpha: float = 0.5) -> DataFrame:
+    """(locus, variant, weight, cv_r2, n_snps, nested_r2, nested_p) from (locus, sample, y, variant, dosage): an elastic net for each locus.
+
+    The penalty is the one of largest cross-validated correlation on a path of ``n_lambdas`` (or of ``lambdas``). The performance is
+    nested: each fold is predicted by a net whose penalty was chosen on the other folds; nested_r2 is the mean of the squared
+    correlations and nested_p the two-sided tail of their summed Fisher z values. Missing dosages count as the variant's mean.
+
+    A sample is one vector a locus. Every partition sums the products of its vectors by fold, loci one after the other; these sums,
+    the square of a locus's variants in size, are merged as a tree, and a locus's task gets nothing else. A cis window is
+    bounded by the genome, so its variants are too.
     """
-    kind = rows.schema["variant"].dataType.simpleString()
-    kinds = f"{locus} {rows.schema[locus].dataType.simpleString()}, variant {kind}"
-    means = rows.groupBy(locus, "variant").agg(F.avg("dosage").alias("m"))
-    fold = F.pmod(F.xxhash64("sample"), F.lit(folds)).cast("int")
-    x = rows.join(means, [locus, "variant"]).where("dosage is not null").select(locus, "sample", F.concat(F.lit("v"), F.col("variant").cast("string")).alias("a"), (F.col("dosage") - F.col("m")).alias("x"))
-    people = rows.where("y is not null").groupBy(locus, "sample").agg(F.max("y").cast("double").alias("y"))
-    extra = people.select(locus, "sample", F.explode(F.array(F.struct(F.lit(Y).alias("a"), F.col("y").alias("x")), F.struct(F.lit(ONE).alias("a"), F.lit(1.0).alias("x")))).alias("e")).select(locus, "sample", "e.*")
-    items = x.join(people.select(locus, "sample"), [locus, "sample"], "left_semi").unionByName(extra).withColumn("fold", fold)
-    other = items.select(locus, "sample", F.col("a").alias("b"), F.col("x").alias("z"))
-    sums = items.join(other, [locus, "sample"]).where("a <= b").groupBy(locus, "fold", "a", "b").agg(F.sum(F.col("x") * F.col("z")).alias("s"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({n for n in group.a if n[0] == "v"} | {n for n in group.b if n[0] == "v"})
-        at = {n: i for i, n in enumerate([*names, Y, ONE])}
+    kind, locus_kind = rows.schema["variant"].dataType.simpleString(), rows.schema[locus].dataType.simpleString()
+    variants = rows.groupBy(locus, "variant").agg(F.avg("dosage").alias("m"))
+    variants = variants.withColumns({"j": F.row_number().over(Window.partitionBy(locus).orderBy("variant")) - 1, "p": F.count("*").over(Window.partitionBy(locus))})
+    x = rows.join(variants, [locus, "variant"])
+    item = F.when(F.col("dosage").isNotNull(), F.struct("j", (F.col("dosage") - F.col("m")).alias("x")))
+    vectors = x.groupBy(locus, "sample").agg(F.collect_list(item).alias("items"), F.max("y").cast("double").alias("y"), F.max("p").cast("int").alias("p")).where("y is not null")
+    vectors = vectors.select(F.col(locus).alias("locus"), F.pmod(F.xxhash64("sample"), F.lit(folds)).cast("int").alias("fold"), "y", "p", F.transform("items", lambda i: i.j).alias("j"), F.transform("items", lambda i: i.x).alias("x"))
+
+    def summed(batches):
+        held: dict[tuple, np.ndarray] = {}
+        size = 0
+
+        def told():
+            part = TaskContext.get().partitionId()
+            return pd.DataFrame([(*key, part, s.ravel()) for key, s in held.items()], columns=["locus", "fold", "part", "s"])
+
+        for batch in batches:
+            for (name, fold), own in batch.groupby(["locus", "fold"], sort=False):
+                p = int(own.p.iloc[0])
+                v = np.zeros((len(own), p + 2))
+                at = np.repeat(np.arange(len(own)), own.j.str.len())
+                if len(at):
+                    np.add.at(v, (at, np.concatenate(own.j.to_numpy()).astype(int)), np.concatenate(own.x.to_numpy()))
+                v[:, p], v[:, p + 1] = own.y, 1
+                if (name, fold) not in held:
+                    if size > HELD_SUMS:
+                        yield told()
+                        held, size = {}, 0
+                    held[name, fold] = np.zeros((p + 2, p + 2))
+                    size += (p + 2) ** 2
+                held[name, fold] += v.T @ v
+        if held:
+            yield told()
+
+    parts = vectors.sortWithinPartitions("locus").mapInPandas(summed, f"locus {locus_kind}, fold int, part long, s array<double>")
+    names_ = variants.groupBy(F.col(locus).alias("locus")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", F.col("variant").cast("string").alias("v")))), lambda i: i.v).alias("names"))
+
+    def fit(own: pd.DataFrame) -> pd.DataFrame:
+        names = list(own.names.iloc[0])
         p = len(names)
-        s = np.zeros((folds, p + 2, p + 2))
-        i, j = group.a.map(at).to_numpy(), group.b.map(at).to_numpy()
-        s[group.fold, i, j] = s[group.fold, j, i] = group.s
-        total = s.sum(axis=0)
-        n = total[p + 1, p + 1]
-        centred = lambda q: (q - np.outer(q[:, p + 1], q[p + 1]) / max(q[p + 1, p + 1], 1))[: p + 1, : p + 1]
-        c = centred(total)
-        sd = np.sqrt(np.maximum(np.diag(c)[:p], 0) / max(n, 1))
-        ok = np.flatnonzero(sd > 1e-9)
-        out = pd.DataFrame({locus: group[locus].iloc[0], "variant": [m[1:] for m in names], "weight": 0.0, "cv_r2": np.nan, "n_snps": len(ok)})
-        if n < 2 * folds or not len(ok) or c[p, p] <= 1e-12:
+        sums = np.zeros((folds, p + 2, p + 2))
+        for fold, s in zip(own.fold, own.s, strict=True):
+            sums[fold] = np.array(s).reshape(p + 2, p + 2)
+        found = FoldSums(sums, alpha)
+        out = pd.DataFrame({locus: own.locus.iloc[0], "variant": names, "weight": 0.0, "cv_r2": np.nan, "n_snps": len(found.used), "nested_r2": np.nan, "nested_p": np.nan})
+        if found.n < 2 * folds or not len(found.used) or found.spread <= 1e-12:
             return out
-        scale = np.append(sd[ok], 1.0)
-        part = lambda q: centred(q)[np.ix_([*ok, p], [*ok, p])] / np.outer(scale, scale)
-        best, r2 = lambdas[-1], -1.0
-        for lam in lambdas:
-            top = var = 0.0
-            for f in range(folds):
-                train, m = part(total - s[f]), total[p + 1, p + 1] - s[f][p + 1, p + 1]
-                w = gram_net(train[:-1, :-1] / m, train[:-1, -1] / m, lam)
-                held = part(s[f])
-                top += w @ held[:-1, -1]
-                var += w @ held[:-1, :-1] @ w
-            yy = sum(part(s[f])[-1, -1] for f in range(folds))
-            r = top / math.sqrt(var * yy) if var > 1e-12 and yy > 0 else 0.0
-            if max(r, 0) ** 2 > r2:
-                best, r2 = lam, max(r, 0) ** 2
-        whole = part(total)
+        every = list(range(folds))
+        path = lambda q: np.array(sorted(lambdas, reverse=True)) if lambdas else lambda_path(found.part(q)[1] / max(q[-1, -1], 1), n_lambdas, alpha=alpha)
+        total = sums.sum(axis=0)
+        best, r2 = found.chosen(every, path(total))
         weights = np.zeros(p)
-        weights[ok] = gram_net(whole[:-1, :-1] / n, whole[:-1, -1] / n, best) / sd[ok]
-        return out.assign(weight=weights, cv_r2=r2)
-
-    made = sums.groupBy(locus).applyInPandas(fit, f"{kinds.split(', ')[0]}, variant string, weight double, cv_r2 double, n_snps int")
+        weights[found.used] = found.nets(total, path(total)[: best + 1])[-1] / found.sd
+        squares, z = [], []
+        for f in every:
+            rest = [g for g in every if g != f]
+            inner = path(sums[rest].sum(axis=0))
+            at, _ = found.chosen(rest, inner)
+            r = found.correlation(found.nets(sums[rest].sum(axis=0), inner[: at + 1])[-1], sums[f])
+            squares.append(r * r)
+            z.append(math.atanh(min(max(r, -1 + 1e-12), 1 - 1e-12)) * math.sqrt(max(sums[f][-1, -1] - 3, 0)))
+        return out.assign(weight=weights, cv_r2=r2, nested_r2=float(np.mean(squares)), nested_p=math.erfc(abs(sum(z)) / math.sqrt(folds) / math.sqrt(2)))
+
+    gathered = tree_sum(parts, ["locus", "fold"]).join(names_, "locus")
+    made = gathered.groupBy("locus").applyInPandas(fit, f"{locus} {locus_kind}, variant string, weight double, cv_r2 double, n_snps int, nested_r2 double, nested_p double")
     return made.withColumn("variant", F.col("variant").cast(kind))
 
 

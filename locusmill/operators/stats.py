@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from locusmill.functions.distributions import t_two_sided
 from locusmill.operators.ranks import cumulative
+from locusmill.operators.rows import settled
+from locusmill.operators.tiles import row_products
 
 
 def welch(df: DataFrame, by: list[str], in_class: Column, value: str, p_values: bool = True) -> DataFrame:
@@ -33,22 +35,21 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str, p_values: bool = True)
     return out.withColumn("p", t_two_sided(F.col("t"), F.col("n") - 2.0)) if p_values else out
 
 
-#: Rows at most whose pairs are all correlated.
-MAX_ROWS = 5_000
-
-
 def row_correlations(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """Pearson's r of all pairs of rows of a long matrix, row a < row b; more than MAX_ROWS rows fail, columns may be any number.
+    """(a, b, r): Pearson's r of all pairs of rows a < b of a long matrix, by tiles of rows (``row_products``).
 
-    Rows are scaled and met on their column; pairs come from that equality join and are summed on the map side.
+    Rows are scaled by their own mean and deviation; a missing cell counts as the row's mean. Null for a constant row.
     """
-    few = df.select(row).distinct().count()
-    if few > MAX_ROWS:
-        raise ValueError(f"{few} rows, more than {MAX_ROWS}: their pairs would be too many")
-    stats = df.groupBy(row).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"), F.count(value).alias("__n"))
-    z = df.join(stats, row).select(row, column, F.try_divide(F.col(value) - F.col("__m"), F.col("__s")).alias("z"), "__n")
-    a, b = z.select(F.col(row).alias("a"), column, F.col("z").alias("za"), "__n"), z.select(F.col(row).alias("b"), column, F.col("z").alias("zb"))
-    return a.join(b, column).where("a < b").groupBy("a", "b").agg(F.try_divide(F.sum(F.col("za") * F.col("zb")), F.max("__n") - 1.0).alias("r"))
+    stats = df.groupBy(row).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"), F.count(value).alias("__k"))
+    scaled = F.coalesce(F.try_divide(F.col(value) - F.col("__m"), F.col("__s")), F.when(F.col(value).isNotNull(), F.lit(0.0)))
+    z = df.join(stats, row).select(row, column, scaled.alias("__value"))
+    # a row's product with itself is its count less one, or nothing if it is constant
+    products = settled(row_products(z, row, column, "__value"))
+    own = products.where("a = b")
+    sizes = stats.select(F.col(row).alias("a"), F.greatest("__k", F.lit(2)).alias("__k"))
+    varied = own.select("a", (F.col("s") > 0).alias("__fine")).join(sizes, "a")
+    pairs = products.where("a < b").join(varied, "a").join(varied.select(F.col("a").alias("b"), F.col("__fine").alias("__other")), "b")
+    return pairs.select("a", "b", F.when(F.col("__fine") & F.col("__other"), F.col("s") / (F.col("__k") - 1.0)).alias("r"))
 
 
 LAMBDAS = [round(0.05 * i, 2) for i in range(1, 20)]

@@ -30,7 +30,7 @@ def associate(weights: DataFrame, gwas: DataFrame, covariance: DataFrame, genes:
 
 def consensus(cells: DataFrame, n_iter: int, k_factors: int, k_clusters: int) -> DataFrame:
     """Subsamples -> factors -> normalised -> clustered programs -> locus scores -> best program of each locus."""
-    factors = R.settled(P.normalised(P.factorised(cells, P.subsamples(cells, "locus", n_iter), "locus", "feature", "score", k_factors)))
+    factors = R.settled(P.normalised(P.factorised(cells, P.subsamples(cells, "locus", n_iter), "locus", "feature", "score", k_factors, "point_exponential")))
     assigned = P.clustered(P.program_vectors(P.stacked(factors)), k_clusters)
     loads = factors.where("kind = 'L'").select(F.concat(F.lit("iter"), "iter", F.lit("_k"), "k").alias("program"), F.col("key").alias("locus"), F.col("ld").alias("value"))
     return G.arg_max(P.cluster_means(loads, assigned, "locus", "value"), "locus", "cluster", "score")

@@ -47,7 +47,7 @@ def _dosages(t):
 
 @query("x11_snp_models")
 def x11(t):
-    return rounded(M.snp_models(_dosages(t).select("locus", "sample", "y", "variant", "dosage")), "weight", "cv_r2")
+    return rounded(M.snp_models(_dosages(t).select("locus", "sample", "y", "variant", "dosage")), "weight", "cv_r2", "nested_r2", "nested_p")
 
 
 def _phenotypes(t):
@@ -82,21 +82,20 @@ def x15(t):
 
 def _factors(t):
     cells = _loci(t)
-    return P.factorised(cells, P.subsamples(cells, "locus", 6), "locus", "feature", "score", 4)
+    return P.factorised(cells, P.subsamples(cells, "locus", 6), "locus", "feature", "score", 4, "point_exponential")
 
 
 @query("x16_factorised_subsamples")
 def x16(t):
-    return _factors(t).groupBy("iter", "k").agg(F.max("pve").alias("pve"), F.min("value").alias("least"), F.count("*").alias("n"))
+    return _factors(t).groupBy("iter", "k").agg(F.max("pve").alias("pve"), F.min("value").alias("least"), F.max("evidence").alias("evidence"), F.count("*").alias("n"))
 
 
 @query("f5_prior_switch")
 def f5_prior(t):
-    """The same subsamples under each prior: the exponential one makes loadings smaller."""
-    cells = _loci(t)
-    picks = P.subsamples(cells, "locus", 2)
-    parts = {prior: P.factorised(cells, picks, "locus", "feature", "score", 2, prior) for prior in P.PRIORS}
-    return rounded(tagged_union(parts, "prior").groupBy("prior", "iter", "kind").agg(F.countDistinct("k").alias("n_factors"), F.avg("value").alias("mean")), "mean", digits=4)
+    """The same subsamples under each of the five prior families, fitted in the same sweeps."""
+    cells = t.cells.select("locus", "feature", "score")
+    made = P.factorised(cells, P.subsamples(cells, "locus", 2), "locus", "feature", "score", 2, sorted(P.FAMILIES))
+    return rounded(made.groupBy("prior", "iter", "kind").agg(F.countDistinct("k").alias("n_factors"), F.avg("value").alias("mean"), F.max("evidence").alias("evidence")), "mean", "evidence", digits=4)
 
 
 _FACTORS = """SELECT CAST(l_linenumber AS BIGINT) AS iter, CAST(l_suppkey % 3 AS INT) AS k, CASE WHEN l_partkey % 2 = 0 THEN 'L' ELSE 'F' END AS kind,

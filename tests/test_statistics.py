@@ -108,28 +108,6 @@ def test_heritability_recovers_simulation(spark):
     assert abs(np.mean([got[f"p{r}"].h2 for r in range(8)]) - 0.5) < 0.15
 
 
-def test_factors_come_one_by_one_and_rebuild_the_matrix(spark):
-    rng = np.random.default_rng(0)
-    l0, f0 = rng.random((40, 2)) ** 3, rng.random((6, 2)) ** 3  # noqa: E741
-    x = l0 @ f0.T
-    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(40) for j in range(6)], "locus long, feature int, v double")
-    picks = spark.range(40).selectExpr("id as locus", "0L as iter").union(spark.range(20).selectExpr("id as locus", "1L as iter"))
-    got = P.factorised(cells, picks, "locus", "feature", "v", 4, min_pve=0.02, rounds=8).toPandas()
-    assert (got.value >= 0).all() and set(got.iter) == {0, 1}
-    for i, n in ((0, 40), (1, 20)):
-        own = got[got.iter == i]
-        parts = {kind: own[own.kind == kind].assign(key=lambda d: d.key.astype(int)).pivot(index="key", columns="k", values="value").to_numpy() for kind in ("L", "F")}
-        assert parts["L"].shape[0] == n and parts["L"].shape[1] == parts["F"].shape[1] <= 4
-        left = ((x[:n] - parts["L"] @ parts["F"].T) ** 2).sum() / (x[:n] ** 2).sum()
-        assert left < 0.05
-    one = P.factorised(cells, picks, "locus", "feature", "v", 1, rounds=8).toPandas()
-    assert one.k.max() == 0
-    sparse = P.factorised(cells, picks, "locus", "feature", "v", 1, "exponential", rounds=8).toPandas()
-    assert sparse[sparse.kind == "L"].value.mean() < one[one.kind == "L"].value.mean() or sparse.pve.mean() <= one.pve.mean()
-    with pytest.raises(ValueError):
-        P.factorised(cells, picks, "locus", "feature", "v", 1, "cauchy")
-
-
 def test_medoids_find_the_groups(spark):
     rng = np.random.default_rng(2)
     rows = [(f"p{c}_{i}", (np.eye(3)[c] * 10 + rng.random(3)).tolist()) for c in range(3) for i in range(7)]
