@@ -1,4 +1,4 @@
-"""Model fitting: Spark ML for one large model, grouped functions for many small ones."""
+"""Model fitting: nets from sums over rows, merged as a tree; grouped functions for many small models."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -22,23 +18,175 @@ def with_folds(df: DataFrame, key: str, folds: int, seed: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
 
 
-def cross_validated(df: DataFrame, key: str, features: str, label: str, lambdas: list[float], family: str = "binomial", alpha: float = 0.5, folds: int = 5, seed: int = 1) -> DataFrame:
-    """(lambda, fold, metric): area under the ROC curve (binomial) or squared error (gaussian) of elastic nets on held-out folds."""
-    rows = with_folds(df.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label")), key, folds, seed).persist()
-    if family == "binomial":
-        make, judge = LogisticRegression, BinaryClassificationEvaluator(metricName="areaUnderROC")
-    elif family == "gaussian":
-        make, judge = LinearRegression, RegressionEvaluator(metricName="mse")
-    else:
-        raise ValueError(f"no such family: {family}")
-    out = []
+#: Features of a path at most (their products are one matrix), steps that scores are compared in, passes of a logistic path at most.
+MAX_WIDTH, STEPS, PASSES = 2_000, 1_000, 30
+
+
+def _fold_products(rows: DataFrame) -> DataFrame:
+    """(fold, s): products of (x, y, 1) of the rows (fold, y, x) of each fold, summed by partition and merged as a tree."""
+
+    def run(batches):
+        held, s = None, None
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for fold, own in batch.groupby("fold", sort=False):
+                v = np.column_stack([np.stack(own.x.to_numpy()), own.y, np.ones(len(own))])
+                if held != fold:
+                    if held is not None:
+                        yield pd.DataFrame({"fold": [held], "part": [part], "s": [s.ravel()]})
+                    held, s = fold, np.zeros((v.shape[1], v.shape[1]))
+                s += v.T @ v
+        if held is not None:
+            yield pd.DataFrame({"fold": [held], "part": [part], "s": [s.ravel()]})
+
+    return tree_sum(rows.sortWithinPartitions("fold").mapInPandas(run, "fold int, part long, s array<double>"), ["fold"])
+
+
+def _gaussian_path(sums: np.ndarray, lambdas: np.ndarray, alpha: float) -> tuple[list[tuple], np.ndarray]:
+    """((lambda, fold, squared error) of held-out rows, weights of all rows' nets as columns, the intercepts last)."""
+    found = FoldSums(sums, alpha)
+    total, out = sums.sum(axis=0), []
+
+    def full(w: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The net as weights of (x, y, 1) whose product with a row is the error."""
+        c = np.zeros(found.p + 2)
+        c[found.used], c[found.p] = w / found.sd, -1.0
+        c[-1] = -(q[-1, :-1] @ c[:-1]) / max(q[-1, -1], 1)
+        return c
+
+    for fold, held in enumerate(sums):
+        if held[-1, -1] > 0:
+            for lam, w in zip(lambdas, found.nets(total - held, lambdas), strict=True):
+                c = full(w, total - held)
+                out.append((float(lam), fold, float(max(c @ held @ c, 0.0) / held[-1, -1])))
+    whole = np.column_stack([full(w, total) for w in found.nets(total, lambdas)])
+    return out, np.delete(whole, found.p, axis=0)
+
+
+def _logistic_path(rows: DataFrame, total: np.ndarray, lambdas: np.ndarray | None, n_lambdas: int, alpha: float, folds: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """(lambdas, (lambda, fold, AUC) of held-out rows, weights of all rows' nets as columns, the intercepts last).
+
+    All folds and penalties (and the nets of all rows) go on together: a pass over the rows sums the gradients of all of them, and
+    coordinate descent minimises the bound whose curvature is a quarter of all rows' products, which is at least each fold's. So
+    the likelihood never falls, and a path costs PASSES jobs at most, however many nets it has.
+    """
+    context = rows.sparkSession.sparkContext
+    n, p = total[-1, -1], len(total) - 2
+    centre = total[-1, :p] / n
+    c = FoldSums.centred(total)
+    sd = np.sqrt(np.maximum(np.diag(c)[:p], 0) / n)
+    used = np.flatnonzero(sd > 1e-9)
+    gram = np.zeros((len(used) + 1, len(used) + 1))
+    gram[:-1, :-1] = c[np.ix_(used, used)] / np.outer(sd[used], sd[used]) / n
+    gram[-1, -1] = 1.0
+    share = total[p, -1] / n
+    if lambdas is None:
+        lambdas = lambda_path(c[used, p] / sd[used] / n, n_lambdas, alpha=alpha)
+    b = np.zeros((folds + 1, len(used) + 1, len(lambdas)))  # the last one is fitted to all rows
+    b[:, -1] = math.log(share / (1 - share))
+
+    def scored(batch: pd.DataFrame) -> np.ndarray:
+        return np.column_stack([(np.stack(batch.x.to_numpy())[:, used] - centre[used]) / sd[used], np.ones(len(batch))])
+
+    def passed(make, width: int) -> dict[int, np.ndarray]:
+        """Sums of what ``make(fold, z, y)`` gives as (net, array) pairs."""
+
+        def run(batches):
+            held = {}
+            for batch in batches:
+                for fold, own in batch.groupby("fold"):
+                    for net, s in make(int(fold), scored(own), own.y.to_numpy()):
+                        held[net] = held[net] + s if net in held else s
+            if held:
+                yield pd.DataFrame({"net": list(held), "part": TaskContext.get().partitionId(), "s": [x.ravel() for x in held.values()]})
+
+        return {r["net"]: np.array(r["s"]) for r in tree_sum(rows.mapInPandas(run, "net int, part long, s array<double>"), ["net"]).collect()}
+
+    for _ in range(PASSES):
+        sent = context.broadcast(b)
+
+        def gradients(fold: int, z: np.ndarray, y: np.ndarray):
+            for net in range(folds + 1):
+                if net != fold:
+                    yield net, np.append((z.T @ (y[:, None] - 1 / (1 + np.exp(-np.clip(z @ sent.value[net], -500, 500))))).ravel(), float(len(z)))  # noqa: B023
+
+        change, found = 0.0, passed(gradients, b[0].size)
+        sent.destroy()
+        for net, s in found.items():
+            # the bound divided by the net's rows: curvature n / (4 rows) of the scaled products
+            curve = gram * (n / s[-1] / 4)
+            target = s[:-1].reshape(b[net].shape) / s[-1] + curve @ b[net]
+            for i, lam in enumerate(lambdas):
+                new = gram_net(curve, target[:, i], lam, alpha, start=b[net][:, i], free=1)
+                change = max(change, float(np.abs(new - b[net][:, i]).max()))
+                b[net][:, i] = new
+        if change < 1e-4:
+            break
+    sent = context.broadcast(b)
+    size = np.abs(b[:, :-1]).sum(axis=1) * 6 + np.abs(b[:, -1]) + 1e-9  # scores stay within it, or count with its ends
+
+    def counted(fold: int, z: np.ndarray, y: np.ndarray):
+        at = np.clip(((z @ sent.value[fold]) / size[fold] + 1) * (STEPS / 2), 0, STEPS - 1).astype(int)
+        for label in (0, 1):
+            own = at[y == label] + STEPS * np.arange(at.shape[1])
+            yield 2 * fold + label, np.bincount(own.ravel(), minlength=STEPS * at.shape[1]).astype(float)
+
+    counts, out = passed(counted, STEPS * len(lambdas)), []
     for fold in range(folds):
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        for v in lambdas:
-            model = make(elasticNetParam=alpha, regParam=v, maxIter=50).fit(train)
-            out.append((float(v), fold, float(judge.evaluate(model.transform(test)))))
-    rows.unpersist()
-    return df.sparkSession.createDataFrame(out, "lambda double, fold int, metric double")
+        if 2 * fold in counts and 2 * fold + 1 in counts:
+            no, yes = (counts[2 * fold + i].reshape(len(lambdas), STEPS) for i in (0, 1))
+            below = np.cumsum(no, axis=1) - no / 2
+            for lam, area, pairs in zip(lambdas, (yes * below).sum(axis=1), no.sum(axis=1) * yes.sum(axis=1), strict=True):
+                if pairs:
+                    out.append((float(lam), fold, float(area / pairs)))
+    weights = np.zeros((p + 1, len(lambdas)))
+    weights[used] = b[-1][:-1] / sd[used][:, None]
+    weights[-1] = b[-1][-1] - centre @ weights[:-1]
+    return lambdas, out, weights
+
+
+def regularised_path(df: DataFrame, key: str, features: str, label: str, family: str = "binomial", lambdas: list[float] | None = None, n_lambdas: int = 100, alpha: float = 0.5, folds: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((lambda, fold, metric), (lambda, feature, weight)): elastic nets along a path of penalties, judged on held-out folds, and those of all rows.
+
+    The metric is the area under the ROC curve (binomial: label above 0 or not) or the squared error (gaussian). The path goes
+    from the smallest penalty under which all weights are 0 down to a hundredth of it. Columns are scaled by their spread over all
+    rows, weights are for the columns as given; feature -1 is the intercept. Scores are compared in STEPS steps, those of one step count
+    half. Rows with a null label, a null or non-finite feature, or no features don't count; rows must be of one width, MAX_WIDTH at most.
+    Gaussian nets need one pass over the rows, whatever the folds and penalties; see ``_logistic_path`` for the others.
+    """
+    if family not in ("binomial", "gaussian"):
+        raise ValueError(f"no such family: {family}")
+    spark = df.sparkSession
+    y = F.col(label).cast("double")
+    x = F.col(features).cast("array<double>")
+    fine = y.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = settled(with_folds(df.select(key, (F.when(y > 0, 1.0).otherwise(0.0) if family == "binomial" else y).alias("y"), x.alias("x")).where(fine), key, folds, seed).select("fold", "y", "x"))
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    if width is None:
+        return spark.createDataFrame([], "lambda double, fold int, metric double"), spark.createDataFrame([], "lambda double, feature int, weight double")
+    if width > MAX_WIDTH:
+        raise ValueError(f"{width} features, more than {MAX_WIDTH}")
+    sums = np.zeros((folds, width + 2, width + 2))
+    for r in _fold_products(rows).collect():
+        sums[r["fold"]] = np.array(r["s"]).reshape(width + 2, width + 2)
+    total = sums.sum(axis=0)
+    path = np.array(sorted(lambdas, reverse=True), float) if lambdas else None
+    if family == "gaussian":
+        if path is None:
+            whole = FoldSums(sums, alpha)
+            path = lambda_path(whole.part(total)[1] / total[-1, -1], n_lambdas, alpha=alpha)
+        metrics, weights = _gaussian_path(sums, path, alpha)
+    elif 0 < total[width, -1] < total[-1, -1]:
+        path, metrics, weights = _logistic_path(rows, total, path, n_lambdas, alpha, folds)
+    else:  # one class only: nothing to tell apart
+        path, metrics, weights = np.zeros(0), [], np.zeros((width + 1, 0))
+    made = [(float(lam), i if i < width else -1, float(w)) for lam, column in zip(path, weights.T, strict=True) for i, w in enumerate(column) if w or i == width]
+    return spark.createDataFrame(metrics, "lambda double, fold int, metric double"), spark.createDataFrame(made, "lambda double, feature int, weight double")
+
+
+def cross_validated(df: DataFrame, key: str, features: str, label: str, lambdas: list[float] | None = None, **how) -> DataFrame:
+    """(lambda, fold, metric) of ``regularised_path``."""
+    return regularised_path(df, key, features, label, lambdas=lambdas, **how)[0]
 
 
 def chosen_lambda(metrics: DataFrame, larger_is_better: bool = True) -> DataFrame:
@@ -68,13 +216,13 @@ def elastic_net(x: np.ndarray, y: np.ndarray, lam: float, alpha: float = 0.5, ro
     return w
 
 
-def gram_net(gram: np.ndarray, cross: np.ndarray, lam: float, alpha: float = 0.5, rounds: int = 200, start: np.ndarray | None = None) -> np.ndarray:
+def gram_net(gram: np.ndarray, cross: np.ndarray, lam: float, alpha: float = 0.5, rounds: int = 200, start: np.ndarray | None = None, free: int = 0) -> np.ndarray:
     """The weights of ``elastic_net`` from the columns' mean products alone: gram with each other, cross with y; from ``start`` on.
 
-    After a round over all columns those with a weight are settled before all are looked at again.
+    The last ``free`` columns have no penalty. After a round over all columns those with a weight are settled before all are looked at again.
     """
     w = np.zeros(len(cross)) if start is None else start.copy()
-    fit, diagonal, penalty = gram @ w, np.diag(gram).copy(), lam * (1 - alpha)
+    fit, diagonal, kept = gram @ w, np.diag(gram).copy(), len(w) - free
 
     def sweep(columns: np.ndarray) -> float:
         nonlocal fit
@@ -82,7 +230,9 @@ def gram_net(gram: np.ndarray, cross: np.ndarray, lam: float, alpha: float = 0.5
         for j in columns:
             old = w[j]
             rho = cross[j] - fit[j] + diagonal[j] * old
-            new = math.copysign(max(abs(rho) - lam * alpha, 0.0), rho) / (diagonal[j] + penalty) if diagonal[j] + penalty > 0 else 0.0
+            own = lam if j < kept else 0.0
+            below = diagonal[j] + own * (1 - alpha)
+            new = math.copysign(max(abs(rho) - own * alpha, 0.0), rho) / below if below > 0 else 0.0
             if new != old:
                 fit += gram[:, j] * (new - old)
                 w[j] = new
@@ -132,7 +282,7 @@ class FoldSums:
         gram, cross, _, n = self.part(q)
         out, w = [], None
         for lam in lambdas:
-            w = gram_net(gram / n, cross / n, lam, self.alpha, start=w)
+            w = gram_net(gram / max(n, 1), cross / max(n, 1), lam, self.alpha, start=w)
             out.append(w)
         return out
 
