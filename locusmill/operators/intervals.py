@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bins that one interval may fill at most: a mis-scaled bin fails instead of exploding.
-MOST_BINS = 10_000
+from locusmill.operators.rows import settled
 
+#: A level's bins are so many times as wide as those of the level below.
+STEP = 8
 
-def _bins(start: Column, stop: Column, width: int) -> Column:
-    low, high = F.floor(start / width), F.floor(stop / width)
-    return F.when(F.assert_true((high - low).isNull() | (high - low < MOST_BINS), "an interval fills too many bins").isNull(), F.sequence(low, high))
 
+def _widths(width: int) -> list[int]:
+    """Bin widths of the levels, up to the longest interval that positions can tell."""
+    out = [max(1, width)]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * STEP)
+    return out
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int, max_gap: int = -1, on: str = "chrom") -> DataFrame:
+
+def _level(start: Column, stop: Column, widths: list[int]) -> Column:
+    """The first level whose bins are as wide as the interval, so that it fills two of them at most."""
+    return F.size(F.filter(F.array([F.lit(w) for w in widths[:-1]]), lambda w: w < stop - start + 1))
+
+
+def usual_length(df: DataFrame, start: str, stop: str) -> int:
+    """About the median length of the intervals, 1 at least."""
+    return max(1, int(df.where(F.col(start) <= F.col(stop)).agg(F.percentile_approx(F.col(stop) - F.col(start) + 1, 0.5, 1000)).first()[0] or 1))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, max_gap: int = -1, on: str = "chrom") -> DataFrame:
     """Pairs of intervals on one chromosome that overlap, or lie within ``max_gap`` positions of each other.
 
-    ``left`` has (chrom, start, stop, ...), ``right`` (chrom, r_start, r_stop, ...) and no other common name. Both are
-    cut into bins of ``width`` (about the usual length); a pair counts in the first bin that both fill only, so no
-    distinct is needed. The key is (chrom, bin): a large chromosome is many keys. Intervals with start > stop or nulls match nothing.
+    ``left`` has (chrom, start, stop, ...), ``right`` (chrom, r_start, r_stop, ...) and no other common name. Each interval has the
+    level of its length: bins of ``width`` (the usual length of ``right``, if not given), 8 times that, and so on, so that it
+    fills two bins of its level at most. Two intervals meet in the bins of the longer one's level: an interval goes to its own
+    level and to each higher one that the other side has, with two rows at most. So intervals of one position and of whole
+    chromosomes may be joined at once. A pair counts in the first bin that both fill only, so no distinct is needed. Intervals
+    with start > stop or nulls match nothing.
     """
+    widths = _widths(width or usual_length(right, "r_start", "r_stop"))
     gap = max_gap + 1
-    a = left.where("start <= stop").withColumn("__lo", F.floor((F.col("start") - gap) / width)).withColumn("__bin", F.explode(_bins(F.col("start") - gap, F.col("stop") + gap, width)))
-    b = right.where("r_start <= r_stop").withColumn("__rlo", F.floor(F.col("r_start") / width)).withColumn("__bin", F.explode(_bins(F.col("r_start"), F.col("r_stop"), width)))
-    both = a.join(b, [on, "__bin"])
-    hit = (F.col("start") - gap <= F.col("r_stop")) & (F.col("r_start") <= F.col("stop") + gap)
-    return both.where(hit & (F.col("__bin") == F.greatest("__lo", "__rlo"))).drop("__bin", "__lo", "__rlo")
+    a = left.where("start <= stop").withColumns({"__from": F.col("start") - gap, "__to": F.col("stop") + gap})
+    a = a.withColumn("__own", _level(F.col("__from"), F.col("__to"), widths))
+    b = right.where("r_start <= r_stop").withColumn("__rown", _level(F.col("r_start"), F.col("r_stop"), widths))
+    levels = [set(df.agg(F.collect_set(c)).first()[0]) for df, c in ((a, "__own"), (b, "__rown"))]  # one number for each level
+
+    def placed(df: DataFrame, start: str, stop: str, own: str, other: set[int], low: str) -> DataFrame:
+        some = F.array_union(F.array(own), F.filter(F.array([F.lit(x) for x in sorted(other)]).cast("array<int>"), lambda x: x > F.col(own)))
+        at = df.withColumn("__level", F.explode(some)).withColumn("__w", F.element_at(F.array([F.lit(w).cast("long") for w in widths]), F.col("__level") + 1))
+        at = at.withColumn(low, F.floor(F.col(start) / F.col("__w")))
+        return at.withColumn("__bin", F.explode(F.sequence(low, F.floor(F.col(stop) / F.col("__w"))))).drop("__w")
+
+    both = placed(a, "__from", "__to", "__own", levels[1], "__lo").join(placed(b, "r_start", "r_stop", "__rown", levels[0], "__rlo"), [on, "__level", "__bin"])
+    hit = (F.col("__from") <= F.col("r_stop")) & (F.col("r_start") <= F.col("__to"))
+    longer = F.greatest("__own", "__rown") == F.col("__level")
+    return both.where(hit & longer & (F.col("__bin") == F.greatest("__lo", "__rlo"))).drop("__bin", "__lo", "__rlo", "__level", "__own", "__rown", "__from", "__to")
 
 
 def distance(start: Column, stop: Column, r_start: Column, r_stop: Column) -> Column:
@@ -33,7 +64,7 @@ def distance(start: Column, stop: Column, r_start: Column, r_stop: Column) -> Co
     return F.greatest(F.lit(0), F.greatest(start, r_start) - F.least(stop, r_stop) - 1)
 
 
-def point_in_window(points: DataFrame, windows: DataFrame, flank: int, width: int) -> DataFrame:
+def point_in_window(points: DataFrame, windows: DataFrame, flank: int, width: int | None = None) -> DataFrame:
     """(chrom, pos, ...) with each (chrom, r_start, r_stop, ...) that holds the position once widened by ``flank``."""
     wide = windows.withColumns({"r_start": F.col("r_start") - flank, "r_stop": F.col("r_stop") + flank})
     found = overlap_join(points.withColumns({"start": F.col("pos"), "stop": F.col("pos")}), wide, width)
@@ -116,10 +147,66 @@ def bin_window(start: Column, stop: Column, size: int = 128, n_bins: int = 896,
     return (window + low - pad).cast("long"), (window + high + pad).cast("long")
 
 
-def bins_of(loci: DataFrame, bins: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Each locus (chrom, ...) with the rows of ``bins`` (chrom, bin, ...) in [low, high)."""
-    wanted = loci.withColumn("bin", F.explode(F.sequence(low, high - 1)))
-    return wanted.join(bins, ["chrom", "bin"])
+def bin_sums(loci: DataFrame, bins: DataFrame, key: list[str], values: str) -> DataFrame:
+    """(key..., n, sums) for loci (key..., chrom, low, high): how many rows of ``bins`` (chrom, bin, values) lie in [low, high), and their sum.
+
+    ``values`` is an array of one width; rows where it is null don't count, nor do null elements in a sum. Loci without bins,
+    with low >= high or nulls have no row. No bin is repeated for a locus: bins and the loci's ends are range-partitioned
+    by place, a running sum gives what lies before each end, and a locus is the difference of two of them. Sums begin anew with each
+    partition and chromosome; a locus across partitions gets the totals of those in between, a row for each partition.
+    """
+    loci = settled(loci.where("low < high").select(*key, "chrom", "low", "high").withColumn("__id", F.monotonically_increasing_id()))
+    end = F.explode(F.array(F.struct(F.col("low").cast("long").alias("at"), F.lit(0).alias("side")), F.struct(F.col("high").cast("long").alias("at"), F.lit(1).alias("side")))).alias("e")
+    ends = loci.select("__id", "chrom", end).select("__id", "chrom", "e.at", "e.side", F.lit(None).cast("array<double>").alias("v"))
+    own = bins.where(F.col(values).isNotNull()).select(F.lit(-1).cast("long").alias("__id"), "chrom", F.col("bin").cast("long").alias("at"), F.lit(2).alias("side"), F.col(values).cast("array<double>").alias("v"))
+    order = ["chrom", "at", "side"]
+    n = int(loci.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ends.unionByName(own).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+
+    def run(batches):
+        chrom, total, part = None, None, 0
+        for batch in batches:
+            out = []
+            part = int(batch.part.iloc[0]) if len(batch) else part
+            for _, own in batch.groupby((batch.chrom != batch.chrom.shift()).cumsum(), sort=False):
+                if own.chrom.iloc[0] != chrom:
+                    if total is not None:
+                        out.append(pd.DataFrame({"__id": [-1], "chrom": chrom, "side": 2, "part": part, "s": [total]}))
+                    chrom, total = own.chrom.iloc[0], None
+                is_bin = (own.side == 2).to_numpy()
+                if is_bin.any():
+                    v = np.stack(own.v[is_bin].to_numpy())
+                    run_ = np.cumsum(np.column_stack([np.nan_to_num(v.astype(float)), np.ones(len(v))]), axis=0)
+                    run_ = np.vstack([np.zeros(run_.shape[1]), run_]) + (0.0 if total is None else total)
+                else:
+                    run_ = None if total is None else total[None, :]
+                points = own[~is_bin]
+                if len(points):
+                    seen = np.cumsum(is_bin)[~is_bin]
+                    out.append(points[["__id", "chrom", "side", "part"]].assign(s=[None] * len(points) if run_ is None else list(run_[seen])))
+                total = total if run_ is None else run_[-1]
+            if out:
+                yield pd.concat(out)
+        if total is not None:
+            yield pd.DataFrame({"__id": [-1], "chrom": chrom, "side": 2, "part": part, "s": [total]})
+
+    made = settled(dealt.mapInPandas(run, f"__id bigint, chrom {loci.schema['chrom'].dataType.simpleString()}, side int, part int, s array<double>"))
+    less = lambda x, y: F.zip_with(x, y, lambda p, q: p - q)
+    plus = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    pick = lambda name, side: F.first(F.when(F.col("side") == side, F.col(name)), ignorenulls=True)
+    both = made.where("side < 2").groupBy("__id", "chrom").agg(pick("part", 0).alias("p0"), pick("s", 0).alias("s0"), pick("part", 1).alias("p1"), pick("s", 1).alias("s1"))
+    totals = made.where("side = 2").select("chrom", "part", F.col("s").alias("total"))
+    across = both.where("p0 < p1").select("__id", "chrom", F.explode(F.sequence("p0", F.col("p1") - 1)).alias("part")).join(totals, ["chrom", "part"])
+    found = both.join(across.groupBy("__id").agg(F.collect_list("total").alias("totals")), "__id", "left")
+    zero = F.transform(F.coalesce("s1", "s0", F.col("totals")[0]), lambda _: F.lit(0.0))
+    up_to = F.aggregate(F.coalesce("totals", F.array().cast("array<array<double>>")), F.coalesce("s1", zero), plus)
+    whole = found.select("__id", less(up_to, F.coalesce("s0", zero)).alias("s")).join(loci, "__id")
+    return whole.select(*key, F.element_at("s", -1).cast("long").alias("n"), F.slice("s", 1, F.size("s") - 1).alias("sums")).where("n > 0")
+
+
+def bin_means(loci: DataFrame, bins: DataFrame, key: list[str], values: str) -> DataFrame:
+    """(key..., n, values): means of the arrays of ``bin_sums``; all rows of ``bins`` have a value in each place."""
+    return bin_sums(loci, bins, key, values).select(*key, "n", F.transform("sums", lambda v: v / F.col("n")).alias(values))
 
 
 def window_around(locus: Column, flank: int) -> list[Column]:

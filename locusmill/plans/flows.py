@@ -16,7 +16,7 @@ from locusmill.plans.queries_stats import COVARIANCE
 
 def score_individuals(loci: DataFrame, bins: DataFrame, weights: DataFrame, low, high, width: int) -> DataFrame:
     """Bins of each locus -> mean features -> checked matrix -> scores of all models: (row, model, score)."""
-    means = G.mean_arrays(I.bins_of(loci, bins, low, high), ["row"], "values", width)
+    means = I.bin_means(loci.withColumns({"low": low, "high": high}), bins, ["row"], "values").drop("n")
     return L.score_dense(G.checked_matrix(means, "values", width), weights)
 
 

@@ -124,7 +124,9 @@ def g22(t):
     return rounded(G.against_reference(by, by.where("tf = 'Brand#2'"), "m"), "m", "reference")
 
 
-@query("g23_transpose", "SELECT feature AS vec_id, vec_id AS feature, round(x, 6) + 0e0 AS x FROM {x_long} WHERE vec_id IN (SELECT vec_id FROM embeddings WHERE label = 3) AND feature IN (SELECT feature FROM {w_long} WHERE model = 3 AND w > 0)")
+@query("g23_transpose", """WITH c AS MATERIALIZED (SELECT feature FROM (SELECT unnest(range(64))::INTEGER AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 3) e GROUP BY feature HAVING avg(x) > 0),
+x AS MATERIALIZED (SELECT vec_id, unnest(range(64))::INTEGER AS feature, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label = 3)
+SELECT feature AS vec_id, vec_id AS feature, round(x, 6) + 0e0 AS x FROM x SEMI JOIN c USING (feature)""")
 def g23(t):
     keep = t.embeddings.where("label = 3").select("vec_id")
     cols = t.w_long.where("model = 3 and w > 0").select("feature")

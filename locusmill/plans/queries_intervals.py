@@ -71,7 +71,8 @@ e AS (SELECT id, chrom, b0 + lo - 1 AS low, b0 + CASE WHEN hi = lo THEN hi + 1 E
 def j16(t):
     low, high = I.bin_window(F.col("start"), F.col("stop"))
     loci = t.peaks.select("id", "chrom", low.alias("low"), high.alias("high"))
-    found = I.bins_of(loci, t.tracks, F.col("low"), F.col("high")).groupBy("id").agg(F.count("x").alias("n_found"), F.avg("x").alias("mean"))
+    tracks = t.tracks.where("x is not null").select("chrom", "bin", F.array("x").alias("values"))
+    found = I.bin_means(loci, tracks, ["id"], "values").select("id", F.col("n").alias("n_found"), F.col("values")[0].alias("mean"))
     out = loci.join(found, "id", "left").select("id", "low", "high", (F.col("high") - F.col("low")).alias("n_bins"), F.coalesce("n_found", F.lit(0)).alias("n_found"), "mean")
     return rounded(out, "mean")
 
@@ -80,7 +81,8 @@ def j16(t):
 def g20(t):
     loci = t.embeddings.select(F.col("label").alias("chrom"), (F.floor(F.col("vec_id") / 10) % 40).cast("long").alias("low")).distinct()
     bins = t.embeddings.select(F.col("label").alias("chrom"), F.floor(F.col("vec_id") / 10).cast("long").alias("bin"), "embedding")
-    mean = G.mean_arrays(I.bins_of(loci, bins, F.col("low"), F.col("low") + 4), ["chrom", "low"], "embedding", 64)
+    loci = loci.select(F.concat_ws(":", "chrom", "low").alias("locus"), "chrom", "low", (F.col("low") + 4).alias("high"))
+    mean = I.bin_means(loci, bins, ["locus"], "embedding").withColumns({n: F.split("locus", ":")[i].cast("long") for i, n in enumerate(("chrom", "low"))})
     return rounded(mean.select("chrom", "low", F.posexplode("embedding").alias("feature", "x")), "x")
 
 

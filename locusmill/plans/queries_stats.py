@@ -58,6 +58,12 @@ def t4(t):
     return rounded(S.pi0(t.assoc, "pvalue"), "pi0", "pi1")
 
 
+@query("t4_pi0_smoothed", f"""WITH w AS (SELECT unnest(range(1, 20)) AS v, unnest({[float(x) for x in S.spline_weights(S.LAMBDAS, 3.0)]}::DOUBLE[]) AS w), g AS (SELECT v, count(*) FILTER (pvalue > round(v / 2e1, 2)) / (count(*) * (1 - round(v / 2e1, 2))) AS pi0 FROM {{assoc}} s, range(1, 20) g(v) GROUP BY v)
+SELECT round(greatest(least(sum(w * pi0), 1e0), 0e0), 6) AS pi0, round(1 - greatest(least(sum(w * pi0), 1e0), 0e0), 6) + 0e0 AS pi1 FROM g JOIN w USING (v)""")
+def t4_smoothed(t):
+    return rounded(S.pi0_smoothed(t.assoc, "pvalue"), "pi0", "pi1")
+
+
 @query("t5_pi1_truncated", _pi0("SELECT pvalue / max(pvalue) OVER () AS pvalue FROM {set_f} WHERE pvalue <= 5e-1"))
 def t5(t):
     return rounded(S.pi0(S.truncated(t.set_f, "pvalue", 0.5), "pvalue"), "pi0", "pi1")
