@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from locusmill.operators.rows import settled
+from locusmill.operators.rows import numbered, settled
 from locusmill.operators.sums import tree_sum
 
 
@@ -389,12 +390,15 @@ def snp_models(rows: DataFrame, locus: str = "locus", lambdas: tuple[float, ...]
     return made.withColumn("variant", F.col("variant").cast(kind))
 
 
-def heritability_fit(values: np.ndarray, squares: np.ndarray, legacy: bool = False) -> dict:
-    """Largest likelihood of h2 on [.01, .99] given the eigenvalues and the squared projections of y; se and p from its curvature."""
+def heritability_fit(values: np.ndarray, squares: np.ndarray, legacy: bool = False, nodes: np.ndarray | None = None, weights: np.ndarray | None = None) -> dict:
+    """Largest likelihood of h2 on [.01, .99] given the eigenvalues and the squared projections of y; se and p from its curvature.
+
+    With ``nodes`` and ``weights`` the sum over all eigenvalues is taken from that quadrature, and ``values`` are those of ``squares`` alone.
+    """
+    every, how_many = (values, np.ones(len(values))) if nodes is None else (nodes, weights)
 
     def loglik(h: float) -> float:
-        d = h * values + 1 - h
-        return -0.5 * np.log(d).sum() - 0.5 * (squares / d).sum()
+        return float(-0.5 * (how_many * np.log(h * every + 1 - h)).sum() - 0.5 * (squares / (h * values + 1 - h)).sum())
 
     low, high, g = 0.01, 0.99, (math.sqrt(5) - 1) / 2
     a, b = high - g * (high - low), low + g * (high - low)
@@ -414,8 +418,8 @@ def heritability_fit(values: np.ndarray, squares: np.ndarray, legacy: bool = Fal
     return {"h2": h, "loglik": loglik(h), "se": se, "p": math.erfc(abs(h / se) / math.sqrt(2)) if se else None}
 
 
-#: Samples of a relationship matrix at most: it is diagonalised in one task.
-MAX_SAMPLES = 5_000
+#: Samples of a relationship matrix that is diagonalised in one task at most; larger ones are never whole anywhere.
+MAX_SAMPLES = 2_000
 
 
 def diagonalised(grm: DataFrame, by: list[str]) -> DataFrame:
@@ -442,19 +446,162 @@ def diagonalised(grm: DataFrame, by: list[str]) -> DataFrame:
     return own_key.groupBy(*(by or ["__one"])).applyInPandas(fit, f"{kinds}id {kind}, place int, value double, loading double")
 
 
+#: Samples of a tile, steps of the Lanczos recursions, random vectors that stand for the trace, columns that go through them at once.
+ROWS, LANCZOS, PROBES, COLUMNS = 512, 30, 30, 64
+
+
+def quadratures(matrix: DataFrame, columns: DataFrame, n_columns: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """{(group, column): (nodes, weights)}: Gauss quadratures of x' f(K) x for each group's matrix and each of its start vectors.
+
+    matrix(g, t, u, i, j, v): tiles of K, cell (i, j) of tile (t, u), both halves; columns(g, t, x): the start vectors' rows t * ROWS.. as a
+    flat array of ROWS times n_columns. All recursions of all groups go on together: a step multiplies tiles by the vectors' tiles where
+    they meet, sums products by tile as a tree, and takes two sums a column. Vectors stay in Spark, tile by tile; what
+    reaches the driver is these sums.
+    """
+    spark = matrix.sparkSession
+    shape = (ROWS, n_columns)
+
+    def product(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                x, y = np.array(r.x).reshape(shape), np.zeros(shape)
+                np.add.at(y, np.array(r.i), np.array(r.v)[:, None] * x[np.array(r.j)])
+                out.append((r.g, r.t, r.u, y.ravel()))
+            yield pd.DataFrame(out, columns=["g", "t", "u", "s"])
+
+    def dots(rows: DataFrame, *pairs: tuple[str, str]) -> dict[int, np.ndarray]:
+        """For each group the sums of the products of two columns of vectors, a row for each pair."""
+
+        def run(batches):
+            held = {}
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    s = np.concatenate([(as_tile(getattr(r, a)) * as_tile(getattr(r, b))).sum(axis=0) for a, b in pairs])
+                    held[r.g] = held[r.g] + s if r.g in held else s
+            if held:
+                yield pd.DataFrame({"g": list(held), "part": TaskContext.get().partitionId(), "s": list(held.values())})
+
+        made = rows.select("g", *{c for pair in pairs for c in pair}).mapInPandas(run, "g long, part long, s array<double>")
+        return {r["g"]: np.array(r["s"]).reshape(len(pairs), -1) for r in tree_sum(made, ["g"]).collect()}
+
+    def combined(rows: DataFrame, make) -> DataFrame:
+        """(g, t, x, old) from each tile row."""
+
+        def run(batches):
+            for batch in batches:
+                out = [(r.g, r.t, *(v.ravel() for v in make(r))) for r in batch.itertuples(index=False)]
+                yield pd.DataFrame(out, columns=["g", "t", "x", "old"])
+
+        return rows.mapInPandas(run, "g long, t long, x array<double>, old array<double>")
+
+    as_tile = lambda v: np.array(v).reshape(shape)
+    norm = {g: np.sqrt(s[0]) for g, s in dots(columns, ("x", "x")).items()}
+    live = {g: s > 0 for g, s in norm.items()}
+    first = {g: np.where(live[g], 1 / np.where(live[g], s, 1), 0) for g, s in norm.items()}
+    vectors = combined(columns, lambda r: (as_tile(r.x) * first[r.g], np.zeros(shape)))
+    beta = {g: np.zeros(n_columns) for g in norm}
+    alphas, betas = [], []
+    for _ in range(LANCZOS):
+        met = matrix.join(vectors.select("g", F.col("t").alias("u"), "x"), ["g", "u"]).select("g", "t", "u", "i", "j", "v", "x")
+        w = tree_sum(met.mapInPandas(product, "g long, t long, u long, s array<double>"), ["g", "t"], part="u")
+        rows = settled(vectors.join(w, ["g", "t"], "left").withColumn("s", F.coalesce("s", F.transform("x", lambda _: F.lit(0.0)))))
+        sums = dots(rows, ("x", "s"), ("s", "s"))
+        alpha, before = {g: s[0] for g, s in sums.items()}, beta
+        # the vectors of a recursion are at right angles, so what is left of K x has this square
+        square = {g: s[1] - alpha[g] ** 2 - before[g] ** 2 for g, s in sums.items()}
+        live = {g: live[g] & (square[g] > 1e-10 * np.maximum(sums[g][1], 1e-300)) for g in square}
+        beta = {g: np.sqrt(np.where(live[g], x, 0.0)) for g, x in square.items()}
+        alphas.append(alpha)
+        betas.append(beta)
+        if not any(x.any() for x in live.values()):
+            break
+        over = {g: np.where(live[g], 1 / np.where(live[g], b, 1), 0) for g, b in beta.items()}
+
+        def advanced(r, alpha=alpha, before=before, over=over):
+            return (as_tile(r.s) - alpha[r.g] * as_tile(r.x) - before[r.g] * as_tile(r.old)) * over[r.g], as_tile(r.x)
+
+        vectors = combined(rows, advanced)
+    out = {}
+    for g, size in norm.items():
+        for c in range(n_columns):
+            b = [x[g][c] for x in betas]
+            m = next((i + 1 for i, x in enumerate(b) if x == 0), len(b))
+            values, vectors_ = np.linalg.eigh(np.diag([a[g][c] for a in alphas[:m]]) + np.diag(b[: m - 1], 1) + np.diag(b[: m - 1], -1))
+            out[g, c] = np.maximum(values, 0), vectors_[0] ** 2 * size[c] ** 2
+    return out
+
+
+def _fitted_by_quadrature(scaled: DataFrame, matrix: DataFrame, people: DataFrame, by: list[str], legacy: bool) -> DataFrame:
+    """(by..., h2, loglik, se, p, error) of matrices that are too large for one task: see ``quadratures``. scaled(by..., id, y) has all of ``people``."""
+    spark, outer, trait = scaled.sparkSession, by[:-1], by[-1]
+    kinds = ", ".join(f"{c} {scaled.schema[c].dataType.simpleString()}" for c in by)
+    groups = people.select(*outer).distinct().toPandas() if outer else None  # a row for each matrix
+    numbers = spark.createDataFrame(groups.assign(g=range(len(groups))), people.select(*outer, F.lit(0).cast("long").alias("g")).schema) if outer else None
+    placed = people.join(F.broadcast(numbers), outer) if outer else people.withColumn("g", F.lit(0).cast("long"))
+    placed = settled(numbered(placed.select("g", "id"), ["g", "id"], "n"))
+    first = placed.groupBy("g").agg(F.min("n").alias("f"), F.count("*").alias("size"))
+    sizes = {r["g"]: r["size"] for r in first.collect()}
+    at = settled(placed.join(F.broadcast(first), "g").select("g", "id", F.floor((F.col("n") - F.col("f")) / ROWS).cast("long").alias("t"), ((F.col("n") - F.col("f")) % ROWS).cast("int").alias("i")))
+    known = matrix.join(F.broadcast(numbers), outer) if outer else matrix.withColumn("g", F.lit(0).cast("long"))
+    cells = known.join(at.withColumnsRenamed({"id": "id1"}), ["g", "id1"]).join(at.select("g", F.col("id").alias("id2"), F.col("t").alias("u"), F.col("i").alias("j")), ["g", "id2"])
+    halves = cells.select("g", "t", "u", "i", "j", "value").unionByName(cells.where("id1 <> id2").select("g", F.col("u").alias("t"), F.col("t").alias("u"), F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    # a tile has ROWS squared cells at most
+    pick = lambda name: F.transform("c", lambda x: x[name])
+    tiles = settled(halves.groupBy("g", "t", "u").agg(F.collect_list(F.struct("i", "j", "value")).alias("c")).select("g", "t", "u", pick("i").alias("i"), pick("j").alias("j"), pick("value").alias("v")))
+    traits = [r[0] for r in scaled.select(trait).distinct().orderBy(trait).collect()]  # the phenotypes' names
+    wanted = {tuple(r) for r in (scaled.join(F.broadcast(numbers), outer) if outer else scaled.withColumn("g", F.lit(0).cast("long"))).select("g", trait).distinct().collect()}
+    found: dict[int, list] = {}
+    out = []
+    for start in range(0, len(traits), COLUMNS):
+        own = traits[start : start + COLUMNS]
+        probes = PROBES if not start else 0
+        y = scaled.where(F.col(trait).isin(own))
+        y = y.join(F.broadcast(numbers), outer) if outer else y.withColumn("g", F.lit(0).cast("long"))
+        names = F.array_position(F.array([F.lit(v) for v in own]), F.col(trait)).cast("int") - 1
+        values = y.select("g", "id", names.alias("c"), "y")
+        if probes:
+            signs = at.select("g", "id", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))).alias("r"))
+            values = values.unionByName(signs.select("g", "id", (F.col("r") + len(own)).cast("int").alias("c"), F.when(F.xxhash64("g", "id", "r", F.lit("sign")) % 2 == 0, 1.0).otherwise(-1.0).alias("y")))
+        width = len(own) + probes
+        cells_ = values.join(at, ["g", "id"]).groupBy("g", "t").agg(F.collect_list(F.struct((F.col("i") * width + F.col("c")).alias("k"), "y")).alias("v"))
+
+        def flat(batches):
+            for batch in batches:
+                rows = []
+                for r in batch.itertuples(index=False):
+                    x = np.zeros(ROWS * width)  # noqa: B023
+                    for e in r.v:
+                        x[e["k"]] = e["y"]
+                    rows.append((r.g, r.t, x))
+                yield pd.DataFrame(rows, columns=["g", "t", "x"])
+
+        got = quadratures(tiles, settled(cells_.mapInPandas(flat, "g long, t long, x array<double>")), width)
+        for g, n in sizes.items():
+            if probes:
+                found[g] = [np.concatenate([got[g, c][i] for c in range(len(own), width)]) for i in (0, 1)]
+                found[g][1] = found[g][1] / found[g][1].sum() * n
+            for c, name in enumerate(own):
+                if (g, name) in wanted:
+                    fit = heritability_fit(*got[g, c], legacy, *found[g])
+                    out.append((*(groups.iloc[g].tolist() if outer else ()), name, fit["h2"], fit["loglik"], fit["se"], fit["p"], None))
+    return spark.createDataFrame(out, f"{kinds}, h2 double, loglik double, se double, p double, error string")
+
+
 def heritability(phenotypes: DataFrame, grm: DataFrame, by: list[str], scale: bool = True, legacy: bool = False) -> DataFrame:
     """(by..., h2, loglik, se, p, error) for phenotypes(by..., id, y) and grm(by[:-1]..., id1, id2, value), id1 <= id2.
 
-    ``by`` ends with the phenotype, and what stands before it (a chromosome) has a matrix of its own. Each matrix is diagonalised once,
-    in a step of checked size; phenotypes are projected on its vectors by a join and a grouping, and each is fitted in a task of
-    its own. Samples that only one side has don't count; failed fits give nulls and a message.
+    ``by`` ends with the phenotype, and what stands before it (a chromosome) has a matrix of its own; pairs that it leaves out are 0. A
+    matrix of MAX_SAMPLES samples or fewer is diagonalised once, in a task; phenotypes are projected on its vectors by a join and
+    a grouping, and each is fitted in a task of its own. Of larger ones only products with vectors are taken, tile by tile
+    (``quadratures``): the form in y by Lanczos recursions from it, the determinant by random vectors. Samples that only one side
+    has don't count; failed fits give nulls and a message.
     """
     outer = by[:-1]
     both = phenotypes.select("id").distinct()
-    matrix = grm.join(both.withColumnRenamed("id", "id1"), "id1", "left_semi").join(both.withColumnRenamed("id", "id2"), "id2", "left_semi")
-    vectors = settled(diagonalised(matrix, outer))
-    people = vectors.select(*outer, "id").distinct()
-    size = people.groupBy(*outer).agg(F.count("*").alias("n")) if outer else people.agg(F.count("*").alias("n"))
+    matrix = settled(grm.join(both.withColumnRenamed("id", "id1"), "id1", "left_semi").join(both.withColumnRenamed("id", "id2"), "id2", "left_semi"))
+    people = settled(matrix.select(*outer, F.col("id1").alias("id")).union(matrix.select(*outer, F.col("id2").alias("id"))).distinct())
+    size = people.groupBy(*outer).agg(F.count("*").alias("n"))
     known = phenotypes.join(people, [*outer, "id"], "left_semi")
     finite = F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") < float("inf"))
     stats = known.groupBy(*by).agg(F.count_if(finite).alias("own"), F.avg(F.when(finite, F.col("y"))).alias("m"), F.stddev_samp(F.when(finite, F.col("y"))).alias("s"))
@@ -462,9 +609,7 @@ def heritability(phenotypes: DataFrame, grm: DataFrame, by: list[str], scale: bo
     fine = (F.col("own") == F.col("n")) & (F.col("n") >= 3) & (F.col("s") > 0)
     judged = phenotypes.select(*by).distinct().join(stats.withColumn("fine", fine), by, "left")
     y = (F.col("y") - F.col("m")) / F.col("s") if scale else F.col("y")
-    scaled = known.join(judged.where("fine"), by).select(*by, "id", y.alias("y"))
-    square = F.sum(F.col("y") * F.col("loading"))
-    parts = scaled.join(vectors, [*outer, "id"]).groupBy(*by, "place").agg(F.first("value").alias("value"), (square * square).alias("square"))
+    scaled = known.join(judged.where("fine"), by).select(*by, "id", y.alias("y"), "n")
     kinds = ", ".join(f"{c} {phenotypes.schema[c].dataType.simpleString()}" for c in by)
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
@@ -475,7 +620,20 @@ def heritability(phenotypes: DataFrame, grm: DataFrame, by: list[str], scale: bo
             row |= {"h2": None, "loglik": None, "se": None, "p": None, "error": str(e)}
         return pd.DataFrame([row], columns=[*by, "h2", "loglik", "se", "p", "error"])
 
-    fitted = parts.groupBy(*by).applyInPandas(fit, f"{kinds}, h2 double, loglik double, se double, p double, error string")
+    def of(df: DataFrame, large: bool) -> DataFrame:
+        """The rows of large matrices, or of the others."""
+        some = size.where(F.col("n") > MAX_SAMPLES if large else F.col("n") <= MAX_SAMPLES)
+        return df.join(F.broadcast(some.select(*outer)), outer, "left_semi") if outer else df.join(F.broadcast(some.select(F.lit(1).alias("one"))), F.lit(True), "left_semi")
+
+    parts = []
+    counts = size.agg(F.count_if(F.col("n") <= MAX_SAMPLES), F.count_if(F.col("n") > MAX_SAMPLES)).first()
+    if counts[0]:
+        vectors = settled(diagonalised(of(matrix, False), outer))
+        square = F.sum(F.col("y") * F.col("loading"))
+        projected = scaled.where(F.col("n") <= MAX_SAMPLES).join(vectors, [*outer, "id"]).groupBy(*by, "place").agg(F.first("value").alias("value"), (square * square).alias("square"))
+        parts.append(projected.groupBy(*by).applyInPandas(fit, f"{kinds}, h2 double, loglik double, se double, p double, error string"))
+    if counts[1]:
+        parts.append(_fitted_by_quadrature(settled(scaled.where(F.col("n") > MAX_SAMPLES).select(*by, "id", "y")), of(matrix, True), of(people, True), by, legacy))
     none = F.lit(None).cast("double")
     failed = judged.where(~F.coalesce("fine", F.lit(False))).select(*by, none.alias("h2"), none.alias("loglik"), none.alias("se"), none.alias("p"), F.lit("the phenotype is constant or has nulls").alias("error"))
-    return fitted.unionByName(failed)
+    return reduce(DataFrame.unionByName, [*parts, failed])
