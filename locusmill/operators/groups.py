@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from locusmill.operators.ranks import group_quantiles
+
 
 def counted(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias(name))
@@ -14,13 +16,12 @@ def counted(df: DataFrame, *by: str, name: str = "n") -> DataFrame:
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, largest and median absolute value of each group."""
     size = F.abs(F.col(value))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(size).alias("mean_abs"), F.max(size).alias("max_abs"), F.median(size).alias("median_abs"))
+    return group_quantiles(df, by, size, {"median_abs": 0.5}, F.count(value).alias("n"), F.avg(size).alias("mean_abs"), F.max(size).alias("max_abs"))
 
 
 def six_numbers(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """min, q1, median, mean, q3, max; quantiles by linear interpolation."""
-    q = lambda p, n: F.percentile(value, F.lit(p)).alias(n)
-    return df.groupBy(*by).agg(F.min(value).alias("min"), q(0.25, "q1"), q(0.5, "median"), F.avg(value).alias("mean"), q(0.75, "q3"), F.max(value).alias("max"))
+    return group_quantiles(df, by, F.col(value), {"q1": 0.25, "median": 0.5, "q3": 0.75}, F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
 
 
 def frequencies(df: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,8 @@ from cumulative counts of the distinct values in range-partitioned pieces.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from locusmill.functions.distributions import normal_quantile
@@ -32,17 +34,56 @@ def _starts(df: DataFrame, values: dict[int, list], kinds: dict[str, str]) -> Da
     return F.broadcast(df.sparkSession.createDataFrame(rows, "__part int, " + ", ".join(f"{n} {k}" for n, k in kinds.items())))
 
 
+def placed(df: DataFrame, by: list[str], order: list[Column], counted: Column | None = None) -> DataFrame:
+    """``df`` with ``__place`` (1..n in its group, in a total order), ``__size`` (the group's rows, or those with ``counted``) and ``__part``.
+
+    Rows are range-partitioned and sorted by (group, order), so a group of any size is spread over partitions; a row's place is its
+    number in its partition and the group's rows in the partitions before, from a table with a row for each group and partition.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(c) for c in by], *order]
+    rows = settled(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__number", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__number", 33))
+    spans = rows.groupBy("__part", *by).agg(F.min("__number").alias("__first"), F.count("*").alias("__n"), F.count("*" if counted is None else counted).alias("__k"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = spans.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], (before - F.col("__first") + 1).alias("__start"), F.sum("__k").over(group).alias("__size"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)], F.col("__part") == F.col("__p"))
+    return rows.join(own, same).select(*df.columns, "__part", (F.col("__number") + F.col("__start")).alias("__place"), "__size")
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: Column, wanted: dict[str, float], *more: Column) -> DataFrame:
+    """(by..., quantiles by name..., ``more`` aggregates): exact quantiles by linear interpolation; nulls don't count.
+
+    The rows at the two places that each quantile lies between are picked in a grouping that is summed on the map side, so no group is
+    gathered, however large.
+    """
+    rows = placed(df.withColumn("__v", value.cast("double")), by, [F.asc_nulls_last("__v"), F.xxhash64(*df.columns)], F.col("__v"))
+    at = {name: (F.col("__size") - 1) * F.lit(float(q)) + 1 for name, q in wanted.items()}
+    picked = [F.max(F.when((F.col("__place") == f(h)) & (F.col("__place") <= F.col("__size")), F.col("__v"))).alias(f"__{name}_{end}") for name, h in at.items() for f, end in ((F.floor, "low"), (F.ceil, "high"))]
+    found = rows.groupBy(*by).agg(*picked, F.max("__size").alias("__size"), *more)
+    between = lambda name, h: F.col(f"__{name}_low") + (h - F.floor(h)) * (F.col(f"__{name}_high") - F.col(f"__{name}_low"))
+    return found.withColumns({name: between(name, h) for name, h in at.items()}).drop("__size", *[f"__{name}_{end}" for name in at for end in ("low", "high")])
+
+
 def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank", descending: bool = False) -> DataFrame:
-    """Rank 1 for the smallest (or largest), ties get the mean of their places; in groups.
+    """Rank 1 for the smallest (or largest), ties get the mean of their places; in groups. Rows of null value have no rank and drop out.
 
-    Over the whole table equal values may hold most rows: they are ranked where they stand, by range partitions of (value, hash),
-    and only values that go on over a partition's end, at most one a partition, are settled by a small table.
+    Groups and values of any number of rows are spread over range partitions of (group, value, hash). Over the whole table only
+    values that go on over a partition's end, at most one a partition, are settled by a small table; in groups a row for each
+    value and partition tells where the value begins and ends.
     """
+    df = df.where(F.col(value).isNotNull())
     order = F.desc(value) if descending else F.asc(value)
     if by:
-        ties = F.count("*").over(Window.partitionBy(*by, value))
-        return df.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / F.lit(2.0))
-    parts, before, _ = carried(df.where(F.col(value).isNotNull()).withColumn("__h", F.xxhash64(*df.columns)), [order, F.col("__h")], n=F.lit(1))
+        rows = placed(df, by, [order, F.xxhash64(*df.columns)])
+        here = rows.groupBy("__part", *by, value).agg(F.min("__place").alias("__low"), F.max("__place").alias("__high"))
+        ties = Window.partitionBy(*by, value)
+        mean = (F.min("__low").over(ties) + F.max("__high").over(ties)) / F.lit(2.0)
+        ranks = here.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate([*by, value])], mean.alias(name))
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate([*by, value])], F.col("__part") == F.col("__p"))
+        return rows.join(ranks, same).select(*df.columns, name)
+    parts, before, _ = carried(df.withColumn("__h", F.xxhash64(*df.columns)), [order, F.col("__h")], n=F.lit(1))
     counts = parts.groupBy("__part", value).agg(F.count("*").alias("__n"))
     first = counts.join(_starts(df, before, {"__s": "bigint"}), "__part").withColumn("__c", F.col("__s") + F.sum("__n").over(Window.partitionBy("__part").orderBy(order)))
     split = parts.groupBy("__part").agg(F.min(value).alias("a"), F.max(value).alias("b")).collect()

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from locusmill.functions.distributions import t_two_sided
-from locusmill.operators.ranks import cumulative
+from locusmill.operators.ranks import cumulative, placed
 from locusmill.operators.rows import settled
 from locusmill.operators.tiles import row_products
 
@@ -190,10 +190,9 @@ def compared(a: DataFrame, b: DataFrame, key: str, z: str, p: str, alpha: float)
 
 
 def permuted(df: DataFrame, by: str, x: str, y: str, key: str, seed: int) -> DataFrame:
-    """A null data set: in each group, x paired with the y of another row by the order of seeded MD5 sums."""
-    own = Window.partitionBy(by)
-    a = df.select(by, x, F.row_number().over(own.orderBy(key)).alias("__i"))
-    b = df.select(by, y, F.row_number().over(own.orderBy(F.md5(F.concat_ws("/", F.col(key), F.lit(seed))), key)).alias("__i"))
+    """A null data set: in each group, x paired with the y of another row by the order of seeded MD5 sums. Groups may have any size."""
+    a = placed(df.select(by, x, key), [by], [F.col(key)]).select(by, x, F.col("__place").alias("__i"))
+    b = placed(df.select(by, y, key), [by], [F.md5(F.concat_ws("/", F.col(key), F.lit(seed))), F.col(key)]).select(by, y, F.col("__place").alias("__i"))
     return a.join(b, [by, "__i"]).drop("__i")
 
 

@@ -145,7 +145,8 @@ def w1(t):
 def w2(t):
     """The flagship: combined p of each factor and locus, ranks of factors at each locus, order by their medians."""
     ranks = W.average_rank(g17(t), "p", ["locus"])
-    return ranks.groupBy("tf").agg(r(F.median("rank")).alias("median_rank"), F.count("*").alias("n_loci")).orderBy("median_rank", "tf")
+    medians = W.group_quantiles(ranks, ["tf"], F.col("rank"), {"median_rank": 0.5}, F.count("*").alias("n_loci"))
+    return rounded(medians, "median_rank").select("tf", "median_rank", "n_loci").orderBy("median_rank", "tf")
 
 
 @query("w4_sampled_rows")
@@ -236,7 +237,7 @@ def x32(t):
 
 @query("f3_column_aggregates", f"SELECT locus, round(median(rank), 6) AS median_rank FROM ({_RANKS}) q GROUP BY locus")
 def f3(t):
-    return W.average_rank(g17(t), "p", ["locus"]).groupBy("locus").agg(r(F.median("rank")).alias("median_rank"))
+    return rounded(W.group_quantiles(W.average_rank(g17(t), "p", ["locus"]), ["locus"], F.col("rank"), {"median_rank": 0.5}), "median_rank")
 
 
 @query("f4_table_function", "SELECT chrom, k AS bin, count(*) AS n FROM (SELECT chrom, unnest(range(start // 600, stop // 600 + 1)) AS k FROM {peaks} WHERE start >= 0) q GROUP BY chrom, k")
