@@ -15,8 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Pages that training reads at most (lowest hashes), page layouts made of each, and the size of the boosted model.
-TRAIN_PAGES, LAYOUTS, TREES, DEPTH, BINS, RATE = 240, 4, 60, 5, 24, 0.3
+#: Pages that training reads at most (lowest hashes), how often each counts, page layouts made of each, and the size of the boosted model.
+TRAIN_PAGES, GIVEN, LAYOUTS, TREES, DEPTH, BINS, RATE = 240, 3, 4, 80, 5, 24, 0.3
 #: Longer pages take no part in training; the text of every page is extracted whole.
 TRAIN_CHARS = 100_000
 #: Rows of a block of two-valued features, and pages that a training task reads.
@@ -306,10 +306,14 @@ def layouts(source: str | None, seed: int) -> Iterator[str]:
         at = int(rng.integers(len(words)))
         return " ".join((words[at:] + words[:at])[: int(rng.integers(low, high))])
 
+    def hashed() -> str:
+        """A class name that says nothing."""
+        return f"{pick(('css', 'sc', 'jsx', 'x'))}-{rng.integers(16**6):x}"
+
     def boiler(kind: str) -> str:
         tag = pick(_TAG_OF[kind])
         token = pick(KINDS[kind].split())
-        name = pick((token, f"{token}-{pick(('box', 'area', 'wrap', 'list', 'block'))}", f"{pick(('site', 'page', 'top', 'my'))}-{token}", f"{token}s"))
+        name = pick((token, f"{token}-{pick(('box', 'area', 'wrap', 'list', 'block'))}", f"{pick(('site', 'page', 'top', 'my'))}-{token}", f"{token}s")) if rng.random() < 0.85 else hashed()
         attr = "" if tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5 else f' {pick(("class", "id", "class"))}="{name}"'
         if kind in ("nav", "share") or rng.random() < 0.25:
             inner = "<ul>" + "".join(f'<li><a href="/{i}">{esc(phrase(1, 4))}</a></li>' for i in range(int(rng.integers(2, 9)))) + "</ul>"
@@ -323,35 +327,39 @@ def layouts(source: str | None, seed: int) -> Iterator[str]:
 
     def listed() -> str:
         kind = pick(("ul", "ol"))
-        return f"<{kind}>" + "".join(f"<li>{esc(phrase(3, 15))}</li>" for _ in range(int(rng.integers(2, 6)))) + f"</{kind}>"
+        return f"<{kind}{mark}>" + "".join(f"<li>{esc(phrase(3, 15))}</li>" for _ in range(int(rng.integers(2, 6)))) + f"</{kind}>"
 
     for _ in range(LAYOUTS):
-        wrap = pick(("article", "main", "div", "section", "div", "td"))
+        wrap = pick(("article", "main", "div", "section", "div", "td", "article", "")) if rng.random() < 0.9 else ""  # "": the text stands in the body
         token = pick(KINDS["main"].split())
         attr = f' class="{pick((token, f"{token}-{pick(("area", "inner", "wrap", "text"))}", f"{pick(("post", "page", "entry"))}-{token}"))}"' if wrap in ("div", "section", "td") or rng.random() < 0.4 else ""
+        if wrap and wrap != "td" and (odd := rng.random()) < 0.2:  # names that say nothing, or name what is beside or around the text
+            beside = [pick(KINDS[pick(("side", "comment", "header", "footer", "form", "share", "nav"))].split()) for _ in range(2)]
+            attr = f' class="{hashed()}"' if odd < 0.07 else f' class="{token} {pick((f"{token}-with-{beside[0]}", f"has-{beside[0]}", f"no-{beside[0]}", f"{beside[0]}-{pick(("wide", "left", "right"))}"))}' + (f' {beside[1]}-{pick(("wide", "on", "off"))}"' if odd < 0.14 else '"')
         start = int(rng.integers(len(main)))
         many = int(rng.integers(1, 4)) if rng.random() < 0.5 else int(rng.integers(1, 25))
         own = (main[start:] + main[:start])[:many] if rng.random() < 0.6 else [phrase(4, 30) for _ in range(many)]
-        title = f"<h1>{esc(phrase(3, 12))}</h1>" if rng.random() < 0.7 else ""
-        body = [f"<header>{title}</header>" if title and rng.random() < 0.25 else title]
+        mark = "" if wrap else ' data-truth="1"'
+        title = f"<h1{mark}>{esc(phrase(3, 12))}</h1>" if rng.random() < 0.7 else ""
+        body = [f"<header{mark}>{title}</header>" if title and wrap and rng.random() < 0.25 else title]
         close = rng.random() < 0.8
         for text in own:
             tag = pick(("p", "p", "p", "p", "p", "blockquote", "div", "h2"))
-            body.append(f"<{tag}>{esc(text if tag != 'h2' else phrase(2, 8))}" + (f"</{tag}>" if close or tag != "p" else ""))
+            body.append(f"<{tag}{mark}>{esc(text if tag != 'h2' else phrase(2, 8))}" + (f"</{tag}>" if close or tag != "p" else ""))
             if rng.random() < 0.06:
                 body.append(boiler(pick(("ad", "side", "share", "form", "notice"))))
             if rng.random() < 0.12:
                 body.append(listed())
         if rng.random() < 0.3:
             body.append(boiler(pick(("comment", "share", "footer"))))
-        article = f'<{wrap}{attr} data-truth="1">{"".join(body)}' + (f"</{wrap}>" if close else "")
+        article = f'<{wrap}{attr} data-truth="1">{"".join(body)}' + (f"</{wrap}>" if close else "") if wrap else "".join(body)
         ahead, after = ("".join(boiler(k) for k in kinds if rng.random() < some) for kinds, some in ((("header", "nav", "notice", "ad", "form"), rng.random()), (("comment", "side", "ad", "notice", "form", "share", "footer", "nav"), 0.8 * rng.random())))
         if wrap == "td":
             cells = [f'<td class="{pick(KINDS["nav"].split())}" data-truth="0">' + "".join(f"<a href=/{i}>{esc(phrase(1, 3))}</a> " for i in range(4)) + "</td>", article]
             article = "<table><tr>" + "".join(cells if rng.random() < 0.6 else cells[::-1] if rng.random() < 0.5 else cells[1:]) + "</tr></table>"
         elif not close:
             after = ""
-        middle = pick((article, f"<div class=\"{pick(('container', 'wrapper', 'row', 'page', 'layout'))}\">{article}{boiler('side') if close and rng.random() < 0.5 else ''}</div>", f"<div>{boiler('side')}{article}</div>")) if close else article
+        middle = pick((article, f"<div class=\"{pick(('container', 'wrapper', 'row', 'page', 'layout'))}\">{article}{boiler('side') if close and rng.random() < 0.5 else ''}</div>", f"<div>{boiler('side')}{article}</div>")) if close and wrap else article
         yield f"<html><body>{ahead}{'' if rng.random() < 0.06 else middle}{after}</body></html>"
 
 
@@ -397,7 +405,7 @@ def train(pages: DataFrame, source: str = "html", max_pages: int = TRAIN_PAGES)
     def rows_of(sources: list[str]) -> pd.DataFrame:
         x, y = [], []
         for s in sources:
-            for made, weak in [(s, True), *((m, False) for m in layouts(s, len(s)))]:
+            for made, weak in [*[(s, True)] * GIVEN, *((m, False) for m in layouts(s, len(s)))]:
                 page = Page(made)
                 x.append(node_features(page))
                 y.append(truth_of(page, weak))
