@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 from collections.abc import Iterable, Mapping
 from functools import reduce
@@ -67,9 +68,29 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="locusmill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
+    gone_at_exit(spark, context.getCheckpointDir())  # a folder that Spark made for this application alone
     return found.rstrip("/")
 
 
+_leftovers: dict[str, SparkSession] = {}
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the driver's Python ends, if the session is still up then."""
+    if not _leftovers:
+        atexit.register(_delete_leftovers)
+    _leftovers[path] = spark
+    return path
+
+
+def _delete_leftovers() -> None:
+    while _leftovers:
+        path, spark = _leftovers.popitem()
+        if spark.sparkContext._jsc is not None:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as it is partitioned: survives lost executors and holds no cache."""
     shared_dir(df.sparkSession)

@@ -13,7 +13,7 @@ from locusmill.sources import tables as S
 
 
 def _folder(t: Tables) -> str:
-    return f"{R.shared_dir(t.spark)}/tables-{uuid.uuid4().hex}"
+    return R.gone_at_exit(t.spark, f"{R.shared_dir(t.spark)}/tables-{uuid.uuid4().hex}")
 
 
 @query("s1_delimited_gz", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
