@@ -44,7 +44,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def told(held: dict) -> Iterator[pd.DataFrame]:
         for (lang, source), (n, df) in held.items():
-            yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode() for t in n], "n": list(n.values()), "df": [df[t] for t in n]})
+            if n:
+                yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode() for t in n], "n": list(n.values()), "df": [df[t] for t in n]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = {}, 0
@@ -122,7 +123,7 @@ def zero_cells(own: pd.DataFrame) -> pd.DataFrame:
 def _pairs(own: pd.DataFrame, names: list[np.ndarray], sums: np.ndarray) -> pd.DataFrame:
     i, j = np.indices(sums.shape)
     out = pd.DataFrame({"lang": own.lang.iloc[0], "a": names[0][i.ravel()], "b": names[1][j.ravel()], "part": sums.ravel()})
-    return out[out.a < out.b] if own.ti.iloc[0] == own.tj.iloc[0] else out
+    return (out[out.a < out.b] if own.ti.iloc[0] == own.tj.iloc[0] else out).astype({"lang": object, "a": object, "b": object})  # also if no row is left
 
 
 def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:

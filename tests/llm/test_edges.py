@@ -128,6 +128,24 @@ def test_pipeline_edges(spark):
     assert sum(r.text is None or not r.text.split() for r in near) == 1  # documents without words are one group
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_whole_pipeline_edges(spark, tmp_path, empty):
+    """All stages and run() on nulls, repeated rows, empty and odd texts, clashing columns, and empty tables."""
+    import corpus_pipeline
+
+    docs(spark, empty).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, [] if empty else [(6, 0, 1), (1, 1, 0), (2, None, None), (None, 1, 1), (5, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
+    bench(spark, [] if empty else [(1, "a passage of some words that stands in two texts and is long enough"), (2, None)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    have = docs(spark, empty)
+    for name, stage in corpus_pipeline.STAGES:
+        have = stage(spark, have, str(tmp_path))
+        if name != "bpe":
+            assert have.columns == docs(spark).columns, name
+    staged = sorted(map(str, have.collect()))
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == staged
+    assert bool(staged) != empty
+
+
 def test_chat_with_many_rows_of_null_conversation(spark):
     df = spark.range(3000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
     got = chat.collapse_snapshots(df).collect()
