@@ -206,7 +206,7 @@ def bin_sums(loci: DataFrame, bins: DataFrame, key: list[str], values: str) -> D
 
 def bin_means(loci: DataFrame, bins: DataFrame, key: list[str], values: str) -> DataFrame:
     """(key..., n, values): means of the arrays of ``bin_sums``; all rows of ``bins`` have a value in each place."""
-    return bin_sums(loci, bins, key, values).select(*key, "n", F.transform("sums", lambda v: v / F.col("n")).alias(values))
+    return bin_sums(loci, bins, key, values).select(*key, "n", F.transform("sums", lambda v: F.try_divide(v, F.col("n"))).alias(values))
 
 
 def window_around(locus: Column, flank: int) -> list[Column]:
