@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from locusmill.functions import columns as C
-from locusmill.functions.distributions import beta_fraction, normal_two_sided, t_two_sided
+from locusmill.functions.distributions import beta_fraction, normal_quantile, normal_two_sided, t_two_sided
 from locusmill.operators import models as M, programs as P, ranks as W, rows as R, stats as S
 
 
@@ -180,3 +180,14 @@ def test_guarded_fit_keeps_failures(spark):
 
     got = {r.g: (r.y, r.error) for r in S.guarded(df, ["g"], fit, "y double").collect()}
     assert got["a"] == (1.0, None) and got["b"][0] is None and "ValueError" in got["b"][1]
+
+
+def test_normal_quantile(spark):
+    """The middle, both tails, the places where one approximation follows another, and what has no quantile."""
+    from statistics import NormalDist
+
+    ps = [1e-300, 1e-20, 1.3887943864964e-11, 1.38879438649641e-11, 1e-6, 0.0749999, 0.075, 0.0750001, 0.3, 0.5, 0.7, 0.925, 0.9250001, 1 - 1e-9]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-14, abs=1e-15) for r in got)
+    none = spark.createDataFrame([(0.0,), (1.0,), (-1.0,), (2.0,), (float("nan"),), (None,)], "p double")
+    assert {r.z for r in none.select(normal_quantile(F.col("p")).alias("z")).collect()} == {None}
