@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from locusmill.llm.common import dropped, saved
+from locusmill.llm.common import dropped, hot_join, saved
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -18,18 +18,19 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: each hangs a node's neighbours on the smallest of them, so
     the number of edges never grows and the rounds grow as the logarithm of the longest path. Loops,
     repeated edges and rows with a null end count for nothing; no edges give no rows. A node's smallest
-    neighbour comes from a grouping that sums on the map side and is joined back, so that one node with
-    very many neighbours is never gathered in a task. The table of a round goes when the next one is written.
+    neighbour comes from a grouping that sums on the map side and is joined back by ``hot_join``, so that one node
+    with very many neighbours is never gathered in a task. The table of a round goes when the next one is written.
     """
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both.where("b > a"), least, ["a"], "n", 2 * mark[0])
+        large = saved(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # now a > b in each edge: a hangs on b
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, low, ["a"], "n", 2 * mark[0])
         before = edges
         edges = saved(
             small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -37,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b").distinct()
         )
         dropped(before)
+        dropped(large)
         now = _mark(edges)
         if now == mark:
             break

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from locusmill.llm.common import hot_join, running, saved
+from locusmill.llm.common import dropped, hot_join, running, saved
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -89,9 +89,12 @@ def shard_by_curve(df: DataFrame, shards: int = 24, key: str = "doc_id", text: s
     total = lite.count()
     copies = lite.groupBy(*same).agg(F.min("meta").alias("own"), F.count("*").alias("copies")).where("copies > 1")
     rows = hot_join(lite, copies, same, "copies", total).select("key", *same, F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("own", "meta").alias("meta"))
-    rows = rows.select("key", *same, "copies", *[F.col(f"meta.{n}").alias(n) for n in names])
+    rows = saved(rows.select("key", *same, "copies", *[F.col(f"meta.{n}").alias(n) for n in names]))  # each join reads it twice
     for n in names:
-        rows = hot_join(rows, saved(quantile_cells(rows, n, bits, total)), [n], "n", total).drop("n")
+        cells, before = saved(quantile_cells(rows, n, bits, total)), rows
+        rows = saved(hot_join(before, cells, [n], "n", total).drop(n, "n"))
+        dropped(before)
+        dropped(cells)
     steps = lite.agg(F.percentile_approx("size", [i / 2**bits for i in range(1, 2**bits)], 10_000)).first()[0] or []
     size_cell = F.size(F.filter(F.array([F.lit(x) for x in steps]).cast("array<bigint>"), lambda x: x < F.col("size")))
     cell = sum((F.col(f"{n}_cell") * (1 << (bits * i)) for i, n in enumerate(names)), size_cell.cast("long") * (1 << (bits * len(names))))

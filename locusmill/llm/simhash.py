@@ -210,8 +210,8 @@ def _grouped(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, n, best): the best row of all that links reach from each fingerprint."""
     roots = saved(components(edges))
     linked = roots.join(points, roots.node == points.fp).select("node", "root", "best")
-    of_root = linked.groupBy("root").agg(F.min("best").alias("all"))
-    of_point = linked.join(of_root, "root").select(F.col("node").alias("fp"), "all")
+    of_root = linked.groupBy("root").agg(F.min("best").alias("all"), F.count("*").alias("n"))
+    of_point = hot_join(linked, of_root, ["root"], "n", roots.count()).select(F.col("node").alias("fp"), "all")
     return points.join(of_point, "fp", "left").select("fp", "n", F.coalesce("all", "best").alias("best"))
 
 

@@ -145,14 +145,20 @@ def fit(sample: pd.DataFrame, ids: np.ndarray) -> Toxicity:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Toxicity:
     """Fits on the labelled rows outside the held-out fifth (crc32 of the key as text, modulo 5, is 0).
 
-    At most ``max_labelled`` texts of each class, those of lowest hash, come to the driver, as features. Null labels and
-    keys are left out; of several labels of one key the largest counts; with labels of one class, or none, the score is constant.
+    At most ``max_labelled`` texts of each class, those of lowest hash, come to the driver, as features: a key may be on any
+    number of rows. Equal texts of one key count once. Null labels and keys are left out; of several labels of one key the
+    largest counts; a labelled key without rows takes a place all the same. With labels of one class, or none, the score is constant.
     """
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
     own = own.groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("y"))
-    parts = [own.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(max_labelled) for y in (0, 1)]
-    chosen = F.broadcast(parts[0].union(parts[1]))  # 2 * max_labelled rows at most
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("y", "text")
+    def lowest(rows: DataFrame, *order: str) -> DataFrame:
+        """``max_labelled`` rows of each class, in a broadcast."""
+        parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64("key"), *order).limit(max_labelled) for y in (0, 1)]
+        return F.broadcast(parts[0].union(parts[1]))
+
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    chosen = saved(lowest(rows.join(lowest(own, "key"), "key").select("y", "key", "h").distinct(), "key", "h"))
+    texts = rows.join(F.broadcast(chosen), ["key", "h"]).dropDuplicates(["key", "h"]).select("y", "text")
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
