@@ -46,6 +46,18 @@ def exploding(left: DataFrame, right: DataFrame, on: list[str], limit: int) -> D
     return left.join(fine, on).join(right, on)
 
 
+def neighbours(df: DataFrame, by: list[str], at: str, width: int) -> DataFrame:
+    """(by..., a, b): places of all pairs of rows of one group with a <= b and b - a < ``width``; a row pairs with itself.
+
+    Pairs meet by an equality key: the bin of ``width`` places that b is in, which is a's own or the next. So the work follows the pairs, not
+    the group's square. Rows with a null group or place have no pairs.
+    """
+    bin_ = F.floor(F.col(at) / width)
+    low = df.select(*by, F.col(at).alias("a"), F.explode(F.array(bin_, bin_ + 1)).alias("__bin"))
+    high = df.select(*by, F.col(at).alias("b"), bin_.alias("__bin"))
+    return low.join(high, [*by, "__bin"]).where((F.col("a") <= F.col("b")) & (F.col("b") - F.col("a") < width)).drop("__bin")
+
+
 def common_keys(tables: list[DataFrame], on: list[str]) -> DataFrame:
     """The keys that all tables have."""
     long_ = reduce(DataFrame.union, [df.select(*on).distinct() for df in tables])

@@ -192,12 +192,18 @@ def x9_coverage(t):
 COVARIANCE = "SELECT a.gene, a.variant AS v1, b.variant AS v2, CASE WHEN a.variant = b.variant THEN 1e0 ELSE 1e0 / (1 + (b.variant - a.variant)) END AS cov FROM {snp_weights} a JOIN {snp_weights} b ON a.gene = b.gene AND a.variant <= b.variant AND b.variant - a.variant < 500"
 
 
+def covariance(t):
+    """The rows of ``COVARIANCE``: variants of one gene that lie less than 500 apart, without the square of a gene."""
+    pairs = J.neighbours(t.snp_weights, ["gene"], "variant", 500)
+    return pairs.select("gene", F.col("a").alias("v1"), F.col("b").alias("v2"), (1.0 / (1 + (F.col("b") - F.col("a")))).alias("cov"))
+
+
 @query("x10_association", f"""WITH c AS ({COVARIANCE}), w AS (SELECT gene, variant, weight, CASE WHEN eff = eff_gwas THEN z ELSE -z END AS z FROM {{snp_weights}} JOIN {{snp_z}} USING (variant)),
 num AS (SELECT w.gene, count(*) AS n_snps, sum(weight * sqrt(cov) * z) AS num FROM w JOIN c ON c.gene = w.gene AND v1 = variant AND v2 = variant GROUP BY w.gene),
 var AS (SELECT c.gene, sum(CASE WHEN v1 = v2 THEN 1 ELSE 2 END * a.weight * b.weight * cov) AS var FROM c JOIN w a ON a.gene = c.gene AND a.variant = v1 JOIN w b ON b.gene = c.gene AND b.variant = v2 GROUP BY c.gene)
 SELECT gene, n_snps, round(num / sqrt(CASE WHEN var > 0 THEN var END), 5) + 0e0 AS z FROM num JOIN var USING (gene)""")
 def x10(t):
-    return rounded(L.association(t.snp_weights, t.snp_z, t.sql(COVARIANCE)), "z", digits=5)
+    return rounded(L.association(t.snp_weights, t.snp_z, covariance(t)), "z", digits=5)
 
 
 RELATIONSHIP_SQL = """d AS (SELECT * FROM {pop_dosage}), s AS (SELECT variant, avg(dosage) AS m, stddev_samp(dosage) AS sd FROM d GROUP BY variant HAVING stddev_samp(dosage) > 0),
