@@ -11,7 +11,7 @@ from locusmill.functions import columns as C
 from locusmill.functions.distributions import normal_two_sided
 from locusmill.operators import groups as G, intervals as I, linear as L, programs as P, ranks as W, rows as R, stats as S
 from locusmill.plans.base import query, rounded
-from locusmill.plans.queries_stats import COVARIANCE
+from locusmill.plans.queries_stats import covariance
 
 
 def score_individuals(loci: DataFrame, bins: DataFrame, weights: DataFrame, low, high, width: int) -> DataFrame:
@@ -22,7 +22,7 @@ def score_individuals(loci: DataFrame, bins: DataFrame, weights: DataFrame, low,
 
 def associate(weights: DataFrame, gwas: DataFrame, covariance: DataFrame, genes: DataFrame, blocks: DataFrame, bin_width: int) -> DataFrame:
     """Association z -> p -> Bonferroni and q -> overlap with blocks: one row a gene and block, genes without a block once."""
-    tests = L.association(weights, gwas, covariance).withColumn("p", normal_two_sided(F.col("z")))
+    tests = R.settled(L.association(weights, gwas, covariance)).withColumn("p", normal_two_sided(F.col("z")))  # a row a gene, read several times
     judged = W.q_values(W.bonferroni(tests, "p"), "p")
     hits = I.overlap_join(genes, blocks, bin_width).select("gene", "r_start", "r_stop")
     return judged.join(hits, "gene", "left")
@@ -49,7 +49,7 @@ def flow_scores(t):
 def flow_association(t):
     genes = t.snp_weights.groupBy("gene").agg(F.min("variant").alias("v")).select("gene", (F.col("v") % 22 + 1).alias("chrom"), (F.col("v") * 50).alias("start"), (F.col("v") * 50 + 30_000).alias("stop"))
     blocks = t.blocks.withColumnsRenamed({"start": "r_start", "stop": "r_stop"})
-    return rounded(associate(t.snp_weights, t.snp_z, t.sql(COVARIANCE), genes, blocks, 21_600), "z", "p", "qvalue")
+    return rounded(associate(t.snp_weights, t.snp_z, covariance(t), genes, blocks, 21_600), "z", "p", "qvalue")
 
 
 @query("flow_consensus_programs")
