@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from locusmill.operators import joins as J
+from locusmill.operators import intervals as I, joins as J
 from locusmill.plans import queries_stats
 from locusmill.plans.base import Tables
 
@@ -34,3 +35,37 @@ def test_covariance_is_that_of_the_sql(spark):
     assert sorted(mine.columns) == sorted(sql.columns)
     assert mine.exceptAll(sql.select(*mine.columns)).count() == 0 and sql.select(*mine.columns).exceptAll(mine).count() == 0
     assert "__bin" in plan_of(mine)  # variants meet by gene and place, not by gene alone
+
+
+def nearest(spark, left, right, kind="string"):
+    a = spark.createDataFrame(left, f"id long, chrom {kind}, start long, stop long")
+    b = spark.createDataFrame(right, f"chrom {kind}, r_start long, r_stop long")
+    return {r.id: (r.distance, r.r_start, r.r_stop) for r in I.nearest_join(a, b, "id", 16).collect()}
+
+
+def by_hand(left, right):
+    out = {}
+    for i, c, s, e in left:
+        all_ = [(max(0, max(s, s2) - min(e, e2) - 1), s2, e2) for c2, s2, e2 in right if c == c2 and c is not None and s2 <= e2] if None not in (s, e) else []
+        out[i] = min(all_) if all_ else (None, None, None)
+    return out
+
+
+@pytest.mark.parametrize("crowd", [30, 400, 4000])
+def test_nearest_equals_brute_force_with_ties(spark, crowd):
+    """Positions that many share, nested, touching and inverted intervals, nulls."""
+    rng = random.Random(crowd)
+    span = lambda: (lambda s: (s, s + rng.choice([0, 1, 5, crowd // 4, -2])))(rng.randint(-crowd, crowd))
+    left = [(i, rng.choice(["a", "b", "lonely", None]), *span()) for i in range(300)] + [(900, "a", None, 5), (901, "b", 5, None)]
+    right = [(rng.choice(["a", "b", None]), *span()) for _ in range(150)]
+    assert nearest(spark, left, right) == by_hand(left, right)
+    assert nearest(spark, left, []) == by_hand(left, []) and nearest(spark, [], right) == {}
+
+
+def test_nearest_lists_no_overlaps(spark):
+    """30,000 queries that each overlap 30,000 subjects, at one place."""
+    q = spark.range(30_000).select("id", F.lit("a").alias("chrom"), F.lit(5).cast("long").alias("start"), (F.col("id") + 6).alias("stop"))
+    s = spark.range(30_000).select(F.lit("a").alias("chrom"), (-F.col("id")).alias("r_start"), F.lit(10).cast("long").alias("r_stop"))
+    found = I.nearest_join(q, s, "id", 4096, coarse=200_000)
+    assert plan_of(found).count("Join") == 2  # what other partitions hold, and the result
+    assert found.groupBy("distance", "r_start", "r_stop").count().collect() == [(0, -29_999, 10, 30_000)]
