@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusmill.operators import intervals as I, joins as J
+from locusmill.operators import intervals as I, joins as J, linear as L, tiles
 from locusmill.plans import queries_stats
-from locusmill.plans.base import Tables
+from locusmill.plans.base import STANDINS, Tables
 
 
 def plan_of(df):
@@ -69,3 +70,42 @@ def test_nearest_lists_no_overlaps(spark):
     found = I.nearest_join(q, s, "id", 4096, coarse=200_000)
     assert plan_of(found).count("Join") == 2  # what other partitions hold, and the result
     assert found.groupBy("distance", "r_start", "r_stop").count().collect() == [(0, -29_999, 10, 30_000)]
+
+
+def test_pop_dosage_is_the_stand_in_of_the_sql(spark):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    mine, sql = t.pop_dosage, t.sql(STANDINS["pop_dosage"])
+    assert mine.schema.simpleString() == sql.schema.simpleString()
+    assert mine.exceptAll(sql).count() == 0 and sql.exceptAll(mine).count() == 0
+
+
+def test_dosages_are_read_once(spark):
+    """Each pass over the given rows counts them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [(chrom, s, f"{chrom}{v}", (s * 7 + v * v + len(chrom)) % 3) for chrom in ("a", "bb") for s in range(6) for v in range(30)]
+    df = spark.createDataFrame(rows, "chrom string, sample int, variant string, dosage long").mapInPandas(passed, "chrom string, sample int, variant string, dosage long")
+    got = {(r.chrom, r.id1, r.id2): r.value for r in L.relationship(df, ["chrom"]).collect()}
+    assert seen.value <= 2 * len(rows)  # a checkpoint may compute the rows twice, nothing else does
+    for chrom in ("a", "bb"):
+        x = np.array([[d for c, s, _, d in rows if c == chrom and s == i] for i in range(6)], float)
+        x = x[:, x.std(axis=0) > 0]
+        z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+        k = z @ z.T / z.shape[1]
+        assert len([g for g in got if g[0] == chrom]) == 21 and all(abs(got[chrom, i, j] - k[i, j]) < 1e-9 for i in range(6) for j in range(i, 6))
+
+
+def test_tiles_are_no_larger_than_the_largest_group(spark, monkeypatch):
+    """40 groups of 3 rows: a partial product has 9 numbers, not those of a tile over all groups' rows."""
+    sizes = []
+    real = tiles.tree_sum
+    monkeypatch.setattr(tiles, "tree_sum", lambda parts, *a, **k: sizes.append(parts.agg(F.max(F.size("s"))).first()[0]) or real(parts, *a, **k))
+    df = spark.createDataFrame([(g, r, c, float(g + r * c)) for g in range(40) for r in range(3) for c in range(4)], "g int, row int, c int, v double")
+    got = {(r.g, r.a, r.b): r.s for r in tiles.row_products(df, "row", "c", "v", ["g"]).collect()}
+    assert sizes == [9] and len(got) == 40 * 6
+    assert all(got[g, a, b] == sum((g + a * c) * (g + b * c) for c in range(4)) for g, a, b in got)
