@@ -41,22 +41,22 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int | None = None, ma
     with start > stop or nulls match nothing.
     """
     widths = _widths(width or usual_length(right, "r_start", "r_stop"))
-    gap = max_gap + 1
-    a = left.where("start <= stop").withColumns({"__from": F.col("start") - gap, "__to": F.col("stop") + gap})
-    a = a.withColumn("__own", _level(F.col("__from"), F.col("__to"), widths))
+    from_, to = F.col("start") - (max_gap + 1), F.col("stop") + (max_gap + 1)
+    a = left.where("start <= stop").withColumn("__own", _level(from_, to, widths))
     b = right.where("r_start <= r_stop").withColumn("__rown", _level(F.col("r_start"), F.col("r_stop"), widths))
     levels = [set(df.agg(F.collect_set(c)).first()[0]) for df, c in ((a, "__own"), (b, "__rown"))]  # one number for each level
 
-    def placed(df: DataFrame, start: str, stop: str, own: str, other: set[int], low: str) -> DataFrame:
-        some = F.array_union(F.array(own), F.filter(F.array([F.lit(x) for x in sorted(other)]).cast("array<int>"), lambda x: x > F.col(own)))
+    def placed(df: DataFrame, start: Column, stop: Column, own: str, other: set[int], low: str) -> DataFrame:
+        least = min(other, default=len(widths))  # at its own level an interval meets none longer, so it goes there only if some aren't
+        some = F.array_union(F.filter(F.array(own), lambda x: x >= least), F.filter(F.array([F.lit(x) for x in sorted(other)]).cast("array<int>"), lambda x: x > F.col(own)))
         at = df.withColumn("__level", F.explode(some)).withColumn("__w", F.element_at(F.array([F.lit(w).cast("long") for w in widths]), F.col("__level") + 1))
-        at = at.withColumn(low, F.floor(F.col(start) / F.col("__w")))
-        return at.withColumn("__bin", F.explode(F.sequence(low, F.floor(F.col(stop) / F.col("__w"))))).drop("__w")
+        at = at.withColumn(low, F.floor(start / F.col("__w")))
+        return at.withColumn("__bin", F.explode(F.sequence(low, F.floor(stop / F.col("__w"))))).drop("__w")
 
-    both = placed(a, "__from", "__to", "__own", levels[1], "__lo").join(placed(b, "r_start", "r_stop", "__rown", levels[0], "__rlo"), [on, "__level", "__bin"])
-    hit = (F.col("__from") <= F.col("r_stop")) & (F.col("r_start") <= F.col("__to"))
+    both = placed(a, from_, to, "__own", levels[1], "__lo").join(placed(b, F.col("r_start"), F.col("r_stop"), "__rown", levels[0], "__rlo"), [on, "__level", "__bin"])
+    hit = (from_ <= F.col("r_stop")) & (F.col("r_start") <= to)
     longer = F.greatest("__own", "__rown") == F.col("__level")
-    return both.where(hit & longer & (F.col("__bin") == F.greatest("__lo", "__rlo"))).drop("__bin", "__lo", "__rlo", "__level", "__own", "__rown", "__from", "__to")
+    return both.where(hit & longer & (F.col("__bin") == F.greatest("__lo", "__rlo"))).drop("__bin", "__lo", "__rlo", "__level", "__own", "__rown")
 
 
 def distance(start: Column, stop: Column, r_start: Column, r_stop: Column) -> Column:

@@ -109,3 +109,12 @@ def test_tiles_are_no_larger_than_the_largest_group(spark, monkeypatch):
     got = {(r.g, r.a, r.b): r.s for r in tiles.row_products(df, "row", "c", "v", ["g"]).collect()}
     assert sizes == [9] and len(got) == 40 * 6
     assert all(got[g, a, b] == sum((g + a * c) * (g + b * c) for c in range(4)) for g, a, b in got)
+
+
+def test_points_go_only_to_levels_that_windows_have(spark):
+    points = spark.range(100).select("id", F.lit("a").alias("chrom"), F.col("id").alias("start"), F.col("id").alias("stop"))
+    wide = spark.createDataFrame([("a", 10, 59)], "chrom string, r_start long, r_stop long")
+    found = I.overlap_join(points, wide, 10)
+    assert "__from" not in plan_of(found)  # a row carries its ends once
+    assert "__own" in plan_of(found) and ">= 1" in plan_of(found)  # the points' own level, 0, holds no windows
+    assert found.count() == 50
