@@ -91,9 +91,10 @@ SELECT a.id, b.gene % 3 AS tf, min(greatest(0, greatest(a.start, b.start) - leas
 def x28(t):
     """All factors in one job: the chromosome key also carries the factor."""
     tfs = t.spark.range(3).select(F.col("id").alias("tf"))
-    q = t.peaks.crossJoin(F.broadcast(tfs)).select(F.concat_ws("|", "id", "tf").alias("key"), (F.col("chrom") * 8 + F.col("tf")).alias("chrom"), "start", "stop")
+    q = t.peaks.crossJoin(F.broadcast(tfs)).select(F.struct("id", "tf").alias("key"), (F.col("chrom") * 8 + F.col("tf")).alias("chrom"), "start", "stop")
     s = t.genes.select((F.col("chrom") * 8 + F.col("gene") % 3).alias("chrom"), F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
-    near = I.nearest_join(q, s, "key", 4_096, coarse=200_000).select(F.split("key", r"\|")[0].cast("long").alias("id"), F.concat(F.lit("tf"), F.split("key", r"\|")[1]).alias("tf"), "distance").where("distance is not null")
+    near = I.nearest_join(q, s, "key", 4_096, coarse=200_000).where("distance is not null").select("key.id", F.concat(F.lit("tf"), "key.tf").alias("tf"), "distance")
+    near = R.dealt(near, 3 * t.peaks.count(), "id")
     return G.wider(near, ["id"], "tf", "distance", ["tf0", "tf1", "tf2"])
 
 
