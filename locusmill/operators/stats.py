@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from locusmill.functions.distributions import t_two_sided
 from locusmill.operators.ranks import cumulative, placed
-from locusmill.operators.rows import settled
+from locusmill.operators.rows import dealt, settled
 from locusmill.operators.tiles import row_products
 
 
@@ -169,12 +169,13 @@ def over_representation(query: DataFrame, terms: DataFrame, background: DataFram
     """Hypergeometric tail of each (query, term): query(query, member), terms(term, member), background(member).
 
     x hits of k query members in m term members of N. The tail is an expression over these counts: nothing is joined or
-    shuffled after them.
+    shuffled after them. Rows are dealt by member first, by their number; what follows up to the counts is done where they are.
     """
-    world = background.select("member").distinct()
-    q = query.join(world, "member", "left_semi").select("query", "member").distinct()
-    t = terms.join(world, "member", "left_semi").select("term", "member").distinct()
-    n_all = F.lit(world.count()).cast("long")
+    n_rows = query.count() + terms.count() + background.count()
+    world = dealt(background.select("member"), n_rows, "member")
+    q = dealt(query.select("query", "member"), n_rows, "member").join(world, "member", "left_semi").select("query", "member").distinct()
+    t = dealt(terms.select("term", "member"), n_rows, "member").join(world, "member", "left_semi").select("term", "member").distinct()
+    n_all = F.lit(world.distinct().count()).cast("long")
     k, m = q.groupBy("query").agg(F.count("*").alias("k")), t.groupBy("term").agg(F.count("*").alias("m"))
     tests = m.count()
     x = q.join(t, "member").groupBy("query", "term").agg(F.count("*").alias("x")).join(k, "query").join(m, "term")

@@ -1,11 +1,14 @@
 """Larger tables give more tasks, not larger ones."""
 
+import math
+import random
+import re
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from locusmill.operators import intervals as I, rows as R
+from locusmill.operators import intervals as I, rows as R, stats as S
 from locusmill.plans import queries_intervals
 
 
@@ -48,3 +51,22 @@ def test_distance_matrix_deals_by_number_and_keeps_a_null_id(spark, small):
     assert largest(out) < 200
     got = {r.id: (r.tf0, r.tf1, r.tf2) for r in out.collect()}
     assert len(got) == 1000 and got[None] == (3, 48, None) and got[1] == (None, 12, None) and got[4] == (34, 8, None)
+
+
+def test_over_representation_deals_by_number(spark, small):
+    """Repeated rows, nulls and members outside the background."""
+    rng = random.Random(10)
+    query = [(rng.choice(["q", "r", None]), rng.choice([None, *range(60)])) for _ in range(900)]
+    terms = [(rng.choice(["s", "t", None]), rng.choice([None, *range(80)])) for _ in range(120)]
+    world = [(i,) for i in range(5, 50)] * 2
+    frames = (spark.createDataFrame(rows, f"{name}member int") for rows, name in ((query, "query string, "), (terms, "term string, "), (world, "")))
+    out = S.over_representation(*frames)
+    text = plan_of(out)
+    assert re.search(r"hashpartitioning\(member#\d+, 12\), REPARTITION_BY_NUM", text)
+    assert not re.search(r"hashpartitioning\((query|term)#\d+, member", text)  # rows are made distinct where they were dealt to
+    sets = lambda rows, name: {i for n, i in rows if n == name and i is not None and 5 <= i < 50}
+    want = {(q, t): (len(sets(query, q) & sets(terms, t)), len(sets(query, q)), len(sets(terms, t))) for q in "qr" for t in "st"}
+    got = {(r.query, r.term): r for r in out.collect()}
+    assert {key: (r.x, r.k, r.m) for key, r in got.items()} == want
+    for x, k, m, p in ((r.x, r.k, r.m, r.p) for r in got.values()):
+        assert math.isclose(p, sum(math.comb(m, i) * math.comb(45 - m, k - i) for i in range(x, min(k, m) + 1)) / math.comb(45, k), rel_tol=1e-9)
