@@ -64,11 +64,40 @@ def distance(start: Column, stop: Column, r_start: Column, r_stop: Column) -> Co
     return F.greatest(F.lit(0), F.greatest(start, r_start) - F.least(stop, r_stop) - 1)
 
 
+#: Points, and windows, of a cell of ``point_in_window``, about; points of a chunk, a multiple of 8, as Parquet packs values by eights.
+CELL_ROWS, CHUNK_ROWS = 8_192, 256
+
+
 def point_in_window(points: DataFrame, windows: DataFrame, flank: int, width: int | None = None) -> DataFrame:
-    """(chrom, pos, ...) with each (chrom, r_start, r_stop, ...) that holds the position once widened by ``flank``."""
+    """(chrom, pos, ...) with each (chrom, r_start, r_stop, ...) that holds the position once widened by ``flank``.
+
+    The result may have the square of the rows, so tasks and the order of pairs are made for that. Points are range-partitioned by place and
+    gathered in chunks of neighbours. A window goes to the ranges that it meets, not to points, and a range of many windows is dealt out, so
+    that a cell, which is a task, has ``CELL_ROWS`` points and windows, about, and none holds a hot place. A cell lists chunk by chunk, in a chunk
+    window by window, first where the window holds the whole chunk: a window's columns stay the same over a chunk and the points repeat from window
+    to window, so that a format that encodes repeats needs a fraction of a byte for a pair. ``width``: of the bins in which windows meet ranges.
+    """
     wide = windows.withColumns({"r_start": F.col("r_start") - flank, "r_stop": F.col("r_stop") + flank})
-    found = overlap_join(points.withColumns({"start": F.col("pos"), "stop": F.col("pos")}), wide, width)
-    return found.withColumns({"r_start": F.col("r_start") + flank, "r_stop": F.col("r_stop") - flank}).drop("start", "stop")
+    own, theirs = ([c for c in df.columns if c != "chrom"] for df in (points, windows))
+    some = points.where("chrom is not null and pos is not null")
+    n = max(int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-some.count() // CELL_ROWS))
+    ranged = some.repartitionByRange(n, "chrom", "pos", F.xxhash64(*own)).sortWithinPartitions("chrom", "pos").withColumn("__part", F.spark_partition_id())
+    chunked = ranged.withColumn("__chunk", F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}"))  # these ids number the rows of a partition
+    chunks = settled(chunked.groupBy("chrom", "__part", "__chunk").agg(F.min("pos").alias("__low"), F.max("pos").alias("__high"), F.collect_list(F.struct(*own)).alias("__points")))
+    ranges = chunks.groupBy("chrom", "__part").agg(F.min("__low").alias("start"), F.max("__high").alias("stop"), F.min("__chunk").alias("__from"), F.max("__chunk").alias("__to"))
+    met = settled(overlap_join(F.broadcast(ranges), wide, width).drop("start", "stop"))
+    by_range = met.groupBy("chrom", "__part").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("__n"))
+    cells = F.broadcast(by_range.withColumn("__last", F.sum("__n").over(Window.orderBy("chrom", "__part")).cast("int")))  # a row for each range
+    n_cells = cells.agg(F.max("__last")).first()[0] or 1
+    ours = chunks.join(cells, ["chrom", "__part"]).select(F.explode(F.sequence(F.col("__last") - F.col("__n"), F.col("__last") - 1)).alias("__cell"), "__chunk", "__low", "__high", "__points")
+    one_of = (F.col("__last") - 1 - F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__n"))).cast("int")
+    held = met.join(cells, ["chrom", "__part"]).select(one_of.alias("__cell"), "chrom", "__from", "__to", *theirs).repartitionById(n_cells, F.col("__cell"))
+    # windows stream past one chunk, so that Spark holds a chunk's pairs at a time and not those of all windows
+    both = held.withColumn("__chunk", F.explode(F.sequence("__from", "__to"))).join(ours.repartitionById(n_cells, F.col("__cell")).hint("merge"), ["__cell", "__chunk"])
+    listed = lambda pairs: pairs.select("chrom", *theirs, F.explode("__points").alias("__point"))
+    whole, meets = "r_start <= __low and __high <= r_stop", "r_start <= __high and __low <= r_stop"
+    found = listed(both.where(whole)).unionByName(listed(both.where(f"{meets} and not ({whole})")).where("__point.pos between r_start and r_stop"))
+    return found.select("chrom", *[f"__point.{c}" for c in own], *theirs).withColumns({"r_start": F.col("r_start") + flank, "r_stop": F.col("r_stop") - flank})
 
 
 #: Rows of a range partition of ``nearest_join``, about.
