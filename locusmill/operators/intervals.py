@@ -83,7 +83,7 @@ def point_in_window(points: DataFrame, windows: DataFrame, flank: int, width: in
     n = max(int(some.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-some.count() // CELL_ROWS))
     ranged = some.repartitionByRange(n, "chrom", "pos", F.xxhash64(*own)).sortWithinPartitions("chrom", "pos").withColumn("__part", F.spark_partition_id())
     chunked = ranged.withColumn("__chunk", F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}"))  # these ids number the rows of a partition
-    chunks = settled(chunked.groupBy("chrom", "__part", "__chunk").agg(F.min("pos").alias("__low"), F.max("pos").alias("__high"), F.collect_list(F.struct(*own)).alias("__points")))
+    chunks = settled(chunked.repartitionById(n, F.col("__part")).groupBy("chrom", "__part", "__chunk").agg(F.min("pos").alias("__low"), F.max("pos").alias("__high"), F.collect_list(F.struct(*own)).alias("__points")))
     ranges = chunks.groupBy("chrom", "__part").agg(F.min("__low").alias("start"), F.max("__high").alias("stop"), F.min("__chunk").alias("__from"), F.max("__chunk").alias("__to"))
     met = settled(overlap_join(F.broadcast(ranges), wide, width).drop("start", "stop"))
     by_range = met.groupBy("chrom", "__part").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("__n"))

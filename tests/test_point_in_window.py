@@ -62,3 +62,15 @@ def test_written_pairs_take_few_bytes(spark, tmp_path):
     I.point_in_window(points, windows, 20_000, 40_000).select("id", "gene", "r_start", "r_stop").write.parquet(str(tmp_path / "out"))
     n, size = spark.read.parquet(str(tmp_path / "out")).count(), sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
     assert n > 3_000_000 and size < 0.6 * n, (n, size)
+
+
+def test_chunks_are_gathered_by_range(spark, small, monkeypatch):
+    """3,000 points with 4 shuffle partitions: 30 tasks gather them, each those of its range."""
+    made = []
+    monkeypatch.setattr(I, "settled", lambda df, settled=I.settled: made.append(settled(df)) or made[-1])
+    points = spark.range(3000).select("id", F.lit("a").alias("chrom"), F.col("id").alias("pos"))
+    windows = spark.createDataFrame([("a", 10, 19, 1)], WINDOW)
+    assert I.point_in_window(points, windows, 0).count() == 10
+    sizes = [r["sum(n)"] for r in made[0].select(F.size("__points").alias("n")).groupBy(F.spark_partition_id()).sum("n").collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 30 and max(sizes) < 200
+    assert made[0].where("__high - __low > 7").count() == 0  # neighbours
